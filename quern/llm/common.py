@@ -5,7 +5,10 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Words of every operator here: runs of anything but the six ASCII white-space characters.
@@ -81,3 +84,23 @@ def bucket_of(key: Column, bounds: list[int]) -> Column:
         return F.when(inside, low + width).otherwise(low)
 
     return F.aggregate(F.lit(steps), F.lit(0), step)
+
+
+def whole_runs(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
+    """The same rows, cut only where one of the sorted columns ``by`` changes."""
+    held: list[pd.DataFrame] = []
+    for rows in batches:
+        if not len(rows):
+            continue
+        last = np.logical_and.reduce([rows[c].to_numpy() == rows[c].iloc[-1] for c in by])
+        start = int(np.argmax(last))
+        same = held and all(held[-1][c].iloc[-1] == rows[c].iloc[-1] for c in by)
+        if start == 0 and same:
+            held.append(rows)
+            continue
+        ready = pd.concat([*held, rows.iloc[:start]], ignore_index=True)
+        if len(ready):
+            yield ready
+        held = [rows.iloc[start:]]
+    if held:
+        yield pd.concat(held, ignore_index=True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import mixing
+from quern.llm import mixing, simhash
 from quern.llm.common import table
 
 
@@ -44,8 +44,14 @@ SELECT doc_id, size, source_size, target,
 FROM rated
 """
 
+def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.fingerprint_hex(found["fp"]).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op3_source_mixing": op3_source_mixing,
+    "op7_simhash_groups": op7_simhash_groups,
 }
 
 ORACLE_SQL = {

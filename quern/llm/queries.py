@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quern.llm import mixing, simhash
+from quern.llm import bpe, mixing, simhash
 from quern.llm.common import table
 
 
@@ -49,9 +49,15 @@ def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex(found["fp"]).alias("fingerprint"), "component_id")
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op3_source_mixing": op3_source_mixing,
     "op7_simhash_groups": op7_simhash_groups,
+    "op8_byte_bpe": op8_byte_bpe,
 }
 
 ORACLE_SQL = {

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quern.llm import bpe, mixing, simhash
+from quern.llm import bpe, language, mixing, simhash
 from quern.llm.common import table
 
 
@@ -44,6 +44,12 @@ SELECT doc_id, size, source_size, target,
 FROM rated
 """
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", language.held_out())
+    model = language.train(docs.where("NOT held_out"))
+    return language.identify(docs.drop("lang"), model, keep=["doc_id", "held_out"])
+
+
 def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.fingerprint_hex(found["fp"]).alias("fingerprint"), "component_id")
@@ -56,6 +62,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_source_mixing": op3_source_mixing,
+    "op5_language": op5_language,
     "op7_simhash_groups": op7_simhash_groups,
     "op8_byte_bpe": op8_byte_bpe,
 }

@@ -18,7 +18,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 #: No token: ends of words and pairs without a merge.
 NONE = np.int32(2**31 - 1)
 #: Characters of text whose distinct words are replayed together.
-REPLAY_CHARS = 24_000_000
+REPLAY_CHARS = 8_000_000
 #: White space next to a space; a text without it can be cut at every space before the pattern is applied.
 _CLOSE_SPACE = r" [\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]|[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}] "
 
@@ -217,7 +217,11 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
             for part in _slices(batch, "text"):
                 ids = list(encode_batch(ranks, part.column("text"), pattern))
                 packed = pa.array([x.astype("<u4").tobytes() for x in ids], pa.large_binary())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), packed], schema=schema)
+                counts = pa.array([len(x) for x in ids], pa.int64())
+                del ids
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), counts, packed], schema=schema)
+                del packed
+                pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(of, "doc_id long, n_tokens long, ids binary")
 

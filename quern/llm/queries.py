@@ -4,10 +4,61 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quern.llm import bpe, language, mixing, simhash
+from quern.llm import bpe, language, mixing, simhash, spotsigs
 from quern.llm.common import table
 
 
+def op1_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edited_likeness(table(spark, sf_dir, "documents"))
+
+
+_ANCHORS = ", ".join(f"'{w}'" for w in spotsigs.ANCHORS)
+OP1_SQL = rf"""
+WITH ordered AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+         coalesce(lead(coalesce(text, '')) OVER down, first_value(coalesce(text, '')) OVER down) AS next_text
+  FROM documents WINDOW down AS (ORDER BY doc_id DESC)
+), edited AS (
+  SELECT doc_id, text, next_text,
+         substr(text, 1, length(text) - length(text) // 2) || substr(next_text, 1, length(text) // 2) AS edited
+  FROM ordered
+), each AS (
+  SELECT doc_id, 1 AS kind, text AS t FROM edited
+  UNION ALL SELECT doc_id, 2, edited FROM edited
+  UNION ALL SELECT doc_id, 3, next_text FROM edited
+), marked AS (
+  SELECT doc_id, kind, t,
+         list_transform(list_filter(regexp_split_to_array(lower(t), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> ''),
+                        lambda w: CASE WHEN w IN ({_ANCHORS}) THEN '#' ELSE w END) AS m
+  FROM each
+), words AS (
+  SELECT doc_id, kind, t,
+         list_transform(list_filter(range(1, len(m) + 1), lambda i: m[i] <> '#' OR i = 1 OR m[i - 1] <> '#'), lambda i: m[i]) AS w
+  FROM marked
+), chains AS (
+  SELECT doc_id, kind, t,
+         list_filter(list_transform(list_filter(range(1, len(w) + 1), lambda i: w[i] = '#' AND i < len(w)),
+                                    lambda i: list_filter(w[i + 1:i + 3], lambda x: x <> '#')[1:2]),
+                     lambda c: len(c) = 2) AS c
+  FROM words
+), sigs AS (
+  SELECT doc_id, kind, t,
+         CASE WHEN len(c) > 0 THEN list_sort(list_distinct(list_transform(c, lambda x: substr(md5(x[1] || ' ' || x[2]), 1, 8))))
+              WHEN t = '' THEN []::VARCHAR[] ELSE [substr(md5(t), 1, 8)] END AS s
+  FROM chains
+), side AS (
+  SELECT doc_id, max(CASE WHEN kind = 1 THEN t END) AS text, max(CASE WHEN kind = 2 THEN t END) AS edited,
+         max(CASE WHEN kind = 1 THEN s END) AS a, max(CASE WHEN kind = 2 THEN s END) AS b, max(CASE WHEN kind = 3 THEN s END) AS c
+  FROM sigs GROUP BY doc_id
+)
+SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256,
+       coalesce(array_to_string(a, ''), '') AS fingerprint, coalesce(array_to_string(b, ''), '') AS edited_fingerprint,
+       CASE WHEN len(a) + len(b) = 0 THEN 1.0 ELSE len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b)))::DOUBLE END::DOUBLE AS near_edited,
+       CASE WHEN len(a) + len(c) = 0 THEN 1.0 ELSE len(list_intersect(a, c)) / (len(a) + len(c) - len(list_intersect(a, c)))::DOUBLE END::DOUBLE AS near_next
+FROM side
+"""
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     mixed = mixing.with_copies(docs)
@@ -61,6 +112,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_spot_signatures": op1_spot_signatures,
     "op3_source_mixing": op3_source_mixing,
     "op5_language": op5_language,
     "op7_simhash_groups": op7_simhash_groups,
@@ -68,5 +120,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_spot_signatures": OP1_SQL,
     "op3_source_mixing": OP3_SQL,
 }

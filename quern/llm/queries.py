@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quern.llm import bpe, language, mixing, simhash, spotsigs
+from quern.llm import bpe, language, mixing, simhash, spotsigs, token_files
 from quern.llm.common import table
 
 
@@ -95,6 +95,11 @@ SELECT doc_id, size, source_size, target,
 FROM rated
 """
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_files.store(table(spark, sf_dir, "documents"))
+    return token_files.read_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", language.held_out())
     model = language.train(docs.where("NOT held_out"))
@@ -114,6 +119,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_spot_signatures": op1_spot_signatures,
     "op3_source_mixing": op3_source_mixing,
+    "op4_token_files": op4_token_files,
     "op5_language": op5_language,
     "op7_simhash_groups": op7_simhash_groups,
     "op8_byte_bpe": op8_byte_bpe,

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quern.llm import bpe, language, mixing, simhash, spotsigs, token_files
-from quern.llm.common import table
+from quern.llm import bpe, language, mixing, simhash, spotsigs, substring, token_files
+from quern.llm.common import WORD, table
 
 
 def op1_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,6 +116,12 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.array_join(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0)), " ")
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(kept, 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_spot_signatures": op1_spot_signatures,
     "op3_source_mixing": op3_source_mixing,
@@ -123,6 +129,7 @@ QUERIES = {
     "op5_language": op5_language,
     "op7_simhash_groups": op7_simhash_groups,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_repeated_windows": op9_repeated_windows,
 }
 
 ORACLE_SQL = {

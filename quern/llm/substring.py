@@ -24,7 +24,10 @@ _LAST_ID = 2**63 - 1
 
 
 class Runs(NamedTuple):
-    """Super-k-mers of one text: consecutive windows that share a minimiser."""
+    """Super-k-mers of one text: consecutive windows whose minimiser is the same occurrence of a gram.
+
+    Equal windows have their minimiser at the same offset, so equal windows at two places are in two runs.
+    """
 
     minimiser: np.ndarray  # int64
     start: np.ndarray  # first window
@@ -32,7 +35,7 @@ class Runs(NamedTuple):
 
 
 def super_kmers(words: list[bytes], window: int = WINDOW, width: int = MINIMISER) -> Runs:
-    """The runs of a text, in order; none if it has fewer words than a window. At most 255 windows a run."""
+    """The runs of a text, in order; none if it has fewer words than a window."""
     n = len(words) - window + 1
     if n < 1:
         return Runs(*(np.empty(0, np.int64),) * 3)
@@ -44,20 +47,14 @@ def super_kmers(words: list[bytes], window: int = WINDOW, width: int = MINIMISER
     gram = (gram ^ (gram >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     gram ^= gram >> np.uint64(32)
     spread = window - width + 1
-    least, reach = gram, 1  # least of the ``reach`` grams from each on, by doubling
+    best, reach = np.arange(m), 1  # the leftmost least of the ``reach`` grams from each on, by doubling
     while reach < spread:
         step = min(reach, spread - reach)
-        least = np.minimum(least[:-step], least[step:])
+        here, there = best[:-step], best[step:]
+        best = np.where(gram[there] < gram[here], there, here)
         reach += step
-    value = least[:n].view(np.int64)
-    start = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
-    count = np.diff(np.append(start, n))
-    if count.max() > 255:
-        parts = -(-count // 255)
-        place = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        start = np.repeat(start, parts) + 255 * place
-        count = np.minimum(255, np.repeat(count, parts) - 255 * place)
-    return Runs(value[start], start, count)
+    start = np.flatnonzero(np.append(True, best[1:] != best[:-1]))
+    return Runs(gram[best[start]].view(np.int64), start, np.diff(np.append(start, n)))
 
 
 def _words(text: str | None) -> list[bytes]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quern.llm import bpe, language, mixing, simhash, spotsigs, substring, token_files
+from quern.llm import bpe, language, mixing, quality, simhash, spotsigs, substring, token_files
 from quern.llm.common import WORD, table
 
 
@@ -122,6 +122,13 @@ def op9_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2(kept, 256).alias("kept_sha256"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", quality.held_out())
+    model = quality.fit(docs, table(spark, sf_dir, "labels").where(~quality.held_out()))
+    scored = quality.score(docs, model, keep=["doc_id", "held_out"])
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))
+
+
 QUERIES = {
     "op1_spot_signatures": op1_spot_signatures,
     "op3_source_mixing": op3_source_mixing,
@@ -130,6 +137,7 @@ QUERIES = {
     "op7_simhash_groups": op7_simhash_groups,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_repeated_windows": op9_repeated_windows,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL = {

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quern.llm import bpe, language, mixing, quality, simhash, spotsigs, substring, token_files
+from quern.llm import bpe, html_text, language, mixing, quality, simhash, spotsigs, substring, token_files
 from quern.llm.common import WORD, table
 
 
@@ -59,6 +59,10 @@ FROM side
 """
 
 
+def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     mixed = mixing.with_copies(docs)
@@ -131,6 +135,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_spot_signatures": op1_spot_signatures,
+    "op2_html_main_text": op2_html_main_text,
     "op3_source_mixing": op3_source_mixing,
     "op4_token_files": op4_token_files,
     "op5_language": op5_language,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quern.llm import bpe, html_text, language, mixing, quality, simhash, spotsigs, substring, token_files
+from quern.llm import bpe, html_text, language, mixing, near_vectors, quality, simhash, spotsigs, substring, token_files
 from quern.llm.common import WORD, table
 
 
@@ -110,6 +110,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.drop("lang"), model, keep=["doc_id", "held_out"])
 
 
+def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.fingerprint_hex(found["fp"]).alias("fingerprint"), "component_id")
@@ -139,6 +143,7 @@ QUERIES = {
     "op3_source_mixing": op3_source_mixing,
     "op4_token_files": op4_token_files,
     "op5_language": op5_language,
+    "op6_near_vectors": op6_near_vectors,
     "op7_simhash_groups": op7_simhash_groups,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_repeated_windows": op9_repeated_windows,

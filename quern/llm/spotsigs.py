@@ -45,6 +45,11 @@ def fingerprint(sigs: Column) -> Column:
     return F.array_join(sigs, "")
 
 
+def unfold(folded: Column) -> Column:
+    """The set of a fingerprint."""
+    return F.regexp_extract_all(folded, F.lit(".{8}"), F.lit(0))
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Jaccard similarity of two sets; 1 for two empty ones."""
     shared = F.size(F.array_intersect(a, b))
@@ -82,17 +87,18 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     rows are neighbours of each other. Extra columns are left out. Empty in, empty out.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    docs = with_next(docs.withColumn("sigs", signatures(F.col("text"))), ["text", "sigs"])
+    docs = with_next(docs.withColumn("folded", fingerprint(signatures(F.col("text")))), ["text", "folded"])
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring(F.col("next.text"), F.lit(1), half))
-    docs = docs.select("doc_id", n.cast("long").alias("n_chars"), "sigs", edited.alias("edited"), F.col("next.sigs").alias("next_sigs"))
+    sets = unfold(F.col("folded")).alias("sigs"), unfold(F.col("next.folded")).alias("next_sigs")
+    docs = docs.select("doc_id", n.cast("long").alias("n_chars"), "folded", edited.alias("edited"), *sets)
     docs = docs.withColumn("edited_sigs", signatures(F.col("edited")))
     return docs.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
-        fingerprint(F.col("sigs")).alias("fingerprint"),
+        F.col("folded").alias("fingerprint"),
         fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"),
         likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
         likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),

@@ -35,11 +35,12 @@ def left_outer_join(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey").join(counted, "o_orderkey", "left").select("o_orderkey", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("SELECT l_orderkey, l_partkey, p_partkey, p_name FROM (SELECT l_orderkey, l_partkey FROM lineitem WHERE l_quantity = 1) RIGHT JOIN part ON l_partkey = p_partkey")
+@query("SELECT coalesce(l_orderkey, -1) AS l_orderkey, p_partkey, p_name FROM (SELECT l_orderkey, l_partkey FROM lineitem WHERE l_quantity = 1) RIGHT JOIN part ON l_partkey = p_partkey")
 def right_outer_join(spark, sf_dir):
     lines = read(spark, sf_dir, "lineitem").where("l_quantity = 1").select("l_orderkey", "l_partkey")
     part = read(spark, sf_dir, "part").select("p_partkey", "p_name")
-    return lines.join(part, lines.l_partkey == part.p_partkey, "right")
+    joined = lines.join(part, lines.l_partkey == part.p_partkey, "right")
+    return joined.select(F.coalesce("l_orderkey", F.lit(-1)).alias("l_orderkey"), "p_partkey", "p_name")
 
 
 @query("""SELECT coalesce(c.k, s.k) AS k, c.n AS customers, s.n AS suppliers FROM (SELECT c_nationkey AS k, count(*)::BIGINT AS n FROM customer WHERE c_acctbal > 9500 GROUP BY 1) c
@@ -98,13 +99,15 @@ def interval_join(spark, sf_dir):
     return joins.interval_pairs(bought, clicked, "user_id", "at", "2 HOURS", "clicked_at").select("purchase_id", "click_id")
 
 
-@query("""SELECT p.event_id, p.user_id, c.event_id AS click_id, c.value AS click_value FROM (SELECT * FROM events WHERE event_type = 'purchase') p
+@query("""SELECT p.event_id, p.user_id, coalesce(c.event_id, -1) AS click_id, c.value AS click_value FROM (SELECT * FROM events WHERE event_type = 'purchase') p
   ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c ON p.user_id = c.user_id AND p.ts >= c.ts""")
 def asof_join(spark, sf_dir):
     events = read(spark, sf_dir, "events")
     bought = events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
     clicked = events.where("event_type = 'click'").select("user_id", "ts", F.col("event_id").alias("click_id"), F.col("value").alias("click_value"))
-    return joins.asof_join(bought, clicked, ["user_id"], "ts", ["click_id", "click_value"]).select("event_id", "user_id", "click_id", "click_value")
+    return joins.asof_join(bought, clicked, ["user_id"], "ts", ["click_id", "click_value"]).select(
+        "event_id", "user_id", F.coalesce("click_id", F.lit(-1)).alias("click_id"), "click_value"
+    )
 
 
 @query("SELECT o_orderstatus, sum(l_quantity::BIGINT)::BIGINT AS qty FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderstatus")

@@ -18,7 +18,10 @@ from quern.llm.common import bucket_of, materialize, range_bounds, shared_dir
 
 END = 1
 #: Bytes of text whose distinct words are encoded together, and tokens in a block of the files.
-TEXT_BYTES = 16_000_000
+TEXT_BYTES = 32_000_000
+#: Words that go to the tokenizer in one string, and what stands between them.
+TOGETHER = 200
+BAR = "|"
 BLOCK_TOKENS = 500_000
 ROWS_PER_RANGE = 256
 
@@ -53,26 +56,66 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def _encode_words(tokenizer: Tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of words, one after the other, and where each one's begin."""
-    found = tokenizer.encode_batch_fast(words, add_special_tokens=False)
-    ids = [x.ids for x in found]
-    starts = np.append(0, np.cumsum(np.array([len(x) for x in ids], dtype=np.int64)))
-    return np.fromiter((y for x in ids for y in x), dtype=np.int32, count=int(starts[-1])), starts
+def _encode_words(tokenizer: Tokenizer, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of different words, one after the other, and where each one's begin.
+
+    Words go to the tokenizer by the hundred, a bar between them; the bar's id marks their ends. Those that hold
+    a bar go alone.
+    """
+    bar = tokenizer.encode(BAR, add_special_tokens=False).ids
+    found, sizes = [], np.zeros(len(words), np.int64)
+    alone = pc.match_substring(words, BAR).to_numpy(zero_copy_only=False)
+    alone_ids: dict[int, np.ndarray] = {}
+    joined = np.flatnonzero(~alone)
+    for i in range(0, len(joined), TOGETHER * 100):
+        some = words.take(pa.array(joined[i : i + TOGETHER * 100])).to_pylist()
+        texts = [f" {BAR} ".join(some[k : k + TOGETHER]) + f" {BAR}" for k in range(0, len(some), TOGETHER)]
+        ids = np.concatenate([np.array(x.ids, dtype=np.int32) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        ends = np.flatnonzero(ids == bar[0])
+        sizes[joined[i : i + len(some)]] = np.diff(ends, prepend=-1) - 1
+        found.append(np.delete(ids, ends))
+    for i in np.flatnonzero(alone).tolist():
+        alone_ids[i] = np.array(tokenizer.encode(words[i].as_py(), add_special_tokens=False).ids, dtype=np.int32)
+        sizes[i] = len(alone_ids[i])
+    starts = np.append(0, np.cumsum(sizes))
+    out = np.empty(starts[-1], np.int32)
+    if found:
+        out[~np.repeat(alone, sizes)] = np.concatenate(found)
+    for i, ids in alone_ids.items():
+        out[starts[i] : starts[i + 1]] = ids
+    return out, starts
+
+
+def _encode_distinct(tokenizer: Tokenizer, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The same for words that may differ in a comma or full stop after a letter, which is always a token of its own."""
+    marks = {m: tokenizer.encode(m, add_special_tokens=False).ids[0] for m in (",", ".")}
+    ends = {m: pc.match_substring_regex(words, rf"\p{{L}}[{m}]$").to_numpy(zero_copy_only=False) for m in marks}
+    marked = ends[","] | ends["."]
+    stems = pc.if_else(pa.array(marked), pc.utf8_slice_codeunits(words, 0, stop=-1), words).dictionary_encode()
+    stem_ids, stem_starts = _encode_words(tokenizer, stems.dictionary)
+    code = stems.indices.to_numpy()
+    own = stem_starts[code + 1] - stem_starts[code]
+    starts = np.append(0, np.cumsum(own + marked))
+    out = np.empty(starts[-1], np.int32)
+    for m, id_ in marks.items():
+        out[starts[1:][ends[m]] - 1] = id_
+    out[np.repeat(starts[:-1] - (np.cumsum(own) - own), own) + np.arange(own.sum())] = gather(stem_starts, stem_ids, code)
+    return out, starts
 
 
 def encode_texts(tokenizer: Tokenizer, texts: pa.Array) -> Iterator[np.ndarray]:
     """Ids of each text (null: none), the end id last.
 
-    This vocabulary drops white space and never joins what it separates, so a text's ids are those of its
-    words, and each distinct word is encoded once.
+    This vocabulary lowers case, drops white space and never joins what it separates, so a text's ids are those
+    of its words, and each distinct word is encoded once.
     """
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    texts = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
     split = pc.ascii_split_whitespace(texts)
     offsets = split.offsets.to_numpy()
     coded = split.values.dictionary_encode()
-    ids, starts = _encode_words(tokenizer, coded.dictionary.to_pylist())
+    ids, starts = _encode_distinct(tokenizer, coded.dictionary)
     unit = coded.indices.to_numpy()
+    del split, coded
     for i in range(len(texts)):
         yield np.append(gather(starts, ids, unit[offsets[i] : offsets[i + 1]]), np.int32(END))
 

@@ -159,4 +159,5 @@ def keep_identified(docs: DataFrame, least: float = 0.2) -> DataFrame:
     The model learns from the documents' own lang (held-out ids left out); without any, all documents are rejected.
     """
     model = train(docs.where(~held_out()))
-    return identify(docs, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
+    told = identify(docs.select("text", F.struct("*").alias("_row")), model, keep=["_row"])
+    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("_row.*")

@@ -76,5 +76,6 @@ def with_copies(docs: DataFrame, seed: int = 42, **plan) -> DataFrame:
 
 def mix(docs: DataFrame, seed: int = 42, **plan) -> DataFrame:
     """The mixed corpus: every document as many times as its source's rate says, with the columns of docs."""
-    taken = with_copies(docs, seed, **plan).where("copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    rows = docs.select("doc_id", "source", "text", F.struct("*").alias("_row"))
+    taken = with_copies(rows, seed, **plan).where("copies > 0")
+    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")

@@ -66,7 +66,7 @@ def with_copies(docs: DataFrame, seed: int = 42, **plan) -> DataFrame:
         targets = F.broadcast(targets)
     else:
         docs = docs.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
-        targets = targets.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        targets = targets.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         on.append("_salt")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate)

@@ -140,6 +140,11 @@ def gather(starts: np.ndarray, values: np.ndarray, rows: np.ndarray) -> np.ndarr
     return values[shift + np.arange(len(shift))]
 
 
+def own_texts(texts: pa.Array) -> pa.Array:
+    """A copy with null texts empty. Some string kernels misread arrays that are slices of others."""
+    return pc.fill_null(texts.cast(pa.large_string()), "").take(pa.array(np.arange(len(texts))))
+
+
 class _Pieces:
     """Distinct pieces of a batch, in the order in which they turned up."""
 
@@ -153,7 +158,7 @@ class _Pieces:
 
 def encode_batch(ranks: Ranks, texts: pa.Array, pattern: str) -> Iterator[np.ndarray]:
     """Ids of each text (null: none). A piece is replayed once for all the texts."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    texts = own_texts(texts)
     pieces = _Pieces(pattern)
     close = pc.match_substring_regex(texts, _CLOSE_SPACE).to_numpy(zero_copy_only=False)
     split = pc.split_pattern(texts, " ")

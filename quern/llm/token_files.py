@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
 
-from quern.llm.bpe import gather
+from quern.llm.bpe import gather, own_texts
 from quern.llm.common import bucket_of, materialize, range_bounds, shared_dir
 
 END = 1
@@ -87,11 +87,11 @@ def _encode_words(tokenizer: Tokenizer, words: pa.Array) -> tuple[np.ndarray, np
 
 
 def _encode_distinct(tokenizer: Tokenizer, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The same for words that may differ in a comma or full stop after a letter, which is always a token of its own."""
+    """The same for words that may differ in a comma or full stop after a small letter, which is always a token of its own."""
     marks = {m: tokenizer.encode(m, add_special_tokens=False).ids[0] for m in (",", ".")}
-    ends = {m: pc.match_substring_regex(words, rf"\p{{L}}[{m}]$").to_numpy(zero_copy_only=False) for m in marks}
+    ends = {m: pc.match_substring_regex(words, rf"\p{{Ll}}[{m}]$").to_numpy(zero_copy_only=False) for m in marks}
     marked = ends[","] | ends["."]
-    stems = pc.if_else(pa.array(marked), pc.utf8_slice_codeunits(words, 0, stop=-1), words).dictionary_encode()
+    stems = pc.replace_substring_regex(words, r"(\p{Ll})[,.]$", r"\1").dictionary_encode()
     stem_ids, stem_starts = _encode_words(tokenizer, stems.dictionary)
     code = stems.indices.to_numpy()
     own = stem_starts[code + 1] - stem_starts[code]
@@ -109,7 +109,7 @@ def encode_texts(tokenizer: Tokenizer, texts: pa.Array) -> Iterator[np.ndarray]:
     This vocabulary lowers case, drops white space and never joins what it separates, so a text's ids are those
     of its words, and each distinct word is encoded once.
     """
-    texts = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    texts = pc.ascii_lower(own_texts(texts))
     split = pc.ascii_split_whitespace(texts)
     offsets = split.offsets.to_numpy()
     coded = split.values.dictionary_encode()

@@ -34,6 +34,8 @@ def test_same_as_the_library(content, library):
     ranks = bpe.read_ranks(content)
     found = list(bpe.encode_batch(ranks, pa.array([*texts, None]), P.PATTERN))
     assert [list(x) for x in found] == [library.encode_ordinary(t) for t in [*texts, ""]]
+    again = list(bpe.encode_batch(ranks, pa.array([*texts, None]).slice(700), P.PATTERN))
+    assert [list(x) for x in again] == [list(x) for x in found[700:]]
     assert [bpe.decode_ids(ranks, x).decode() for x in found[:-1]] == texts
 
 

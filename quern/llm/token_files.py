@@ -22,12 +22,13 @@ TEXT_BYTES = 32_000_000
 #: Words that go to the tokenizer in one string, and what stands between them.
 TOGETHER = 200
 BAR = "|"
+#: ASCII marks but the apostrophe, which can begin a token with letters.
+MARKS = r"[!-&(-/:-@\[-`{-~]"
 BLOCK_TOKENS = 500_000
 ROWS_PER_RANGE = 256
 
 #: For each control byte (four 2-bit lengths less one, the first in the low bits): the bytes its four codes take.
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
-_TOTAL = _LENGTHS.sum(axis=1)
 
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -46,13 +47,13 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The n numbers of :func:`pack`; lengths come from a table over control bytes."""
     size = _LENGTHS[np.frombuffer(control, dtype=np.uint8)].reshape(-1)[:n]
     start = np.cumsum(size) - size
-    raw = np.append(np.frombuffer(data, dtype=np.uint8), np.zeros(3, np.uint8))
-    out = np.zeros(n, dtype=np.uint32)
-    for k in range(4):
-        has = size > k
-        if not has.any():
+    raw = np.frombuffer(data, dtype=np.uint8)
+    out = raw[start].astype(np.uint32)
+    for k in range(1, 4):
+        longer = np.flatnonzero(size > k)
+        if not len(longer):
             break
-        out[has] |= raw[start[has] + k].astype(np.uint32) << np.uint32(8 * k)
+        out[longer] |= raw[start[longer] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
 
 
@@ -87,20 +88,15 @@ def _encode_words(tokenizer: Tokenizer, words: pa.Array) -> tuple[np.ndarray, np
 
 
 def _encode_distinct(tokenizer: Tokenizer, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The same for words that may differ in a comma or full stop after a small letter, which is always a token of its own."""
-    marks = {m: tokenizer.encode(m, add_special_tokens=False).ids[0] for m in (",", ".")}
-    ends = {m: pc.match_substring_regex(words, rf"\p{{Ll}}[{m}]$").to_numpy(zero_copy_only=False) for m in marks}
-    marked = ends[","] | ends["."]
-    stems = pc.replace_substring_regex(words, r"(\p{Ll})[,.]$", r"\1").dictionary_encode()
-    stem_ids, stem_starts = _encode_words(tokenizer, stems.dictionary)
-    code = stems.indices.to_numpy()
-    own = stem_starts[code + 1] - stem_starts[code]
-    starts = np.append(0, np.cumsum(own + marked))
-    out = np.empty(starts[-1], np.int32)
-    for m, id_ in marks.items():
-        out[starts[1:][ends[m]] - 1] = id_
-    out[np.repeat(starts[:-1] - (np.cumsum(own) - own), own) + np.arange(own.sum())] = gather(stem_starts, stem_ids, code)
-    return out, starts
+    """The same for words that may share a stem: marks after its last small letter are always tokens of their own."""
+    cut = pc.extract_regex(words, rf"(?s)^(?P<stem>.*\p{{Ll}})(?P<marks>{MARKS}+)$")
+    stem = pc.coalesce(pc.struct_field(cut, "stem"), words)
+    marks = pc.coalesce(pc.struct_field(cut, "marks"), pa.scalar("", words.type))
+    both = pa.concat_arrays([stem, marks]).dictionary_encode()
+    ids, starts = _encode_words(tokenizer, both.dictionary)
+    code = both.indices.to_numpy().reshape(2, -1)
+    sizes = (starts[1:] - starts[:-1])[code].sum(axis=0)
+    return gather(starts, ids, code.T.ravel()), np.append(0, np.cumsum(sizes))
 
 
 def encode_texts(tokenizer: Tokenizer, texts: pa.Array) -> Iterator[np.ndarray]:
@@ -154,8 +150,9 @@ def id_counts(tokens: DataFrame) -> np.ndarray:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(65_536, np.int64)
         for batch in batches:
-            for x in batch.column("ids"):
-                total += np.bincount(np.frombuffer(x.as_buffer(), dtype="<u2"), minlength=65_536)
+            for i in range(0, len(batch), 512):
+                ids = b"".join(batch.column("ids").slice(i, 512).to_pylist())
+                total += np.bincount(np.frombuffer(ids, dtype="<u2"), minlength=65_536)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], names=["id", "n"])
 

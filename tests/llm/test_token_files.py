@@ -33,7 +33,7 @@ def test_small_numbers_take_one_byte():
 
 def test_same_as_the_library(library):
     random.seed(2)
-    parts = ["a", "B", "the", " ", "  ", "\n", "\t", " ", "\x1c", "\x85", "'s", "'LL", "1", "½", "é", "é", "́", "漢字", "😀", "!!", "|", "| ", " |", ".", ",", ".,", "a.", "é,", "1.", "\x0b", "​", "İ", "İ.", "É,", "ΑΣ", "Σ.", "<|endoftext|>", "</w>", "\x00", "ﬁ", "한"]
+    parts = ["a", "B", "the", " ", "  ", "\n", "\t", " ", "\x1c", "\x85", "'s", "'LL", "1", "½", "é", "é", "́", "漢字", "😀", "!!", "|", "| ", " |", ".", ",", ".,", "a.", "é,", "1.", "a|", "!|", "b(", "`", "~'s", "a^'", "\x0b", "​", "İ", "İ.", "É,", "ΑΣ", "Σ.", "<|endoftext|>", "</w>", "\x00", "ﬁ", "한"]
     texts = ["".join(random.choice(parts) for _ in range(random.randint(0, 30))) for _ in range(3000)] + ["", None, " ", "|", "."]
     found = list(tf.encode_texts(library, pa.array(texts)))
     assert [list(x) for x in found] == [library.encode(t or "", add_special_tokens=False).ids + [tf.END] for t in texts]

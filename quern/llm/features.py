@@ -58,11 +58,14 @@ def hash_below(share: Column, seed: str, column: str = "doc_id") -> Column:
 
 
 def bounded_sample(rows: DataFrame, by: str, per_value: int, most: int, seed: str) -> DataFrame:
-    """About per_value rows for each value of ``by``, by a hash of doc_id, and never more than ``most`` in all."""
-    share = F.lit(float(per_value)) / F.col("_n")
+    """About per_value rows for each value of ``by``, by a hash of doc_id, and about ``most`` in all.
+
+    Callers limit what they make of the rows to ``most``, too; that only matters if chance overshoots.
+    """
     counted = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
     shares = {r[by]: r["_n"] for r in counted.limit(most).collect()}
     if not shares:
         return rows.limit(0)
+    each = min(float(per_value), 0.9 * most / len(shares))
     sizes = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])
-    return rows.withColumn("_n", sizes[F.col(by)]).where(hash_below(share, seed)).drop("_n").limit(most)
+    return rows.where(hash_below(F.lit(each) / sizes[F.col(by)], seed))

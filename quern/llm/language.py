@@ -101,7 +101,8 @@ def train(labelled: DataFrame, rows: int = SAMPLE_ROWS, per_language: int = SAMP
         for part in batches:
             yield pd.DataFrame({"lang": part["lang"], "x": [v.astype(np.float32).tobytes() for v in language_features(list(part["text"]))]})
 
-    found = bounded_sample(usable, "lang", per_language, rows, ":language").select("text", "lang").mapInPandas(count, "lang string, x binary").toPandas()
+    sample = bounded_sample(usable, "lang", per_language, rows, ":language").select("text", "lang")
+    found = sample.mapInPandas(count, "lang string, x binary").limit(rows).toPandas()
     if found.empty:
         return None
     found = found.sort_values(["lang", "x"], kind="stable")

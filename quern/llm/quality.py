@@ -74,7 +74,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, r
     singular vectors of the sample's weighted terms.
     """
     usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("quality"))
-    chosen = bounded_sample(usable, "quality", per_label, rows, ":quality")
+    chosen = bounded_sample(usable, "quality", per_label, rows, ":quality").limit(rows)
     pairs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -83,7 +83,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, r
                 here = part.iloc[start : start + len(x)]
                 yield pd.DataFrame({"doc_id": here["doc_id"], "quality": here["quality"], "x": [v.tobytes() for v in x.astype(np.float16)]})
 
-    found = pairs.limit(rows).mapInPandas(count, "doc_id long, quality int, x binary").toPandas()
+    found = pairs.mapInPandas(count, "doc_id long, quality int, x binary").limit(rows).toPandas()
     if found.empty:
         return None
     found = found.sort_values(["doc_id", "quality"], kind="stable")

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from quern.catalog import TABLES
-from quern.plans import aggregating, files_and_streams, joining, relational, scalars  # noqa: F401
+from quern.plans import aggregating, files_and_streams, joining, more, relational, scalars  # noqa: F401
 from quern.plans.registry import ORACLES, QUERIES
 
 

@@ -15,6 +15,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
+from quern.llm.common import give_back
+
 #: No token: ends of words and pairs without a merge.
 NONE = np.int32(2**31 - 1)
 #: Characters of text whose distinct words are replayed together.
@@ -207,28 +209,31 @@ def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
         start = stop
 
 
-def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, decoded: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids): ids are little-endian unsigned 32-bit integers in a binary column.
 
     A row for each row of docs, repeats and null ids included; null and empty texts have no ids. Extra columns
-    are left out. The replay is per partition: no word leaves its task.
+    are left out. The replay is per partition: no word leaves its task. With decoded, the bytes that the ids
+    decode to are added in the same pass; :func:`decode` does it for ids that are already there.
     """
     content = _content(docs.sparkSession, path)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.large_binary())])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = read_ranks(content.value)
         for batch in batches:
             for part in _slices(batch, "text"):
                 ids = list(encode_batch(ranks, part.column("text"), pattern))
-                packed = pa.array([x.astype("<u4").tobytes() for x in ids], pa.large_binary())
-                counts = pa.array([len(x) for x in ids], pa.int64())
+                out = {"doc_id": part.column("doc_id"), "n_tokens": pa.array([len(x) for x in ids], pa.int64())}
+                out["ids"] = pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())
+                if decoded:
+                    out["decoded"] = pa.array([decode_ids(ranks, x) for x in ids], pa.binary())
                 del ids
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), counts, packed], schema=schema)
-                del packed
-                pa.default_memory_pool().release_unused()
+                yield pa.RecordBatch.from_pydict(out)
+                del out
+                give_back()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(of, "doc_id long, n_tokens long, ids binary")
+    schema = "doc_id long, n_tokens long, ids binary" + ", decoded binary" * decoded
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(of, schema)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:

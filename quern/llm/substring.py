@@ -10,7 +10,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from quern.llm.common import materialize, whole_runs
+from quern.llm.common import give_back, materialize, whole_runs
 
 WINDOW = 20
 #: Words of a minimiser; a window has WINDOW - MINIMISER + 1 of them and takes the one of the least hash.
@@ -92,6 +92,8 @@ def shared_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield here
             told = here[one & ~end].assign(kind=np.int8(2))
             yield told.assign(place=told["minimiser"])
+        del value, d, start, order, first, last, here, told
+        give_back()
 
     def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in whole_runs(batches, ["place"]):
@@ -143,6 +145,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, hot_runs: int = HOT_
                             out.append((place, d, h, i, k, span))
             if out:
                 yield pd.DataFrame(out, columns=["place", "d", "h", "start", "count", "packed"])
+        seen.clear()
+        out = rows = None
+        give_back()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         place, seen = None, {}
@@ -170,6 +175,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, hot_runs: int = HOT_
                     i = j
             if out:
                 yield pd.DataFrame(out, columns=["d", "h", "start", "count"])
+        out = rows = seen = None
+        give_back()
 
     with_runs = docs.join(per_text, "d").select("d", F.xxhash64("text", "rest").alias("h"), "text", "starts")
     dealt = with_runs.mapInPandas(pack, schema).repartition("place").sortWithinPartitions("place", "d", "start")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
 
 from quern.llm.bpe import gather, own_texts
-from quern.llm.common import bucket_of, materialize, range_bounds, shared_dir
+from quern.llm.common import bucket_of, give_back, materialize, range_bounds, shared_dir
 
 END = 1
 #: Bytes of text whose distinct words are encoded together, and tokens in a block of the files.
@@ -139,7 +139,7 @@ def tokenize(docs: DataFrame, path: str | None = None) -> DataFrame:
                 ids = [x.astype("<u2").tobytes() for x in encode_texts(tokenizer, part.column("text"))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], schema=schema)
                 del ids
-                pa.default_memory_pool().release_unused()
+                give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(of, "doc_id long, n_tokens long, ids binary")
 

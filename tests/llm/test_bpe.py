@@ -49,6 +49,7 @@ def test_a_batch_is_cut_by_its_bytes(content, monkeypatch):
 def test_documents(make, odd_rows, library):
     docs = make(odd_rows, clashing=True)
     rows = bpe.decode(bpe.encode(docs)).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, bpe.encode(docs, decoded=True).collect()))
     assert len(rows) == len(odd_rows)
     expected = sorted((str(i), struct.pack(f"<{len(x)}I", *x), (t or "").encode()) for i, t, *_ in odd_rows for x in [library.encode_ordinary(t or "")])
     assert sorted((str(r["doc_id"]), bytes(r["ids"]), bytes(r["decoded"])) for r in rows) == expected

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import math
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -28,10 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset (local runs)."""
+    """The folder in spark.checkpoint.dir; a temporary one only in local runs where that is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_scratch:
         _own_scratch[app] = "file://" + tempfile.mkdtemp(prefix="spark-quern-")

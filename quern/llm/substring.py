@@ -179,7 +179,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, hot_runs: int = HOT_
         give_back()
 
     with_runs = docs.join(per_text, "d").select("d", F.xxhash64("text", "rest").alias("h"), "text", "starts")
-    dealt = with_runs.mapInPandas(pack, schema).repartition("place").sortWithinPartitions("place", "d", "start")
+    # sorted (as a merge join leaves it), so that a task run again gives the same rows
+    dealt = with_runs.sortWithinPartitions("d").mapInPandas(pack, schema).repartition("place").sortWithinPartitions("place", "d", "start")
     return dealt.mapInPandas(count, "d long, h long, start int, count int")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,8 +15,10 @@ _own: dict[str, str] = {}
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new path below the cluster's shared folder, or below a temporary one where none is named."""
+    """A new path below the cluster's shared folder (spark.checkpoint.dir), or in local runs below a temporary one."""
     top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not top:
         top = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="spark-quern-"))
     return f"{top}/files-{uuid.uuid4().hex}"

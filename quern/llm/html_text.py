@@ -30,7 +30,11 @@ CHROME_WORDS = frozenset(
     "promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe "
     "subscription toolbar topbar widget widgets".split()
 )
-ARTICLE_WORDS = frozenset("article articlebody story".split())
+#: Parts of such names that are plain however they are joined.
+CHROME_STEMS = re.compile(r"advert|breadcrumb|commentlist|comment-|comments|cookie|disqus|footer|navbar|newsletter|pagination|sidebar|sponsor|subscri")
+#: Names of containers that hold an article: one word of each set, or one of these alone.
+ARTICLE_WORDS = frozenset("article articlebody content main story".split())
+ARTICLE_OWNERS, ARTICLE_PARTS = frozenset("article blog entry main page post story".split()), frozenset("body content text".split())
 
 _token = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _attribute = re.compile(r"""(class|id|role|itemprop|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/"']|\Z)""", re.I)
@@ -114,7 +118,7 @@ class Block:
     words: int
     links: float
     chrome: bool
-    inside: bool
+    inside: int
     heading: bool
 
 
@@ -122,7 +126,7 @@ class Block:
 class _Open:
     tag: str
     chrome: bool
-    article: bool
+    article: int  # 2: by its element or role, 1: by its name, 0: not
 
 
 @dataclass
@@ -134,7 +138,7 @@ class _Page:
     text: list[str] = field(default_factory=list)
     link_text: list[str] = field(default_factory=list)
     in_link: bool = False
-    has_article: bool = False
+    has_article: int = 0
 
     def end_block(self) -> None:
         words = "".join(self.text).split()
@@ -146,7 +150,7 @@ class _Page:
                     len(words),
                     min(1.0, linked / len(words)),
                     any(x.chrome for x in self.open),
-                    any(x.article for x in self.open),
+                    max((x.article for x in self.open), default=0),
                     any(x.tag in HEADINGS for x in self.open),
                 )
             )
@@ -164,9 +168,9 @@ class _Page:
             closes = {"p"} | ({tag} if tag != "p" else set())
             if self.open and self.open[-1].tag in closes:
                 self.open.pop()
-        inside = any(x.article for x in self.open)
-        chrome, article = _marks(tag, attributes, inside)
-        self.has_article |= article and not any(x.chrome for x in self.open)
+        chrome, article = _marks(tag, attributes, any(x.article for x in self.open))
+        if not any(x.chrome for x in self.open):
+            self.has_article = max(self.has_article, article)
         self.open.append(_Open(tag, chrome, article))
 
     def finish(self, tag: str) -> None:
@@ -176,30 +180,31 @@ class _Page:
                 break
 
 
-def _marks(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
-    """Whether an element is marked as something else than the article, and whether as the article."""
+def _marks(tag: str, attributes: str, inside: bool) -> tuple[bool, int]:
+    """Whether an element is marked as something else than the article, and how strongly as the article."""
     chrome = tag in CHROME_TAGS or tag == "header" and not inside
-    article = tag in ("article", "main")
+    article = 2 if tag in ("article", "main") else 0
     for name, value in _attribute.findall(attributes) if attributes else ():
         name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id"):
+        if name in ("class", "id") and tag not in ("body", "html", "main"):
             words = {w.lower() for w in _name_word.findall(value)} - ({"header"} if inside else set())
-            chrome |= bool(words & CHROME_WORDS) and tag not in ("body", "html", "main")
-            article |= bool(words & ARTICLE_WORDS) and tag in ("div", "section", "td")
+            chrome |= bool(words & CHROME_WORDS) or bool(CHROME_STEMS.search(value.lower()))
+            named = bool(words & ARTICLE_OWNERS and words & ARTICLE_PARTS) or len(words) == 1 and words <= ARTICLE_WORDS
+            article = max(article, named and tag in ("div", "section", "td"))
         elif name == "role":
             chrome |= value.lower() in CHROME_ROLES
-            article |= value.lower() in ("article", "main")
+            article = 2 if value.lower() in ("article", "main") else article
         elif name == "itemprop":
-            article |= value.lower() == "articlebody"
+            article = 2 if value.lower() == "articlebody" else article
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             chrome = True
         elif name == "style":
             chrome |= bool(re.search(r"display\s*:\s*none", value, re.I))
-    return chrome, article and not chrome
+    return chrome, 0 if chrome else int(article)
 
 
-def text_blocks(page: str) -> tuple[list[Block], bool]:
-    """The page's flat blocks in order, and whether an article is marked. Broken markup is read as far as it goes.
+def text_blocks(page: str) -> tuple[list[Block], int]:
+    """The page's flat blocks in order, and how strongly an article is marked on it (0: not). Broken markup is read as far as it goes.
 
     ``br`` is white space; other block elements end a block. Character references are decoded once.
     """
@@ -238,17 +243,18 @@ def text_blocks(page: str) -> tuple[list[Block], bool]:
     return state.blocks, state.has_article
 
 
-def features(blocks: list[Block], has_article: bool) -> np.ndarray:
+def features(blocks: list[Block], has_article: int) -> np.ndarray:
     """A row per block: words, links, both of the block before and after; chrome, inside or outside an article, heading."""
     own = np.array([(b.words, b.links) for b in blocks], dtype=float).reshape(-1, 2)
     none = np.zeros((1, 2))
-    marks = [(b.chrome, b.inside, has_article and not b.inside, b.heading) for b in blocks]
+    inside = [bool(has_article) and b.inside >= has_article for b in blocks]
+    marks = [(b.chrome, i, bool(has_article) and not i, b.heading) for b, i in zip(blocks, inside, strict=True)]
     return np.hstack([own, np.vstack([none, own[:-1]])[: len(own)], np.vstack([own[1:], none])[: len(own)], np.array(marks, dtype=float).reshape(-1, 4)])
 
 
 def main_text(page: str | None, tree: Tree) -> str:
     """The kept blocks joined by line feeds; empty for null, empty and markup-only pages."""
-    blocks, has_article = text_blocks(page) if isinstance(page, str) and page else ([], False)
+    blocks, has_article = text_blocks(page) if isinstance(page, str) and page else ([], 0)
     if not blocks:
         return ""
     keep = tree.predict(features(blocks, has_article)) > 0.5

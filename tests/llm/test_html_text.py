@@ -27,6 +27,13 @@ def test_page_without_article():
     assert text(page) == f"Title of it\n{long}.\n{long} too."
 
 
+def test_named_containers():
+    body = "<h1>T</h1><p>Short.</p><div class=inlineAdvert>Buy</div><p>Also.</p>"
+    page = f'<div id="page"><div class="site-nav"><a href=/>Home</a></div><div class="entry-content">{body}</div><ol class="commentlist"><li>Nice words</ol><div>Loose words here</div></div>'
+    assert text(page) == "T\nShort.\nAlso."
+    assert text(f"<div id=content>{body}<article>Inner.</article></div>") == "Inner."
+
+
 def test_odd_pages():
     tree = html_text.train()
     for page in (None, "", "<", "<p", "<!-- x", "<script>x", "</div></p>", "<article>", "<p>" * 3000, "<div>" * 3000 + "x", '<a href="' * 500):

@@ -72,9 +72,9 @@ def percentiles(spark, sf_dir):
     return read(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.round(F.median("c_acctbal"), 4).alias("middle"), F.round(F.percentile("c_acctbal", 0.9), 4).alias("top"), low.alias("low"))
 
 
-@query("SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
+@query("SELECT s_nationkey, string_agg(s_name, ',' ORDER BY s_name) AS names FROM supplier GROUP BY s_nationkey")
 def listagg(spark, sf_dir):
-    return read(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.expr("listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name)").alias("names"))
+    return read(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.expr("listagg(s_name, ',') WITHIN GROUP (ORDER BY s_name)").alias("names"))
 
 
 @query("SELECT c_nationkey, arg_max(c_custkey, c_acctbal) AS richest, arg_min(c_custkey, c_acctbal) AS poorest FROM customer GROUP BY c_nationkey")

@@ -51,10 +51,11 @@ def full_outer_join(spark, sf_dir):
     return customers.join(suppliers, "k", "full")
 
 
-@query("SELECT r_name, n_name FROM region, nation WHERE r_regionkey = 0")
+@query("SELECT r_name, c_mktsegment, n FROM region, (SELECT c_mktsegment, count(*)::BIGINT AS n FROM customer GROUP BY c_mktsegment)")
 def cross_join(spark, sf_dir):
-    """Of two tables of fixed size."""
-    return read(spark, sf_dir, "region").where("r_regionkey = 0").select("r_name").crossJoin(read(spark, sf_dir, "nation").select("n_name"))
+    """Of two sides that stay small: regions, and a row a market segment."""
+    counted = read(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
+    return read(spark, sf_dir, "region").select("r_name").crossJoin(counted)
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 480000)")
@@ -117,11 +118,12 @@ def salted_join(spark, sf_dir):
     return joins.salted_join(lines, orders, "k").groupBy("o_orderstatus").agg(F.sum("q").alias("qty"))
 
 
-@query("SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+@query("SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey AND abs(a.s_acctbal - b.s_acctbal) < 500")
 def self_join(spark, sf_dir):
-    a = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("a"), "n_regionkey")
-    b = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("b"), "n_regionkey")
-    return a.join(b, "n_regionkey").where("a < b").select("a", "b")
+    supplier = read(spark, sf_dir, "supplier")
+    a = supplier.select(F.col("s_suppkey").alias("a"), "s_nationkey", F.col("s_acctbal").alias("has"))
+    b = supplier.select(F.col("s_suppkey").alias("b"), "s_nationkey", F.col("s_acctbal").alias("other"))
+    return a.join(b, "s_nationkey").where("a < b AND abs(has - other) < 500").select("a", "b")
 
 
 @query("""SELECT r_name, sum(round(l_extendedprice * 100)::BIGINT * (100 - round(l_discount * 100)::BIGINT))::BIGINT AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey

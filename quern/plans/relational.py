@@ -66,14 +66,16 @@ def exists_subquery(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey").join(lines, "o_orderkey", "left_semi")
 
 
-@query("""WITH RECURSIVE chain AS (SELECT r_regionkey AS root, r_regionkey AS k, 0 AS depth FROM region
-  UNION ALL SELECT root, n_nationkey, depth + 1 FROM chain JOIN nation ON n_regionkey = k AND n_nationkey > k WHERE depth < 4)
-  SELECT root, depth::BIGINT AS depth, count(*)::BIGINT AS n FROM chain GROUP BY root, depth""")
+_YEARS = """WITH RECURSIVE years AS (SELECT min(extract(year FROM o_orderdate)) AS y FROM orders
+  UNION ALL SELECT y + 1 FROM years WHERE y < (SELECT max(extract(year FROM o_orderdate)) FROM orders))
+  SELECT CAST(y AS BIGINT) AS y, count(o_orderkey) AS n FROM years LEFT JOIN orders ON extract(year FROM o_orderdate) = y GROUP BY y"""
+
+
+@query(_YEARS)
 def recursive_cte(spark, sf_dir):
-    register(spark, sf_dir, "region", "nation")
-    return spark.sql("""WITH RECURSIVE chain AS (SELECT r_regionkey AS root, r_regionkey AS k, 0 AS depth FROM region
-      UNION ALL SELECT root, n_nationkey, depth + 1 FROM chain JOIN nation ON n_regionkey = k AND n_nationkey > k WHERE depth < 4)
-      SELECT root, CAST(depth AS BIGINT) AS depth, count(*) AS n FROM chain GROUP BY root, depth""")
+    """Every year from the first order to the last, and its orders."""
+    register(spark, sf_dir, "orders")
+    return spark.sql(_YEARS)
 
 
 @query("SELECT o_orderpriority, count(*)::BIGINT AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY o_orderpriority")
@@ -110,10 +112,10 @@ def stack_columns(spark, sf_dir):
     return read(spark, sf_dir, "supplier").selectExpr("s_suppkey", "stack(2, 'name', s_name, 'nation', CAST(s_nationkey AS STRING)) AS (k, v)")
 
 
-@query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1 UNION ALL SELECT r_regionkey, r_name FROM region")
+@query("SELECT c_name AS name, c_acctbal AS has FROM customer WHERE c_acctbal > 9000 UNION ALL SELECT s_name, s_acctbal FROM supplier")
 def union_all(spark, sf_dir):
-    nation = read(spark, sf_dir, "nation").where("n_regionkey = 1").select("n_nationkey", "n_name")
-    return nation.unionByName(read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n_nationkey"), F.col("r_name").alias("n_name")))
+    customers = read(spark, sf_dir, "customer").where("c_acctbal > 9000").select(F.col("c_name").alias("name"), F.col("c_acctbal").alias("has"))
+    return customers.unionByName(read(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.col("s_acctbal").alias("has")))
 
 
 @query("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")

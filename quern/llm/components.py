@@ -12,17 +12,18 @@ MAX_ROUNDS = 60
 
 
 def local_labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """For nodes 0..n-1 and the edges (a[i], b[i]): the smallest node of each one's component."""
+    """For nodes 0..n-1 and the edges (a[i], b[i]): the smallest node of each one's component.
+
+    Labels are roots at the start of every round; only roots are moved, each to the smallest root it has an edge
+    to, and an edge is done with when both its ends have one root.
+    """
     label = np.arange(n)
     while len(a):
-        low = np.minimum(label[a], label[b])
-        np.minimum.at(label, label[a], low)
-        np.minimum.at(label, label[b], low)
-        label = label[label]
+        np.minimum.at(label, np.maximum(label[a], label[b]), np.minimum(label[a], label[b]))
+        while not np.array_equal(label, up := label[label]):
+            label = up
         open_ = label[a] != label[b]
         a, b = a[open_], b[open_]
-    while not np.array_equal(label, label[label]):
-        label = label[label]
     return label
 
 

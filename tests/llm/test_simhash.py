@@ -54,6 +54,16 @@ def test_lookup_of_masks_links_like_pairs():
     assert np.array_equal(pairs, masks)
 
 
+def test_local_labels_of_random_graphs():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        n = int(rng.integers(1, 40))
+        a, b = rng.integers(0, n, (2, int(rng.integers(0, 60))))
+        pairs = set(zip(a.tolist(), b.tolist(), strict=True))
+        expected = brute_components([(i, i) for i in range(n)], lambda x, y: (x, y) in pairs or (y, x) in pairs)
+        assert cc.local_labels(a, b, n).tolist() == expected
+
+
 def test_components_of_chains_stars_and_loops(spark):
     random.seed(2)
     chain = [(i, i + 1) for i in range(100, 160)]

@@ -103,17 +103,32 @@ def encode_texts(tokenizer: Tokenizer, texts: pa.Array) -> Iterator[np.ndarray]:
     """Ids of each text (null: none), the end id last.
 
     This vocabulary lowers case, drops white space and never joins what it separates, so a text's ids are those
-    of its words, and each distinct word is encoded once.
+    of its words, and each distinct word is encoded once. Texts with an added token's content go to the library
+    whole, which recognises it unless the tokenizer encodes special tokens like other text.
     """
-    texts = pc.ascii_lower(own_texts(texts))
+    texts, as_text = own_texts(texts), tokenizer.encode_special_tokens
+    marked = {}
+    if not as_text:
+        hit = np.zeros(len(texts), bool)
+        for token in tokenizer.get_added_tokens_decoder().values():
+            hit |= pc.fill_null(pc.match_substring(texts, token.content, ignore_case=token.normalized), False).to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(hit).tolist():
+            marked[i] = np.array(tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, dtype=np.int32)
+        if marked:
+            texts = pc.if_else(pa.array(hit), pa.scalar("", texts.type), texts)
+    texts = pc.ascii_lower(texts)
     split = pc.ascii_split_whitespace(texts)
     offsets = split.offsets.to_numpy()
     coded = split.values.dictionary_encode()
-    ids, starts = _encode_distinct(tokenizer, coded.dictionary)
+    tokenizer.encode_special_tokens = True  # lower-cased or cut, a word can look like an added token
+    try:
+        ids, starts = _encode_distinct(tokenizer, coded.dictionary)
+    finally:
+        tokenizer.encode_special_tokens = as_text
     unit = coded.indices.to_numpy()
     del split, coded
     for i in range(len(texts)):
-        yield np.append(gather(starts, ids, unit[offsets[i] : offsets[i + 1]]), np.int32(END))
+        yield np.append(marked[i] if i in marked else gather(starts, ids, unit[offsets[i] : offsets[i + 1]]), np.int32(END))
 
 
 def _parts(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
@@ -133,7 +148,6 @@ def tokenize(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = Tokenizer.from_str(content.value)
-        tokenizer.encode_special_tokens = True
         for batch in batches:
             for part in _parts(batch, "text", TEXT_BYTES):
                 ids = [x.astype("<u2").tobytes() for x in encode_texts(tokenizer, part.column("text"))]

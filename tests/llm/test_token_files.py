@@ -77,3 +77,15 @@ def test_query(spark, sf, library):
     given = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
     found = sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in queries.op4_token_files(spark, sf).collect())
     assert found == rows_of(library, given)
+
+
+def test_added_tokens_in_a_text(spark, make):
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    random.seed(3)
+    parts = ["a", " ", "the", ".", "x<|endoftext|>", "<|endoftext|>", " <|startoftext|> ", "<|ENDOFTEXT|>", "<|endoftext", "|>", "É"]
+    texts = ["one <|endoftext|> two", None, ""] + ["".join(random.choice(parts) for _ in range(random.randint(0, 9))) for _ in range(500)]
+    assert list(next(tf.encode_texts(library, pa.array(texts)))) == [637, 49407, 1237, tf.END]
+    assert [list(x) for x in tf.encode_texts(library, pa.array(texts))] == [library.encode(t or "", add_special_tokens=False).ids + [tf.END] for t in texts]
+    assert [list(x) for x in tf.encode_texts(library, pa.array(texts).slice(100))] == [library.encode(t or "", add_special_tokens=False).ids + [tf.END] for t in texts[100:]]
+    given = list(enumerate(texts[:40]))
+    assert read_back(spark, tf.store(make(given))) == rows_of(library, given)

@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from quern.catalog import cents, read
 from quern.operators import windows
-from quern.plans.registry import query
+from quern.plans.registry import ORACLES, query
 
 
 @query("""SELECT l_returnflag, l_linestatus, sum(l_quantity::BIGINT)::BIGINT AS qty, sum(round(l_extendedprice * 100)::BIGINT)::BIGINT AS price,
@@ -192,3 +192,32 @@ def sessionize(spark, sf_dir):
 def fill_gaps(spark, sf_dir):
     daily = read(spark, sf_dir, "events").where("user_id % 7 = 1").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
     return windows.gaps_filled(daily, "event_type", "day", "DAY", "n").withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+# The same over whole tables, beside queries whose SQL takes some ids only.
+
+
+@query(ORACLES["collected_list"].replace(" WHERE o_custkey % 5 = 0", ""))
+def collected_list_whole(spark, sf_dir):
+    keys = F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda k: k.cast("string"))
+    return read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(keys, ",").alias("orders"))
+
+
+@query(ORACLES["ranking"].replace(" WHERE o_custkey < 300", ""))
+def ranking_whole(spark, sf_dir):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    ranks = [f.over(w).cast("long").alias(a) for f, a in ((F.rank(), "r"), (F.dense_rank(), "d"), (F.row_number(), "n"), (F.ntile(4), "q"))]
+    return read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", *ranks)
+
+
+@query(ORACLES["range_frame"].replace(" WHERE user_id < 40", ""))
+def range_frame_whole(spark, sf_dir):
+    events = read(spark, sf_dir, "events").withColumn("micros", F.unix_micros(F.col("ts").cast("timestamp")))
+    w = Window.partitionBy("event_type").orderBy("micros").rangeBetween(-6 * 3_600_000_000, 0)
+    return events.select("event_id", F.count(F.lit(1)).over(w).alias("recent"))
+
+
+@query(ORACLES["fill_gaps"].replace(" WHERE user_id % 7 = 1", ""))
+def fill_gaps_whole(spark, sf_dir):
+    daily = read(spark, sf_dir, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    return windows.gaps_filled(daily, "event_type", "day", "DAY", "n").withColumn("day", F.date_format("day", "yyyy-MM-dd"))

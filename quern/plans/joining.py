@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from quern.catalog import cents, read, register
 from quern.operators import joins
@@ -84,6 +84,16 @@ def theta_join(spark, sf_dir):
     return c.join(s, (c.c_nationkey == s.s_nationkey) & (c.c_acctbal > s.s_acctbal)).select("c_custkey", "s_suppkey")
 
 
+@query("""SELECT c_custkey, count(s_suppkey)::BIGINT AS n FROM customer LEFT JOIN supplier ON c_nationkey = s_nationkey AND c_acctbal > s_acctbal GROUP BY c_custkey""")
+def theta_join_whole(spark, sf_dir):
+    """How many rows theta_join has for each customer, of all customers: both sides are sorted, and no pair is formed."""
+    c = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_acctbal").alias("x"), F.lit(0).alias("one"), "c_custkey")
+    s = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_acctbal").alias("x"), F.lit(1).alias("one"))
+    below = Window.partitionBy("k").orderBy("x", "one").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = c.unionByName(s, allowMissingColumns=True).withColumn("n", F.sum("one").over(below))
+    return counted.where("one = 0").select("c_custkey", "n")
+
+
 @query("SELECT s_suppkey, p_partkey FROM part JOIN supplier ON p_retailprice BETWEEN s_acctbal - 2 AND s_acctbal + 2")
 def band_join(spark, sf_dir):
     part = read(spark, sf_dir, "part").select("p_partkey", "p_retailprice")

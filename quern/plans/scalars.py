@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quern.catalog import cents, read, register
 from quern.functions import text, vectors
-from quern.plans.registry import query
+from quern.plans.registry import ORACLES, query
 
 
 @query("""SELECT p_partkey, upper(p_name) AS u, substring(p_name, 2, 4) AS s, length(p_name)::BIGINT AS n, replace(p_name, ' ', '_') AS r, p_brand || '/' || p_type AS c,
@@ -56,7 +56,15 @@ def time_functions(spark, sf_dir):
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, floor(l_extendedprice / 1000)::BIGINT AS k, abs(l_quantity - 25) AS off, round(sqrt(l_quantity), 6) AS root, (l_partkey % 7)::BIGINT AS m7,
   CASE WHEN l_discount = 0 THEN NULL ELSE round(l_tax / l_discount, 6) END AS ratio, greatest(l_tax, l_discount) AS more FROM lineitem WHERE l_orderkey % 4 = 0""")
 def math_functions(spark, sf_dir):
-    lines = read(spark, sf_dir, "lineitem").where("l_orderkey % 4 = 0")
+    return _numbers(read(spark, sf_dir, "lineitem").where("l_orderkey % 4 = 0"))
+
+
+@query(ORACLES["math_functions"].replace(" WHERE l_orderkey % 4 = 0", ""))
+def math_functions_whole(spark, sf_dir):
+    return _numbers(read(spark, sf_dir, "lineitem"))
+
+
+def _numbers(lines):
     return lines.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", F.floor(F.col("l_extendedprice") / 1000).alias("k"), F.abs(F.col("l_quantity") - 25).alias("off"), F.round(F.sqrt("l_quantity"), 6).alias("root"),
         (F.col("l_partkey") % 7).alias("m7"), F.round(F.try_divide("l_tax", "l_discount"), 6).alias("ratio"), F.greatest("l_tax", "l_discount").alias("more"),

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quern.llm.common import bucket_of, range_bounds
+from quern.llm.common import with_ranges
 
 #: Common words of English, German, French and Spanish.
 ANCHORS = (
@@ -64,19 +64,15 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     sorted apart; the last document of a range also goes to the next range as a guest, and the last of all to the
     first, so that no window spans the table.
     """
-    bounds = range_bounds(docs, "doc_id", ROWS_PER_RANGE)
-    bucket = bucket_of(F.col("doc_id"), bounds)
-    own = F.struct(bucket.alias("bucket"), F.lit(0).alias("guest"))
-    places = F.array(own)
-    if bounds:
-        follows = F.when(F.get(F.lit(bounds), bucket) == F.col("doc_id"), F.struct((bucket + 1).alias("bucket"), F.lit(1).alias("guest")))
-        wraps = F.when(F.col("doc_id") == bounds[-1], F.struct(F.lit(0).alias("bucket"), F.lit(2).alias("guest")))
-        places = F.filter(F.array(own, follows, wraps), lambda x: x.isNotNull() & (x["bucket"] < max(1, len(bounds))))
-    dealt = docs.withColumn("_at", F.explode(places)).withColumns({"_bucket": F.col("_at.bucket"), "_guest": F.col("_at.guest")}).drop("_at")
-    down = Window.partitionBy("_bucket").orderBy(F.col("_guest") == 2, F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
+    guest = lambda at, kind: F.struct(at.cast("long").alias("range"), F.lit(kind).alias("guest"))
+    follows = F.when((F.col("doc_id") == F.col("_last")) & F.col("_next").isNotNull(), guest(F.col("_next"), 1))
+    wraps = F.when((F.col("doc_id") == F.col("_last")) & F.col("_next").isNull(), guest(F.lit(0), 2))
+    places = F.array_compact(F.array(guest(F.col("_range"), 0), follows, wraps))
+    dealt = with_ranges(docs, "doc_id", ROWS_PER_RANGE).withColumn("_at", F.explode(places)).select(*docs.columns, "_at.range", "_at.guest")
+    down = Window.partitionBy("range").orderBy(F.col("guest") == 2, F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
     here = F.struct(*columns)
     next_ = F.coalesce(F.lead(here).over(down), F.first(here).over(down))
-    return dealt.withColumn("next", next_).where("_guest = 0").drop("_bucket", "_guest")
+    return dealt.withColumn("next", next_).where("guest = 0").drop("range", "guest")
 
 
 def edited_likeness(docs: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,18 +13,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
 
 from quern.llm.bpe import gather, own_texts
-from quern.llm.common import bucket_of, give_back, materialize, range_bounds, shared_dir
+from quern.llm.common import bucket_of, give_back, materialize, new_dir, range_bounds
 
 END = 1
-#: Bytes of text whose distinct words are encoded together, and tokens in a block of the files.
-TEXT_BYTES = 32_000_000
+#: Bytes of text whose distinct words are looked up together, and stems whose ids a task remembers (about 50 bytes each).
+TEXT_BYTES = 4_000_000
+REMEMBERED = 500_000
 #: Words that go to the tokenizer in one string, and what stands between them.
 TOGETHER = 200
 BAR = "|"
 #: ASCII marks but the apostrophe, which can begin a token with letters.
 MARKS = r"[!-&(-/:-@\[-`{-~]"
+#: Tokens in a block of the files, and documents in a file (more if there are more than MOST_FILES times as many).
 BLOCK_TOKENS = 500_000
-ROWS_PER_RANGE = 256
+ROWS_PER_FILE = 8192
+MOST_FILES = 65_536
 
 #: For each control byte (four 2-bit lengths less one, the first in the low bits): the bytes its four codes take.
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
@@ -87,26 +89,59 @@ def _encode_words(tokenizer: Tokenizer, words: pa.Array) -> tuple[np.ndarray, np
     return out, starts
 
 
-def _encode_distinct(tokenizer: Tokenizer, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The same for words that may share a stem: marks after its last small letter are always tokens of their own."""
+class Stems:
+    """Ids of the stems that a task has met, so that each goes to the tokenizer once; starts[i]:starts[i + 1] are those of stem i.
+
+    Past REMEMBERED stems it starts again with the latest.
+    """
+
+    def __init__(self, tokenizer: Tokenizer):
+        self.tokenizer = tokenizer
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words, self.ids, self.starts = pa.array([], pa.large_string()), np.empty(0, np.int32), np.zeros(1, np.int64)
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """The place of each of some different words."""
+        if len(self.words) + len(words) > REMEMBERED:
+            self._forget()
+        known = pc.index_in(words, value_set=self.words)
+        new = pc.is_null(known)
+        fresh = words.filter(new)
+        ids, starts = _encode_words(self.tokenizer, fresh)
+        place = pc.fill_null(known, 0).to_numpy().astype(np.int64)
+        place[new.to_numpy(zero_copy_only=False)] = len(self.words) + np.arange(len(fresh))
+        self.words = pa.concat_arrays([self.words, fresh])
+        self.starts = np.append(self.starts, self.starts[-1] + starts[1:])
+        self.ids = np.append(self.ids, ids)
+        return place
+
+
+def _encode_distinct(stems: Stems, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of different words, one after the other, and where each one's begin.
+
+    Words may share a stem: marks after a word's last small letter are always tokens of their own.
+    """
     cut = pc.extract_regex(words, rf"(?s)^(?P<stem>.*\p{{Ll}})(?P<marks>{MARKS}+)$")
     stem = pc.coalesce(pc.struct_field(cut, "stem"), words)
     marks = pc.coalesce(pc.struct_field(cut, "marks"), pa.scalar("", words.type))
     both = pa.concat_arrays([stem, marks]).dictionary_encode()
-    ids, starts = _encode_words(tokenizer, both.dictionary)
-    code = both.indices.to_numpy().reshape(2, -1)
-    sizes = (starts[1:] - starts[:-1])[code].sum(axis=0)
-    return gather(starts, ids, code.T.ravel()), np.append(0, np.cumsum(sizes))
+    place = stems.places(both.dictionary)[both.indices.to_numpy()].reshape(2, -1)
+    sizes = (stems.starts[1:] - stems.starts[:-1])[place].sum(axis=0)
+    return gather(stems.starts, stems.ids, place.T.ravel()), np.append(0, np.cumsum(sizes))
 
 
-def encode_texts(tokenizer: Tokenizer, texts: pa.Array) -> Iterator[np.ndarray]:
+def encode_texts(tokenizer: Tokenizer, texts: pa.Array, stems: Stems | None = None) -> Iterator[np.ndarray]:
     """Ids of each text (null: none), the end id last.
 
     This vocabulary lowers case, drops white space and never joins what it separates, so a text's ids are those
     of its words, and each distinct word is encoded once. Texts with an added token's content go to the library
-    whole, which recognises it unless the tokenizer encodes special tokens like other text.
+    whole, which recognises it unless the tokenizer encodes special tokens like other text. ``stems`` is what
+    earlier calls with this tokenizer have met.
     """
     texts, as_text = own_texts(texts), tokenizer.encode_special_tokens
+    stems = stems or Stems(tokenizer)
     marked = {}
     if not as_text:
         hit = np.zeros(len(texts), bool)
@@ -122,12 +157,12 @@ def encode_texts(tokenizer: Tokenizer, texts: pa.Array) -> Iterator[np.ndarray]:
     coded = split.values.dictionary_encode()
     tokenizer.encode_special_tokens = True  # lower-cased or cut, a word can look like an added token
     try:
-        ids, starts = _encode_distinct(tokenizer, coded.dictionary)
+        ids, starts = _encode_distinct(stems, coded.dictionary)
     finally:
         tokenizer.encode_special_tokens = as_text
     unit = coded.indices.to_numpy()
-    del split, coded
-    for i in range(len(texts)):
+    del split, coded, texts
+    for i in range(len(offsets) - 1):
         yield np.append(marked[i] if i in marked else gather(starts, ids, unit[offsets[i] : offsets[i + 1]]), np.int32(END))
 
 
@@ -148,12 +183,13 @@ def tokenize(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = Tokenizer.from_str(content.value)
+        stems = Stems(tokenizer)
         for batch in batches:
             for part in _parts(batch, "text", TEXT_BYTES):
-                ids = [x.astype("<u2").tobytes() for x in encode_texts(tokenizer, part.column("text"))]
+                ids = [x.astype("<u2").tobytes() for x in encode_texts(tokenizer, part.column("text"), stems)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], schema=schema)
-                del ids
-                give_back()
+        del stems
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(of, "doc_id long, n_tokens long, ids binary")
 
@@ -177,12 +213,12 @@ def id_counts(tokens: DataFrame) -> np.ndarray:
 
 
 def write_files(tokens: DataFrame, path: str, counts: np.ndarray, base: list[int], bounds: list[int]) -> None:
-    """Writes tokens to path, ascending by doc_id, in blocks.
+    """Writes tokens to path, ascending by doc_id within a file and from file to file, in blocks.
 
-    A block holds whole documents of one range of doc_ids: their ids, their token counts, the control bytes and
-    the data of all their tokens, and the number of tokens before the block. The most frequent id has code 0.
-    A file is sorted, and the ranges number the blocks, so files can be written and read side by side. Null ids
-    come first; rows that share a doc_id follow each other by their ids.
+    A file holds one of the ranges of doc_ids that end at bounds; files are numbered like ranges, and base has the
+    tokens before each. A block holds whole documents: their ids, their token counts, the control bytes and the
+    data of all their tokens, and the number of tokens before it. The most frequent id has code 0. Files can be
+    written and read side by side. Null ids come first; rows that share a doc_id follow each other by their ids.
     """
     rank_of = np.empty(len(counts), np.uint16)
     rank_of[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
@@ -214,7 +250,7 @@ def write_files(tokens: DataFrame, path: str, counts: np.ndarray, base: list[int
             yield block()
 
     dealt = tokens.select(bucket_of(F.col("doc_id"), bounds).cast("int").alias("bucket"), "doc_id", "ids")
-    dealt = dealt.repartition("bucket").sortWithinPartitions("bucket", "doc_id", "ids")
+    dealt = dealt.repartitionById(max(1, len(bounds)), "bucket").sortWithinPartitions("bucket", "doc_id", "ids")
     schema = "bucket int, block int, start long, doc_ids binary, no_id binary, sizes binary, control binary, data binary"
     dealt.mapInPandas(blocks, schema).write.option("compression", "none").parquet(path)
     id_of = pd.DataFrame({"rank": rank_of.astype(int), "id": np.arange(len(rank_of))}).sort_values("rank")
@@ -227,31 +263,32 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     sent = spark.sparkContext.broadcast(id_of.astype("<u4"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                sizes = np.frombuffer(row["sizes"], "<i8")
-                ids = sent.value[unpack(row["control"], row["data"], int(sizes.sum()))]
-                ends = np.cumsum(sizes)
-                each = [ids[e - s : e].tobytes() for s, e in zip(sizes, ends, strict=True)]
-                names = pa.array(np.frombuffer(row["doc_ids"], "<i8"), pa.int64(), mask=np.frombuffer(row["no_id"], bool))
-                yield pa.RecordBatch.from_arrays(
-                    [names, pa.array(row["start"] + ends - sizes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(each, pa.binary())],
-                    names=["doc_id", "start", "n_tokens", "ids"],
-                )
+        for row in (r for batch in batches for i in range(len(batch)) for r in batch.slice(i, 1).to_pylist()):
+            sizes = np.frombuffer(row["sizes"], "<i8")
+            ids = sent.value[unpack(row["control"], row["data"], int(sizes.sum()))]
+            ends = np.cumsum(sizes)
+            each = [ids[e - s : e].tobytes() for s, e in zip(sizes, ends, strict=True)]
+            names = pa.array(np.frombuffer(row["doc_ids"], "<i8"), pa.int64(), mask=np.frombuffer(row["no_id"], bool))
+            yield pa.RecordBatch.from_arrays(
+                [names, pa.array(row["start"] + ends - sizes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(each, pa.binary())],
+                names=["doc_id", "start", "n_tokens", "ids"],
+            )
 
     blocks = spark.read.parquet(path).select("start", "doc_ids", "no_id", "sizes", "control", "data")
     return blocks.mapInArrow(of, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def store(docs: DataFrame, path: str | None = None, vocabulary: str | None = None) -> str:
-    """Encodes docs and writes the files under path (a new folder of the shared one by default); returns path.
+    """Encodes docs and writes the files under path and its ids' order under path-ids; returns path.
 
-    Every row is written, null and empty texts with the end id alone. Extra columns are left out. Ids are kept
-    between the two passes (counting, then writing); a total for each range of doc_ids comes to the driver.
+    Without a path they go to the shared folder, until the JVM ends. Every row is written, null and empty texts
+    with the end id alone. Extra columns are left out. Ids are kept between the two passes (counting, then
+    writing); a total for each file comes to the driver.
     """
-    path = path or f"{shared_dir(docs.sparkSession)}/quern-tokens-{uuid.uuid4().hex}"
+    if path is None:
+        path = f"{new_dir(docs.sparkSession, 'tokens-')}/files"
     tokens = materialize(tokenize(docs, vocabulary))
-    bounds = range_bounds(tokens, "doc_id", ROWS_PER_RANGE)
+    bounds = range_bounds(tokens, "doc_id", ROWS_PER_FILE, MOST_FILES)
     bucket = bucket_of(F.col("doc_id"), bounds).cast("int")
     totals = {r["bucket"]: r["n"] for r in tokens.groupBy(bucket.alias("bucket")).agg(F.sum("n_tokens").alias("n")).collect()}
     base, before = [], 0

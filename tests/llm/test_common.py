@@ -21,7 +21,24 @@ def test_ranges(spark, keys, size):
 
 
 def test_at_most_so_many_bounds(spark):
-    assert len(common.range_bounds(spark.range(10_000).withColumnRenamed("id", "k"), "k", 1, max_buckets=16)) <= 16
+    assert len(common.range_bounds(spark.range(10_000).withColumnRenamed("id", "k"), "k", 1, most=16)) <= 16
+
+
+@pytest.mark.parametrize("n", [0, 1, 40, 5000])
+@pytest.mark.parametrize("most, fine", [(16, 4), (3, 128), (16_384, 2)])
+def test_ranges_stay_small(spark, n, most, fine):
+    """Two levels of bounds give ranges of bounded rows, however few bounds the driver may hold."""
+    df = spark.createDataFrame([(3 * i,) for i in range(n)] + [(None,)], "k long")
+    rows = sorted(common.with_ranges(df, "k", 8, most=most, fine=fine).collect(), key=lambda r: -1 if r["k"] is None else r["k"])
+    assert len(rows) == n + 1
+    numbers = [r["_range"] for r in rows]
+    assert numbers == sorted(numbers) and numbers[0] == 0
+    if n <= 8 * most * fine:
+        assert max([numbers.count(x) for x in set(numbers)]) <= 24
+    given = [r for r in rows if r["k"] is not None]
+    for r, after in zip(given, given[1:] + [None]):
+        assert r["k"] <= r["_last"] and (after is None or (after["_range"] == r["_range"]) == (r["k"] < r["_last"]))
+        assert r["_next"] == min((x for x in numbers if x > r["_range"]), default=None)
 
 
 def test_whole_runs():

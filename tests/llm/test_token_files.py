@@ -13,9 +13,7 @@ from quern.llm import queries, token_files as tf
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(P.path("word_bpe_49k.json"))
 
 
 def test_code_round_trip():
@@ -58,12 +56,33 @@ def read_back(spark, path):
 @pytest.mark.parametrize("block", [1, 50, 500_000])
 def test_documents(spark, make, odd_rows, library, monkeypatch, block):
     monkeypatch.setattr(tf, "BLOCK_TOKENS", block)
-    monkeypatch.setattr(tf, "ROWS_PER_RANGE", 3)
+    monkeypatch.setattr(tf, "ROWS_PER_FILE", 3)
     docs = make(odd_rows, clashing=True)
     order = sorted(((r[0], r[1]) for r in odd_rows), key=lambda r: (r[0] is not None, r[0] or 0))
     assert read_back(spark, tf.store(docs)) == rows_of(library, order)
 
 
+def test_files_ascend(spark, make, monkeypatch, tmp_path):
+    monkeypatch.setattr(tf, "ROWS_PER_FILE", 40)
+    path = tf.store(make([((7 * i) % 500, f"word{i} the house") for i in range(500)], parts=6), f"file://{tmp_path}/t")
+    files = sorted(x for x in tmp_path.joinpath("t").iterdir() if x.name.startswith("part-"))
+    assert 5 < len(files) < 30
+    starts = [x for f in files for x in spark.read.parquet(f"file://{f}").select("start").toPandas()["start"]]
+    assert starts == sorted(starts)
+    assert [r["doc_id"] for r in tf.read_files(spark, path).orderBy("start").collect()] == list(range(500))
+
+
+def test_few_remembered_stems(library, monkeypatch):
+    random.seed(4)
+    texts = pa.array([" ".join(f"w{random.randint(0, 300)}{random.choice(['', '.', ',!'])}" for _ in range(40)) for _ in range(60)])
+    expected = [library.encode(t, add_special_tokens=False).ids + [tf.END] for t in texts.to_pylist()]
+    for most in (1, 200, 10_000):
+        monkeypatch.setattr(tf, "REMEMBERED", most)
+        stems = tf.Stems(library)
+        found = [list(x) for i in range(0, 60, 7) for x in tf.encode_texts(library, texts.slice(i, 7), stems)]
+        assert found == expected
+
+
 def test_empty_table(spark, make, odd_rows):
     assert tf.read_files(spark, tf.store(make(odd_rows).limit(0))).count() == 0
 

@@ -14,25 +14,30 @@ from quern.llm.common import materialize, whole_runs
 from quern.llm.components import components, local_labels
 
 LEAST = 0.95
-#: A pair at the least cosine shares a bucket of some table with this chance, and then passes the count with COUNTED.
+#: A pair at the least cosine is in a window of some sorted projection with this chance, and then passes the count with COUNTED.
 RECALL = 0.985
 COUNTED = 0.999
 #: Projections whose windows are counted for a pair, and half a window in standard deviations of the gap at LEAST.
 COUNT_PROJECTIONS = 64
 HALF_WINDOW = 2.0
-#: Members of a bucket that meet in one block; larger buckets are cut into blocks, every two of which meet.
+#: Members of a cell that meet in one block; larger cells are cut into blocks, every two of which meet.
 BLOCK = 2048
+#: Pairs of windows that are counted at once.
+PAIRS = 50_000
 SEED = 42
 
 
-def plan(n: int, least: float = LEAST, recall: float = RECALL) -> tuple[int, int]:
-    """(projections a table, tables) for n vectors.
+def plan(n: int, least: float = LEAST, recall: float = RECALL, bits: int | None = None) -> tuple[int, int]:
+    """(bits, tables) for n vectors: the signs that make a table's cells, and how many tables there are.
 
-    A table sorts vectors by the signs of some projections. There are enough of them that a bucket holds 1/32
-    unrelated vectors on average, and enough tables for the recall at the least cosine.
+    Each table sorts one projection within cells of vectors that agree in the signs of ``bits`` other projections.
+    By default there are enough of them that a cell holds 1/16 unrelated vectors on average. There are enough tables
+    for the recall at the least cosine. With 0 bits the projections are sorted over all vectors, the plain
+    method, whose work is quadratic.
     """
-    bits = min(60, max(8, math.ceil(math.log2(max(n, 2))) + 5))
-    together = (1 - math.acos(least) / math.pi) ** bits
+    if bits is None:
+        bits = min(60, max(8, math.ceil(math.log2(max(n, 2))) + 4))
+    together = (1 - math.acos(least) / math.pi) ** bits * math.erf(HALF_WINDOW / math.sqrt(2))
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - together))
 
 
@@ -58,10 +63,32 @@ def _unit(vectors: list | np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _keys(projected: np.ndarray, bits: int, tables: int) -> np.ndarray:
-    """A row per vector, a key per table."""
-    signs = (projected[:, : bits * tables] > 0).reshape(len(projected), tables, bits)
-    return (signs * (np.int64(1) << np.arange(bits, dtype=np.int64))).sum(axis=2)
+def _project(unit: np.ndarray, bits: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
+    """The projections whose windows are counted, and each vector's cell in every table."""
+    found = unit @ _directions(unit.shape[1], COUNT_PROJECTIONS + bits * tables)
+    signs = (found[:, COUNT_PROJECTIONS:] > 0).reshape(len(unit), tables, bits)
+    return found[:, :COUNT_PROJECTIONS], (signs * (np.int64(1) << np.arange(bits, dtype=np.int64))).sum(axis=2)
+
+
+def _window_pairs(run: np.ndarray, value: np.ndarray, half: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (a, b) of all pairs of one run whose values are at most ``half`` apart, about PAIRS at a time.
+
+    Each run's values are sorted; the window of a position reaches ``half`` to both sides, and b lies in a's upper half.
+    """
+    order = np.lexsort((value, run))
+    low = value.min()
+    axis = run[order] * (value.max() - low + half + 1) + (value[order] - low)
+    wide = np.searchsorted(axis, axis + half * (1 + 1e-9), side="right") - np.arange(len(axis)) - 1
+    done = np.cumsum(wide)
+    start = 0
+    while start < len(axis):
+        stop = max(start + 1, int(np.searchsorted(done, (done[start - 1] if start else 0) + PAIRS, side="right")))
+        n = wide[start:stop]
+        first = np.repeat(np.arange(start, stop), n)
+        if len(first):
+            second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(n) - n, n)
+            yield order[first], order[second]
+        start = stop
 
 
 def _usable(vectors: DataFrame) -> DataFrame:
@@ -70,13 +97,14 @@ def _usable(vectors: DataFrame) -> DataFrame:
     return vectors.where(F.col("vec_id").isNotNull() & F.col("vec").isNotNull()).where(~odd & F.exists("vec", lambda x: x != 0))
 
 
-def linked_in_buckets(classes: DataFrame, bits: int, tables: int, least: float = LEAST, block: int = BLOCK) -> DataFrame:
+def linked_in_windows(classes: DataFrame, bits: int, tables: int, least: float = LEAST, block: int = BLOCK) -> DataFrame:
     """classes (rep, vec, copies) of different vectors -> (rep, links, root), maybe several rows a rep.
 
     links counts the vectors (with their copies) that a rep is linked with in this row; all rows of a rep together
-    count each pair once. root is a rep of the same component. Only keys are shuffled for buckets of one vector.
-    A pair counts in the first table that brings it together, when enough of its windows collide and its cosine,
-    in double precision, is high enough.
+    count each pair once. root is a rep of the same component. Only keys are shuffled for cells of one vector.
+    In a cell the table's projection is sorted, and each vector meets those in the window around it. For such a
+    pair the windows of all COUNT_PROJECTIONS projections that hold both are counted; pairs with enough of them
+    are verified by their cosine in double precision. A pair counts in the first table whose window has it.
     """
 
     def key(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -84,52 +112,44 @@ def linked_in_buckets(classes: DataFrame, bits: int, tables: int, least: float =
             for dim, part in rows.groupby(rows["vec"].map(len)):
                 for i in range(0, len(part), 4096):
                     some = part.iloc[i : i + 4096]
-                    found = _keys(_unit(some["vec"]) @ _directions(dim, max(bits * tables, COUNT_PROJECTIONS)), bits, tables)
+                    _, found = _project(_unit(some["vec"]), bits, tables)
                     yield pd.DataFrame(
                         {"dim": dim, "t": np.tile(np.arange(tables), len(some)), "key": found.ravel(), "rep": np.repeat(some["rep"].to_numpy(), tables)}
                     )
 
     enough = least_count()
     half = HALF_WINDOW * math.sqrt(2 - 2 * least)
+    sorted_by = np.arange(tables) % COUNT_PROJECTIONS
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         by = ["dim", "t", "key", "low", "high"]
         for all_rows in whole_runs(batches, by):
-            for dim, rows in all_rows.groupby("dim"):
+            for _, rows in all_rows.groupby("dim"):
                 run = rows[by].ne(rows[by].shift()).any(axis=1).cumsum().to_numpy()
                 unit = _unit(rows["vec"])
-                projected = unit @ _directions(dim, max(bits * tables, COUNT_PROJECTIONS))
-                keys = _keys(projected, bits, tables)
-                counted = projected[:, :COUNT_PROJECTIONS]
+                projected, keys = _project(unit, bits, tables)
                 rep, copies, t = (rows[c].to_numpy() for c in ("rep", "copies", "t"))
                 part, crossing = rows["part"].to_numpy(), (rows["low"] != rows["high"]).to_numpy()
                 ids, at = np.unique(rep, return_inverse=True)
-                links = np.zeros(len(ids), np.int64)
-                edges_a, edges_b = [], []
-                left = np.arange(len(rows) - 1)
-                for d in range(1, len(rows)):
-                    left = left[left + d < len(rows)]
-                    left = left[run[left] == run[left + d]]
-                    if not len(left):
-                        break
-                    for i in range(0, len(left), 20_000):
-                        a = left[i : i + 20_000]
-                        b = a + d
-                        met = ~crossing[a] | (part[a] != part[b])
-                        a, b = a[met], b[met]
-                        passed = (np.abs(counted[a] - counted[b]) <= half).sum(axis=1) >= enough
-                        a, b = a[passed], b[passed]
-                        near = np.einsum("ij,ij->i", unit[a], unit[b]) >= least
-                        a, b = a[near], b[near]
-                        first = (keys[a] == keys[b]).argmax(axis=1) == t[a]
-                        a, b = a[first], b[first]
-                        np.add.at(links, at[a], copies[b])
-                        np.add.at(links, at[b], copies[a])
-                        edges_a.append(at[a])
-                        edges_b.append(at[b])
+                each = np.zeros(len(ids), np.int64)
+                each[at] = copies
+                links, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
+                for a, b in _window_pairs(run, projected[np.arange(len(rows)), sorted_by[t]], half):
+                    met = ~crossing[a] | (part[a] != part[b])
+                    a, b = a[met], b[met]
+                    passed = (np.abs(projected[a] - projected[b]) <= half).sum(axis=1) >= enough
+                    a, b = a[passed], b[passed]
+                    near = np.einsum("ij,ij->i", unit[a], unit[b]) >= least
+                    a, b = a[near], b[near]
+                    meet = (keys[a] == keys[b]) & (np.abs(projected[a][:, sorted_by] - projected[b][:, sorted_by]) <= half)
+                    first = meet.argmax(axis=1) == t[a]
+                    a, b = at[a[first]], at[b[first]]
+                    np.add.at(links, a, each[b])
+                    np.add.at(links, b, each[a])
+                    if len(a):
+                        label = local_labels(np.append(a, np.arange(len(ids))), np.append(b, label), len(ids))
                 if links.any():
-                    root = ids[local_labels(np.concatenate(edges_a), np.concatenate(edges_b), len(ids))]
-                    yield pd.DataFrame({"rep": ids, "links": links, "root": root})[links > 0]
+                    yield pd.DataFrame({"rep": ids, "links": links, "root": ids[label]})[links > 0]
 
     keyed = materialize(classes.select("rep", "vec").mapInPandas(key, "dim int, t int, key long, rep long"))
     shared = keyed.groupBy("dim", "t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -141,24 +161,24 @@ def linked_in_buckets(classes: DataFrame, bits: int, tables: int, least: float =
     return dealt.mapInPandas(link, "rep long, links long, root long")
 
 
-def near_duplicates(vectors: DataFrame, least: float = LEAST, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = LEAST, recall: float = RECALL, block: int = BLOCK, bits: int | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors (vec_id, embedding).
 
-    Two vectors are linked if their cosine is ``least`` or more and a table brings them together; equal vectors
-    always are. Null and zero vectors, such with null or non-finite components, and null ids link with nothing;
-    so do vectors of different lengths with each other. Rows that repeat both id and vector count as one vector.
+    Two vectors are linked if their cosine is ``least`` or more and the window of a sorted projection brings them together;
+    equal vectors always are. Null and zero vectors, such with null or non-finite components, and null ids link with
+    nothing; so do vectors of different lengths with each other. Rows that repeat both id and vector count as one vector.
     Empty in, empty out; extra columns are left out.
 
-    A plain window of one projection that holds most of a vector's near ones also holds a quarter or more of
-    all others, so counting its pairs is quadratic; tables of projections sorted together come first, and the
-    windows are counted for the pairs that they bring together.
+    A window of one projection that holds most of a vector's near ones also holds a quarter or more of all
+    others, so over the whole table (``bits`` = 0) the pairs to count are quadratic; by default projections are
+    sorted within cells, see :func:`plan`.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vec"))
     name = [F.xxhash64("vec").alias("x"), F.xxhash64(F.lit(1), "vec").alias("y")]
     copies = _usable(rows).withColumns({"x": name[0], "y": name[1]}).groupBy("x", "y")
     classes = materialize(copies.agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("copies"), F.first("vec").alias("vec")))
-    bits, tables = plan(classes.count(), least, recall)
-    found = materialize(linked_in_buckets(classes.select("rep", "vec", "copies"), bits, tables, least, block))
+    bits, tables = plan(classes.count(), least, recall, bits)
+    found = materialize(linked_in_windows(classes.select("rep", "vec", "copies"), bits, tables, least, block))
     root = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
     summed = found.groupBy("rep").agg(F.sum("links").alias("links")).join(root, "rep", "left")
     told = classes.select("x", "y", "rep", "copies").join(summed, "rep", "left")

@@ -34,6 +34,63 @@ def test_named_containers():
     assert text(f"<div id=content>{body}<article>Inner.</article></div>") == "Inner."
 
 
+LONG = "These are the words of a paragraph that has no links in it, and there are quite a few of them so that it is plainly text"
+
+
+def test_states_and_slugs_are_no_marks():
+    body = f"<h1>Title</h1><p>{LONG}.</p><p>Short.</p>"
+    told = f"Title\n{LONG}.\nShort."
+    for page in (
+        f"<article class='post comments-open'>{body}</article>",
+        f"<div class='layout has-sidebar'><article>{body}</article><div class=sidebar>{LONG}</div></div>",
+        f"<div class=no-sidebar><article>{body}</article></div>",
+        f"<article data-id='menu'>{body}</article>",
+        f"<article><div title='The hidden cost'>{body}</div></article>",
+        f"<form id=aspnetForm><div id=content>{body}</div></form>",
+        f"<div class=comments><article>{body}</article></div>",
+    ):
+        assert text(page) == told, page
+    parts = f"<section id='social-impact'><p>{LONG} 1.</p></section><h2 id='related-work'>Work</h2><p id='notice-1'>One line.</p><div class='recipe-menu'><ul><li>Soup of the day<li>Bread and salt</ul></div>"
+    assert text(f"<article>{body}{parts}</article>") == f"{told}\n{LONG} 1.\nWork\nOne line.\nSoup of the day\nBread and salt"
+    assert text(f"<article>{body}<div class=ad-slot>{LONG}</div><div class='cookie-notice'>{LONG}</div><span hidden>no</span><p>End.</p></article>") == f"{told}\nEnd."
+
+
+def test_text_decides_where_marks_do_not():
+    links = "".join(f"<li><a href=/{i}>Go to place {i}</a></li>" for i in range(6))
+    assert text(f"<article><h1>T of it</h1><p>{LONG}.</p><h3>More</h3><ul>{links}</ul></article>") == f"T of it\n{LONG}."
+    assert text(f"<article><p>{LONG}.</p><p><a href=/x>A link alone</a></p><p>{LONG}!</p></article>") == f"{LONG}.\nA link alone\n{LONG}!"
+    assert text(f"<article>A teaser of a few words.</article><div><p>{LONG}.</p><p>{LONG} 2.</p><p>{LONG} 3.</p></div>") == f"{LONG}.\n{LONG} 2.\n{LONG} 3."
+
+
+def test_hand_labelled_pages_without_article():
+    """Blocks marked + are the main text."""
+    menu, foot = "<div><a href=/>Home</a> <a href=/b>Books</a> <a href=/c>Contact us</a></div>", "<div>All rights reserved by the owner.</div>"
+    pages = [
+        [menu, "<table><tr><td>", "+Of cats", f"+{LONG}.", "+Yes.", f"+{LONG}?", "</td></tr></table>", foot],
+        [menu, "<div><div>", "+h:The news of the day", f"+{LONG}.", f"+{LONG}!", "</div></div>", f"<div><div>{'Short note here. ' * 3}</div></div>", foot],
+        [menu, "<div id=wrap><div>", f"+{LONG}.", "</div><div>", f"+{LONG}!", "</div><div>", f"+{LONG}?", "</div></div>", foot],
+        ["<ul><li><a href=/>A</a><li><a href=/>B</a></ul>", f"+{LONG}.", "+And then.", f"+{LONG}!", foot.replace("div", "footer")],
+        [menu, "<section>", "+h:Heading", f"+{LONG}.", f"+{LONG} 7.", "</section><section class=comments>", f"<p>{LONG} I say.</p>", f"<p>{LONG} me too.</p>", "</section>"],
+    ]
+    for parts in pages:
+        page = "".join(f"<h1>{x[3:]}</h1>" if x.startswith("+h:") else f"<p>{x[1:]}</p>" if x.startswith("+") else x for x in parts)
+        assert text(page) == "\n".join(x.removeprefix("+").removeprefix("h:") for x in parts if x.startswith("+")), page
+
+
+def test_text_features_decide(spark, sf):
+    """Without words and links, or with the marks alone, most decisions on the given pages would be others."""
+    tree, changed, total, without_marks = html_text.train(), 0, 0, 0
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        x = html_text.features(html_text.parse(r["html"]))
+        kept = tree.predict(x) > 0.5
+        bare, unmarked = x.copy(), x.copy()
+        bare[:, :8], unmarked[:, 9] = 0, 0
+        changed += int((kept != (tree.predict(bare) > 0.5)).sum())
+        without_marks += int((kept != (tree.predict(unmarked) > 0.5)).sum())
+        total += len(x)
+    assert changed > 0.4 * total and without_marks < 0.02 * total
+
+
 def test_odd_pages():
     tree = html_text.train()
     for page in (None, "", "<", "<p", "<!-- x", "<script>x", "</div></p>", "<article>", "<p>" * 3000, "<div>" * 3000 + "x", '<a href="' * 500):

@@ -289,7 +289,7 @@ def parse(page: str) -> Page:
 
 
 #: What the unlinked words of a section count for if it is marked as the article by name, or by tag or role.
-WEIGHTS = (1, 4, 8)
+WEIGHTS = (1, 4, 10)
 
 
 def _summed(page: Page, own: list[float]) -> list[float]:

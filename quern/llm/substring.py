@@ -15,10 +15,13 @@ from quern.llm.common import give_back, materialize, whole_runs
 WINDOW = 20
 #: Words of a minimiser; a window has WINDOW - MINIMISER + 1 of them and takes the one of the least hash.
 MINIMISER = 4
-#: Minimisers of more shared runs than this are dealt out by single windows.
-HOT_RUNS = 50_000
-#: The list of hot minimisers is kept to this length by raising the limit with the corpus.
+#: Minimisers of more shared runs than this are dealt out by single windows, so no place holds more than a few MB.
+HOT_RUNS = 5_000
+#: Lists of hot minimisers up to this length (2 MB) are broadcast; longer ones are joined.
 MOST_HOT = 200_000
+#: Runs that a task sorts at once, and packed runs that it remembers.
+LOCAL_RUNS = 1_000_000
+REMEMBERED = 200_000
 
 _LAST_ID = 2**63 - 1
 
@@ -64,19 +67,27 @@ def _words(text: str | None) -> list[bytes]:
 def shared_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(d, start, minimiser) of the runs whose minimiser occurs in another run, of docs (d, text).
 
-    What occurs twice within a task is known to be shared; only one run of each minimiser goes from a task to
-    the minimiser's place, so the most common of them meets a row a task there.
+    What occurs twice among LOCAL_RUNS runs of a task is known to be shared; only one run of each minimiser goes from
+    these to the minimiser's place, so the most common of them meets a row for so many runs there.
     """
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: list[tuple[np.ndarray, ...]] = []
+        held = 0
         for rows in batches:
             for d, text in zip(rows["d"], rows["text"], strict=True):
                 runs = super_kmers(_words(text), window)
                 if len(runs.start):
                     found.append((runs.minimiser, np.full(len(runs.start), d, np.int64), runs.start.astype(np.int32)))
-        if not found:
-            return
+                    held += len(runs.start)
+                if held >= LOCAL_RUNS:
+                    yield from marked(found)
+                    held = 0
+        if found:
+            yield from marked(found)
+        give_back()
+
+    def marked(found: list[tuple[np.ndarray, ...]]) -> Iterator[pd.DataFrame]:
         value, d, start = (np.concatenate(x) for x in zip(*found, strict=True))
         found.clear()
         order = np.argsort(value, kind="stable")
@@ -92,8 +103,6 @@ def shared_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield here
             told = here[one & ~end].assign(kind=np.int8(2))
             yield told.assign(place=told["minimiser"])
-        del value, d, start, order, first, last, here, told
-        give_back()
 
     def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in whole_runs(batches, ["place"]):
@@ -111,26 +120,26 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, hot_runs: int = HOT_
 
     docs has d, text and rest; h is the hash of the last two, earlier means smaller (d, start). Shared runs go to their minimiser's
     place as one packed string, earliest first; there each window is looked up among those already seen. A run
-    that a task has had before, word for word, needs no trip. Runs of a hot minimiser go as single windows to
-    the place of the window instead, and the same step counts them.
+    that a task remembers, word for word, needs no trip. Runs of a hot minimiser (more than hot_runs of them) go as
+    single windows to the place of the window instead, and the same step counts them. So a task holds REMEMBERED
+    names, LOCAL_RUNS runs or the windows of hot_runs runs at most, whatever the corpus.
     """
-    spark = docs.sparkSession
     shared = materialize(shared_runs(docs, window))
     per_minimiser = shared.groupBy("minimiser").agg(F.count(F.lit(1)).alias("n"))
-    limit = max(hot_runs, shared.count() // MOST_HOT)
-    hot = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in per_minimiser.where(F.col("n") > limit).select("minimiser").collect()], np.int64)))
-    per_text = shared.groupBy("d").agg(F.collect_set("start").alias("starts"))
+    hot = materialize(per_minimiser.where(F.col("n") > hot_runs).select("minimiser", F.col("minimiser").alias("hot")))
+    marked = shared.join(F.broadcast(hot) if hot.limit(MOST_HOT + 1).count() <= MOST_HOT else hot, "minimiser", "left")
+    per_text = marked.groupBy("d").agg(F.collect_set("start").alias("starts"), F.collect_set("hot").alias("hot"))
     schema = "place long, d long, h long, start int, count int, packed binary"
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[bytes, tuple[int, int]] = {}
         for rows in batches:
             out: list[tuple] = []
-            for d, h, text, starts in zip(rows["d"], rows["h"], rows["text"], rows["starts"], strict=True):
+            for d, h, text, starts, hot in zip(*(rows[c] for c in ("d", "h", "text", "starts", "hot")), strict=True):
                 words = _words(text)
                 runs = super_kmers(words, window)
                 chosen = np.isin(runs.start, starts)
-                is_hot = np.isin(runs.minimiser, hot.value)
+                is_hot = np.isin(runs.minimiser, hot)
                 for value, at, count, split in zip(*(x[chosen].tolist() for x in (*runs, is_hot)), strict=True):
                     for i, k in [(at + j, 1) for j in range(count)] if split else [(at, count)]:
                         span = b" ".join(words[i : i + k + window - 1])
@@ -141,6 +150,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, hot_runs: int = HOT_
                             spread = int.from_bytes(name[8:], "little", signed=True) ^ d ^ i
                             out.append((spread, d, h, i, k, None))
                         else:
+                            if len(seen) >= REMEMBERED:
+                                seen.clear()
                             seen[name] = here
                             out.append((place, d, h, i, k, span))
             if out:
@@ -178,7 +189,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, hot_runs: int = HOT_
         out = rows = seen = None
         give_back()
 
-    with_runs = docs.join(per_text, "d").select("d", F.xxhash64("text", "rest").alias("h"), "text", "starts")
+    with_runs = docs.join(per_text, "d").select("d", F.xxhash64("text", "rest").alias("h"), "text", "starts", "hot")
     # sorted (as a merge join leaves it), so that a task run again gives the same rows
     dealt = with_runs.sortWithinPartitions("d").mapInPandas(pack, schema).repartition("place").sortWithinPartitions("place", "d", "start")
     return dealt.mapInPandas(count, "d long, h long, start int, count int")

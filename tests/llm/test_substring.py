@@ -49,6 +49,16 @@ def test_same_as_brute_force(make, hot):
     compare(make(given, parts=6), sorted((str(d), n, k) for (d, _), (n, k) in zip(given, brute(given), strict=True)), hot_runs=hot)
 
 
+@pytest.mark.parametrize("few", [1, 20])
+def test_bounded_state(make, monkeypatch, few):
+    """Whatever a task may hold, and whether hot minimisers are broadcast or joined, the rows are the same."""
+    monkeypatch.setattr(substring, "REMEMBERED", few)
+    monkeypatch.setattr(substring, "LOCAL_RUNS", few)
+    monkeypatch.setattr(substring, "MOST_HOT", 0)
+    given = rows() + [(7, "a b c " * 30), (7, "x y z " * 30)]
+    compare(make(given, parts=5), sorted((str(d), n, k) for (d, _), (n, k) in zip(given, brute(given), strict=True)), hot_runs=3)
+
+
 def test_odd_rows(make, odd_rows):
     given = [*odd_rows, (6, odd_rows[6][1])]
     docs = make(given, clashing=True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -19,8 +19,9 @@ from quern.llm.common import give_back
 
 #: No token: ends of words and pairs without a merge.
 NONE = np.int32(2**31 - 1)
-#: Characters of text whose distinct words are replayed together.
-REPLAY_CHARS = 8_000_000
+#: Bytes of text whose new words are replayed together, and words whose ids a task remembers (about 60 bytes each).
+REPLAY_CHARS = 4_000_000
+REMEMBERED = 500_000
 #: White space next to a space; a text without it can be cut at every space before the pattern is applied.
 _CLOSE_SPACE = r" [\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]|[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}] "
 
@@ -147,21 +148,54 @@ def own_texts(texts: pa.Array) -> pa.Array:
     return pc.fill_null(texts.cast(pa.large_string()), "").take(pa.array(np.arange(len(texts))))
 
 
-class _Pieces:
-    """Distinct pieces of a batch, in the order in which they turned up."""
-
-    def __init__(self, pattern: str):
-        self.found: dict[str, int] = {}
-        self.cut = regex.compile(pattern).findall
-
-    def of(self, text: str) -> list[int]:
-        return [self.found.setdefault(x, len(self.found)) for x in self.cut(text)]
+class Remembered:
+    """Ids of the words that a task has met, so that each is encoded once; starts[i]:starts[i + 1] are those of word i.
 
+    Past ``most`` words it starts again with the latest. encode gives the ids of different words, one after the
+    other, and where each one's begin.
+    """
 
-def encode_batch(ranks: Ranks, texts: pa.Array, pattern: str) -> Iterator[np.ndarray]:
-    """Ids of each text (null: none). A piece is replayed once for all the texts."""
-    texts = own_texts(texts)
-    pieces = _Pieces(pattern)
+    def __init__(self, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], most: int):
+        self.encode, self.most = encode, most
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words, self.ids, self.starts = pa.array([], pa.large_string()), np.empty(0, np.int32), np.zeros(1, np.int64)
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """The place of each of some different words."""
+        if len(self.words) + len(words) > self.most:
+            self._forget()
+        known = pc.index_in(words, value_set=self.words)
+        new = pc.is_null(known)
+        fresh = words.filter(new)
+        ids, starts = self.encode(fresh)
+        place = pc.fill_null(known, 0).to_numpy().astype(np.int64)
+        place[new.to_numpy(zero_copy_only=False)] = len(self.words) + np.arange(len(fresh))
+        self.words = pa.concat_arrays([self.words, fresh])
+        self.starts = np.append(self.starts, self.starts[-1] + starts[1:])
+        self.ids = np.append(self.ids, ids)
+        return place
+
+
+def _replay_texts(ranks: Ranks, pieces: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts, given by their pieces, and where each one's begin; a piece is replayed once for all."""
+    found: dict[str, int] = {}
+    at = np.array([found.setdefault(x, len(found)) for text in pieces for x in text], dtype=np.int64)
+    ids, starts = replay_merges(ranks, [x.encode() for x in found])
+    done = np.append(0, np.cumsum((starts[1:] - starts[:-1])[at]))
+    return gather(starts, ids, at), done[np.append(0, np.cumsum(np.array([len(x) for x in pieces], dtype=np.int64)))]
+
+
+def word_encoder(ranks: Ranks, pattern: str) -> Remembered:
+    """Encodes words, each with the space before it."""
+    cut = regex.compile(pattern).findall
+    return Remembered(lambda words: _replay_texts(ranks, [cut(x) for x in words.to_pylist()]), REMEMBERED)
+
+
+def encode_batch(ranks: Ranks, texts: pa.Array, pattern: str, words: Remembered | None = None) -> Iterator[np.ndarray]:
+    """Ids of each text (null: none). Words that ``words`` doesn't remember are replayed together."""
+    texts, words = own_texts(texts), words or word_encoder(ranks, pattern)
     close = pc.match_substring_regex(texts, _CLOSE_SPACE).to_numpy(zero_copy_only=False)
     split = pc.split_pattern(texts, " ")
     offsets = split.offsets.to_numpy()
@@ -169,21 +203,19 @@ def encode_batch(ranks: Ranks, texts: pa.Array, pattern: str) -> Iterator[np.nda
     first = np.zeros(len(coded), dtype=np.int64)
     first[offsets[:-1]] = 1
     unit = coded.indices.to_numpy().astype(np.int64) * 2 + first
-    needed = np.zeros(2 * len(coded.dictionary), dtype=bool)
-    for i in range(len(texts)):
-        if not close[i]:
-            needed[unit[offsets[i] : offsets[i + 1]]] = True
-    words = coded.dictionary.to_pylist()
-    of_unit: list[list[int]] = [()] * len(needed)
-    for u in np.flatnonzero(needed).tolist():
-        of_unit[u] = pieces.of(words[u >> 1] if u & 1 else " " + words[u >> 1])
-    unit_starts = np.append(0, np.cumsum(np.array([len(x) for x in of_unit], dtype=np.int64)))
-    unit_pieces = np.array([y for x in of_unit for y in x], dtype=np.int64)
-    whole = {i: np.array(pieces.of(texts[i].as_py()), dtype=np.int64) for i in np.flatnonzero(close)}
-    ids, starts = replay_merges(ranks, [x.encode() for x in pieces.found])
+    place = np.full(2 * len(coded.dictionary), -1, dtype=np.int64)
+    for i in np.flatnonzero(~close).tolist():
+        place[unit[offsets[i] : offsets[i + 1]]] = 0
+    opening, spaced = np.flatnonzero(place[1::2] == 0), np.flatnonzero(place[::2] == 0)
+    spelled = [coded.dictionary.take(pa.array(opening)), pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), coded.dictionary.take(pa.array(spaced)), pa.scalar("", pa.large_string()))]
+    place[np.append(2 * opening + 1, 2 * spaced)] = words.places(pa.concat_arrays(spelled))
+    del split, coded, spelled
+    cut = regex.compile(pattern).findall
+    whole = np.flatnonzero(close).tolist()
+    whole_ids, whole_starts = _replay_texts(ranks, [cut(texts[i].as_py()) for i in whole])
+    ids_of = {i: whole_ids[whole_starts[k] : whole_starts[k + 1]] for k, i in enumerate(whole)}
     for i in range(len(texts)):
-        at = whole[i] if close[i] else gather(unit_starts, unit_pieces, unit[offsets[i] : offsets[i + 1]])
-        yield gather(starts, ids, at)
+        yield ids_of[i] if close[i] else gather(words.starts, words.ids, place[unit[offsets[i] : offsets[i + 1]]])
 
 
 def decode_ids(ranks: Ranks, ids: np.ndarray) -> bytes:
@@ -198,13 +230,12 @@ def _content(spark: SparkSession, path: str | None):
         return spark.sparkContext.broadcast(f.read())
 
 
-def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """The batch in parts of about REPLAY_CHARS bytes of text, of a row at least."""
+def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about ``most`` bytes of a column, of a row at least."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
     start = 0
     while start < len(batch):
-        done = sizes[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(sizes, done + REPLAY_CHARS, side="right")))
+        stop = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + most, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
 
@@ -213,16 +244,17 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
     """(doc_id, n_tokens, ids): ids are little-endian unsigned 32-bit integers in a binary column.
 
     A row for each row of docs, repeats and null ids included; null and empty texts have no ids. Extra columns
-    are left out. The replay is per partition: no word leaves its task. With decoded, the bytes that the ids
+    are left out. No word leaves its task, which replays each word once as long as it remembers it. With decoded, the bytes that the ids
     decode to are added in the same pass; :func:`decode` does it for ids that are already there.
     """
     content = _content(docs.sparkSession, path)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = read_ranks(content.value)
+        words = word_encoder(ranks, pattern)
         for batch in batches:
-            for part in _slices(batch, "text"):
-                ids = list(encode_batch(ranks, part.column("text"), pattern))
+            for part in slices(batch, "text", REPLAY_CHARS):
+                ids = list(encode_batch(ranks, part.column("text"), pattern, words))
                 out = {"doc_id": part.column("doc_id"), "n_tokens": pa.array([len(x) for x in ids], pa.int64())}
                 out["ids"] = pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())
                 if decoded:
@@ -230,7 +262,8 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
                 del ids
                 yield pa.RecordBatch.from_pydict(out)
                 del out
-                give_back()
+        del words
+        give_back()
 
     schema = "doc_id long, n_tokens long, ids binary" + ", decoded binary" * decoded
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(of, schema)

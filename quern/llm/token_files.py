@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
 
-from quern.llm.bpe import gather, own_texts
+from quern.llm.bpe import Remembered, gather, own_texts, slices
 from quern.llm.common import bucket_of, give_back, materialize, new_dir, range_bounds
 
 END = 1
@@ -90,36 +90,11 @@ def _encode_words(tokenizer: Tokenizer, words: pa.Array) -> tuple[np.ndarray, np
     return out, starts
 
 
-class Stems:
-    """Ids of the stems that a task has met, so that each goes to the tokenizer once; starts[i]:starts[i + 1] are those of stem i.
+def stem_encoder(tokenizer: Tokenizer) -> Remembered:
+    return Remembered(lambda words: _encode_words(tokenizer, words), REMEMBERED)
 
-    Past REMEMBERED stems it starts again with the latest.
-    """
 
-    def __init__(self, tokenizer: Tokenizer):
-        self.tokenizer = tokenizer
-        self._forget()
-
-    def _forget(self) -> None:
-        self.words, self.ids, self.starts = pa.array([], pa.large_string()), np.empty(0, np.int32), np.zeros(1, np.int64)
-
-    def places(self, words: pa.Array) -> np.ndarray:
-        """The place of each of some different words."""
-        if len(self.words) + len(words) > REMEMBERED:
-            self._forget()
-        known = pc.index_in(words, value_set=self.words)
-        new = pc.is_null(known)
-        fresh = words.filter(new)
-        ids, starts = _encode_words(self.tokenizer, fresh)
-        place = pc.fill_null(known, 0).to_numpy().astype(np.int64)
-        place[new.to_numpy(zero_copy_only=False)] = len(self.words) + np.arange(len(fresh))
-        self.words = pa.concat_arrays([self.words, fresh])
-        self.starts = np.append(self.starts, self.starts[-1] + starts[1:])
-        self.ids = np.append(self.ids, ids)
-        return place
-
-
-def _encode_distinct(stems: Stems, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _encode_distinct(stems: Remembered, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Ids of different words, one after the other, and where each one's begin.
 
     Words may share a stem: marks after a word's last small letter are always tokens of their own.
@@ -133,7 +108,7 @@ def _encode_distinct(stems: Stems, words: pa.Array) -> tuple[np.ndarray, np.ndar
     return gather(stems.starts, stems.ids, place.T.ravel()), np.append(0, np.cumsum(sizes))
 
 
-def encode_texts(tokenizer: Tokenizer, texts: pa.Array, stems: Stems | None = None) -> Iterator[np.ndarray]:
+def encode_texts(tokenizer: Tokenizer, texts: pa.Array, stems: Remembered | None = None) -> Iterator[np.ndarray]:
     """Ids of each text (null: none), the end id last.
 
     This vocabulary lowers case, drops white space and never joins what it separates, so a text's ids are those
@@ -142,7 +117,7 @@ def encode_texts(tokenizer: Tokenizer, texts: pa.Array, stems: Stems | None = No
     earlier calls with this tokenizer have met.
     """
     texts, as_text = own_texts(texts), tokenizer.encode_special_tokens
-    stems = stems or Stems(tokenizer)
+    stems = stems or stem_encoder(tokenizer)
     marked = {}
     if not as_text:
         hit = np.zeros(len(texts), bool)
@@ -167,15 +142,6 @@ def encode_texts(tokenizer: Tokenizer, texts: pa.Array, stems: Stems | None = No
         yield np.append(marked[i] if i in marked else gather(starts, ids, unit[offsets[i] : offsets[i + 1]]), np.int32(END))
 
 
-def _parts(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
-    start = 0
-    while start < len(batch):
-        stop = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + most, side="right")))
-        yield batch.slice(start, stop - start)
-        start = stop
-
-
 def tokenize(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids) for every row of docs; ids are little-endian unsigned 16-bit integers in a binary."""
     with open(path or public_tokenizers.path("word_bpe_49k.json")) as f:
@@ -185,9 +151,9 @@ def tokenize(docs: DataFrame, path: str | None = None) -> DataFrame:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already run side by side
         tokenizer = Tokenizer.from_str(content.value)
-        stems = Stems(tokenizer)
+        stems = stem_encoder(tokenizer)
         for batch in batches:
-            for part in _parts(batch, "text", TEXT_BYTES):
+            for part in slices(batch, "text", TEXT_BYTES):
                 ids = [x.astype("<u2").tobytes() for x in encode_texts(tokenizer, part.column("text"), stems)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], schema=schema)
         del stems

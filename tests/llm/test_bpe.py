@@ -39,13 +39,21 @@ def test_same_as_the_library(content, library):
     assert [bpe.decode_ids(ranks, x).decode() for x in found[:-1]] == texts
 
 
-def test_a_batch_is_cut_by_its_bytes(content, monkeypatch):
-    monkeypatch.setattr(bpe, "REPLAY_CHARS", 10)
+def test_a_batch_is_cut_by_its_bytes():
     batch = pa.RecordBatch.from_pydict({"text": ["x" * 25, None, "abc", "defg", "hijkl", ""]})
-    parts = list(bpe._slices(batch, "text"))
+    parts = list(bpe.slices(batch, "text", 10))
     assert sum(map(len, parts)) == 6 and pa.Table.from_batches(parts).to_pydict() == batch.to_pydict()
 
 
+@pytest.mark.parametrize("most", [1, 60, 100_000])
+def test_few_remembered_words(content, library, monkeypatch, most):
+    monkeypatch.setattr(bpe, "REMEMBERED", most)
+    ranks, texts = bpe.read_ranks(content), odd_texts(300)
+    words = bpe.word_encoder(ranks, P.PATTERN)
+    found = [list(x) for i in range(0, len(texts), 23) for x in bpe.encode_batch(ranks, pa.array(texts[i : i + 23]), P.PATTERN, words)]
+    assert found == [library.encode_ordinary(t) for t in texts]
+
+
 def test_documents(make, odd_rows, library):
     docs = make(odd_rows, clashing=True)
     rows = bpe.decode(bpe.encode(docs)).collect()

@@ -78,7 +78,7 @@ def test_few_remembered_stems(library, monkeypatch):
     expected = [library.encode(t, add_special_tokens=False).ids + [tf.END] for t in texts.to_pylist()]
     for most in (1, 200, 10_000):
         monkeypatch.setattr(tf, "REMEMBERED", most)
-        stems = tf.Stems(library)
+        stems = tf.stem_encoder(library)
         found = [list(x) for i in range(0, 60, 7) for x in tf.encode_texts(library, texts.slice(i, 7), stems)]
         assert found == expected
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import itertools
 import math
 import re
 import tempfile
@@ -68,6 +69,12 @@ def give_back() -> None:
         trim(0)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that df doesn't have, in any case of letters."""
+    there = {c.lower() for c in df.columns}
+    return next(x for i in itertools.count() if (x := f"_{name}{i}") not in there)
+
+
 def crc32_of_id(column: str = "doc_id") -> Column:
     """Unsigned crc32 of the id as text; null ids count as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))

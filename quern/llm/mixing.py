@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quern.llm.common import WORD
+from quern.llm.common import WORD, unused
 
 #: A source table of up to so many rows is broadcast (a name and three numbers each: a few MB); a larger one is joined with salt.
 BROADCAST_SOURCES = 50_000
@@ -58,20 +58,21 @@ def with_copies(docs: DataFrame, seed: int = 42, **plan) -> DataFrame:
     """
     docs = docs.drop("size", "source_size", "target", "copies").withColumn("size", word_count(F.col("text")))
     targets = source_targets(docs.select("source", "size"), **plan)
+    name, none, salt = (unused(docs, x) for x in ("name", "none", "salt"))
     key = F.coalesce(F.col("source"), F.lit("")), F.col("source").isNull()
-    targets = targets.select(key[0].alias("_name"), key[1].alias("_none"), "source_size", "target")
-    docs = docs.withColumns({"_name": key[0], "_none": key[1]})
-    on = ["_name", "_none"]
+    targets = targets.select(key[0].alias(name), key[1].alias(none), "source_size", "target")
+    docs = docs.withColumns({name: key[0], none: key[1]})
+    on = [name, none]
     if docs.select("source").distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
     else:
-        docs = docs.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
-        targets = targets.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        on.append("_salt")
+        docs = docs.withColumn(salt, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+        targets = targets.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        on.append(salt)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate)
     once_more = uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), seed) < rate - whole
-    return docs.join(targets, on).withColumn("copies", (whole + F.when(once_more, 1).otherwise(0)).cast("int")).drop("_name", "_none", "_salt")
+    return docs.join(targets, on).withColumn("copies", (whole + F.when(once_more, 1).otherwise(0)).cast("int")).drop(*on)
 
 
 def mix(docs: DataFrame, seed: int = 42, **plan) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from quern.catalog import cents, read
 from quern.operators import windows
-from quern.plans.registry import ORACLES, query
+from quern.plans.registry import query
 
 
 @query("""SELECT l_returnflag, l_linestatus, sum(l_quantity::BIGINT)::BIGINT AS qty, sum(round(l_extendedprice * 100)::BIGINT)::BIGINT AS price,
@@ -18,9 +18,9 @@ def pricing_summary(spark, sf_dir):
     )
 
 
-@query("SELECT o_custkey, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS orders FROM orders WHERE o_custkey % 5 = 0 GROUP BY o_custkey")
+@query("SELECT o_custkey, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS orders FROM orders GROUP BY o_custkey")
 def collected_list(spark, sf_dir):
-    orders = read(spark, sf_dir, "orders").where("o_custkey % 5 = 0")
+    orders = read(spark, sf_dir, "orders")
     keys = F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda k: k.cast("string"))
     return orders.groupBy("o_custkey").agg(F.array_join(keys, ",").alias("orders"))
 
@@ -68,8 +68,15 @@ def variance(spark, sf_dir):
 
 @query("SELECT c_mktsegment, round(median(c_acctbal), 4) AS middle, round(quantile_cont(c_acctbal, 0.9), 4) AS top, quantile_disc(c_acctbal, 0.25) AS low FROM customer GROUP BY c_mktsegment")
 def percentiles(spark, sf_dir):
-    low = F.expr("percentile_disc(0.25) WITHIN GROUP (ORDER BY c_acctbal)")
-    return read(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.round(F.median("c_acctbal"), 4).alias("middle"), F.round(F.percentile("c_acctbal", 0.9), 4).alias("top"), low.alias("low"))
+    found = windows.quantiles(read(spark, sf_dir, "customer"), ["c_mktsegment"], "c_acctbal", 100.0, {"middle": 0.5, "top": 0.9}, {"low": 0.25})
+    return found.select("c_mktsegment", F.round("middle", 4).alias("middle"), F.round("top", 4).alias("top"), "low")
+
+
+@query("SELECT s_nationkey, round(median(s_acctbal), 4) AS middle, round(quantile_cont(s_acctbal, 0.9), 4) AS top, quantile_disc(s_acctbal, 0.25) AS low FROM supplier GROUP BY s_nationkey")
+def percentile_functions(spark, sf_dir):
+    """The built-in exact percentiles, which keep every different value of a group: for small groups."""
+    low = F.expr("percentile_disc(0.25) WITHIN GROUP (ORDER BY s_acctbal)")
+    return read(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.round(F.median("s_acctbal"), 4).alias("middle"), F.round(F.percentile("s_acctbal", 0.9), 4).alias("top"), low.alias("low"))
 
 
 @query("SELECT s_nationkey, string_agg(s_name, ',' ORDER BY s_name) AS names FROM supplier GROUP BY s_nationkey")
@@ -108,6 +115,14 @@ def having(spark, sf_dir):
     return read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")).where("n > 15")
 
 
+@query("SELECT c_nationkey, any_value(n_name) AS n_name, count(*)::BIGINT AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY c_nationkey")
+def any_of_group(spark, sf_dir):
+    """any_value where all values of a group are the same."""
+    nation = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    joined = read(spark, sf_dir, "customer").select("c_nationkey").join(nation, "c_nationkey")
+    return joined.groupBy("c_nationkey").agg(F.any_value("n_name").alias("n_name"), F.count(F.lit(1)).alias("n"))
+
+
 @query()
 def approximate_counts(spark, sf_dir):
     """Sketches: distinct counts by HyperLogLog, quantiles by Greenwald-Khanna and KLL."""
@@ -117,11 +132,11 @@ def approximate_counts(spark, sf_dir):
     )
 
 
-@query("""SELECT o_custkey, o_orderkey, rank() OVER w AS r, dense_rank() OVER w AS d, row_number() OVER w AS n, ntile(4) OVER w AS q FROM orders WHERE o_custkey < 300
+@query("""SELECT o_custkey, o_orderkey, rank() OVER w AS r, dense_rank() OVER w AS d, row_number() OVER w AS n, ntile(4) OVER w AS q FROM orders
   WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""")
 def ranking(spark, sf_dir):
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    orders = read(spark, sf_dir, "orders").where("o_custkey < 300")
+    orders = read(spark, sf_dir, "orders")
     return orders.select("o_custkey", "o_orderkey", *[f.over(w).cast("long").alias(a) for f, a in ((F.rank(), "r"), (F.dense_rank(), "d"), (F.row_number(), "n"), (F.ntile(4), "q"))])
 
 
@@ -153,11 +168,10 @@ def rows_frame(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", F.sum(cents("value")).over(w).alias("moving"))
 
 
-@query("SELECT event_id, (count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 6 HOURS PRECEDING AND CURRENT ROW))::BIGINT AS recent FROM events WHERE user_id < 40")
+@query("SELECT event_id, (count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 6 HOURS PRECEDING AND CURRENT ROW))::BIGINT AS recent FROM events")
 def range_frame(spark, sf_dir):
-    events = read(spark, sf_dir, "events").where("user_id < 40").withColumn("micros", F.unix_micros(F.col("ts").cast("timestamp")))
-    w = Window.partitionBy("event_type").orderBy("micros").rangeBetween(-6 * 3_600_000_000, 0)
-    return events.select("event_id", F.count(F.lit(1)).over(w).alias("recent"))
+    events = read(spark, sf_dir, "events").select("event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
+    return windows.over_range(events, F.count(F.lit(1)), ["event_type"], "micros", 6 * 3_600_000_000, "recent").select("event_id", "recent")
 
 
 @query("SELECT p_partkey, (sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_type GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW))::BIGINT AS near_size FROM part")
@@ -182,42 +196,13 @@ def top_k_per_group(spark, sf_dir):
   (SELECT *, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 2 HOURS THEN 1 WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL THEN 1 ELSE 0 END AS opens FROM events))
   GROUP BY user_id, session""")
 def sessionize(spark, sf_dir):
-    found = windows.sessions(read(spark, sf_dir, "events"), "user_id", "ts", "2 HOURS")
+    found = windows.sessions(read(spark, sf_dir, "events"), "user_id", "ts", "2 HOURS", ["event_id"])
     return found.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event"))
 
 
-@query("""WITH daily AS (SELECT event_type, date_trunc('day', ts)::DATE AS day, count(*)::BIGINT AS n FROM events WHERE user_id % 7 = 1 GROUP BY 1, 2),
+@query("""WITH daily AS (SELECT event_type, date_trunc('day', ts)::DATE AS day, count(*)::BIGINT AS n FROM events GROUP BY 1, 2),
   grid AS (SELECT event_type, unnest(generate_series(min(day)::TIMESTAMP, max(day)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS day FROM daily GROUP BY 1)
   SELECT event_type, strftime(day, '%Y-%m-%d') AS day, last_value(n IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY day) AS n FROM grid LEFT JOIN daily USING (event_type, day)""")
 def fill_gaps(spark, sf_dir):
-    daily = read(spark, sf_dir, "events").where("user_id % 7 = 1").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    return windows.gaps_filled(daily, "event_type", "day", "DAY", "n").withColumn("day", F.date_format("day", "yyyy-MM-dd"))
-
-
-# The same over whole tables, beside queries whose SQL takes some ids only.
-
-
-@query(ORACLES["collected_list"].replace(" WHERE o_custkey % 5 = 0", ""))
-def collected_list_whole(spark, sf_dir):
-    keys = F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda k: k.cast("string"))
-    return read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(keys, ",").alias("orders"))
-
-
-@query(ORACLES["ranking"].replace(" WHERE o_custkey < 300", ""))
-def ranking_whole(spark, sf_dir):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    ranks = [f.over(w).cast("long").alias(a) for f, a in ((F.rank(), "r"), (F.dense_rank(), "d"), (F.row_number(), "n"), (F.ntile(4), "q"))]
-    return read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", *ranks)
-
-
-@query(ORACLES["range_frame"].replace(" WHERE user_id < 40", ""))
-def range_frame_whole(spark, sf_dir):
-    events = read(spark, sf_dir, "events").withColumn("micros", F.unix_micros(F.col("ts").cast("timestamp")))
-    w = Window.partitionBy("event_type").orderBy("micros").rangeBetween(-6 * 3_600_000_000, 0)
-    return events.select("event_id", F.count(F.lit(1)).over(w).alias("recent"))
-
-
-@query(ORACLES["fill_gaps"].replace(" WHERE user_id % 7 = 1", ""))
-def fill_gaps_whole(spark, sf_dir):
     daily = read(spark, sf_dir, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
     return windows.gaps_filled(daily, "event_type", "day", "DAY", "n").withColumn("day", F.date_format("day", "yyyy-MM-dd"))

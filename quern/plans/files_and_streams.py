@@ -76,8 +76,7 @@ def stream_sessions(spark, sf_dir):
 
 @query("SELECT user_id, count(*)::BIGINT AS n, max(round(value * 100)::BIGINT)::BIGINT AS top_cents FROM events GROUP BY user_id")
 def stream_state(spark, sf_dir):
-    found = events.drain(events.running_totals(_events(spark, sf_dir)), "update")
-    return found.groupBy("user_id").agg(F.max("n").alias("n"), F.max("top_cents").alias("top_cents"))
+    return events.drain(events.running_totals(_events(spark, sf_dir)), "update", ["user_id"])
 
 
 @query("SELECT count(DISTINCT event_id)::BIGINT AS n FROM events")

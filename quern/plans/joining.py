@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from quern.catalog import cents, read, register
 from quern.operators import joins
@@ -76,22 +76,12 @@ def not_in_join(spark, sf_dir):
     return spark.sql("SELECT p_partkey FROM part WHERE p_size NOT IN (SELECT CASE WHEN n_nationkey < 20 THEN n_nationkey ELSE 0 END FROM nation)")
 
 
-@query("""SELECT c.c_custkey, s.s_suppkey FROM customer c JOIN supplier s ON c.c_nationkey = s.s_nationkey AND c.c_acctbal > s.s_acctbal WHERE c.c_custkey % 7 = 0""")
-def theta_join(spark, sf_dir):
-    """An inequality beside an equi-key."""
-    c = read(spark, sf_dir, "customer").where("c_custkey % 7 = 0").select("c_custkey", "c_nationkey", "c_acctbal")
-    s = read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
-    return c.join(s, (c.c_nationkey == s.s_nationkey) & (c.c_acctbal > s.s_acctbal)).select("c_custkey", "s_suppkey")
-
-
 @query("""SELECT c_custkey, count(s_suppkey)::BIGINT AS n FROM customer LEFT JOIN supplier ON c_nationkey = s_nationkey AND c_acctbal > s_acctbal GROUP BY c_custkey""")
-def theta_join_whole(spark, sf_dir):
-    """How many rows theta_join has for each customer, of all customers: both sides are sorted, and no pair is formed."""
-    c = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_acctbal").alias("x"), F.lit(0).alias("one"), "c_custkey")
-    s = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_acctbal").alias("x"), F.lit(1).alias("one"))
-    below = Window.partitionBy("k").orderBy("x", "one").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = c.unionByName(s, allowMissingColumns=True).withColumn("n", F.sum("one").over(below))
-    return counted.where("one = 0").select("c_custkey", "n")
+def theta_join(spark, sf_dir):
+    """An inequality beside an equi-key: how many suppliers of their nation each customer's balance exceeds."""
+    c = read(spark, sf_dir, "customer").select("c_nationkey", "c_acctbal", "c_custkey")
+    s = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("c_nationkey"), "s_acctbal")
+    return joins.count_below(c, s, "c_nationkey", "c_acctbal", "s_acctbal", 100.0).select("c_custkey", "n")
 
 
 @query("SELECT s_suppkey, p_partkey FROM part JOIN supplier ON p_retailprice BETWEEN s_acctbal - 2 AND s_acctbal + 2")
@@ -116,7 +106,7 @@ def asof_join(spark, sf_dir):
     events = read(spark, sf_dir, "events")
     bought = events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
     clicked = events.where("event_type = 'click'").select("user_id", "ts", F.col("event_id").alias("click_id"), F.col("value").alias("click_value"))
-    return joins.asof_join(bought, clicked, ["user_id"], "ts", ["click_id", "click_value"]).select(
+    return joins.asof_join(bought, clicked, ["user_id"], "ts", ["click_id", "click_value"], cell=F.to_date).select(
         "event_id", "user_id", F.coalesce("click_id", F.lit(-1)).alias("click_id"), "click_value"
     )
 

@@ -36,6 +36,36 @@ def sketches(spark, sf_dir):
       theta_sketch_estimate(theta_sketch_agg(l_orderkey)) AS orders FROM lineitem GROUP BY l_returnflag""")
 
 
+@query()
+def count_min(spark, sf_dir):
+    """Count-min sketches of a column for each flag, merged from partial ones."""
+    return read(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count_min_sketch("l_suppkey", F.lit(0.001), F.lit(0.99), F.lit(42)).alias("sketch"))
+
+
+@query()
+def sample_fraction(spark, sf_dir):
+    return read(spark, sf_dir, "events").sample(fraction=0.2, seed=7).select("event_id", "user_id")
+
+
+@query("SELECT s_suppkey, 'balance' AS what, s_acctbal AS x FROM supplier UNION ALL SELECT s_suppkey, 'nation', s_nationkey::DOUBLE FROM supplier")
+def inline_structs(spark, sf_dir):
+    pair = lambda what, x: F.struct(F.lit(what).alias("what"), F.col(x).cast("double").alias("x"))
+    return read(spark, sf_dir, "supplier").select("s_suppkey", F.inline(F.array(pair("balance", "s_acctbal"), pair("nation", "s_nationkey"))))
+
+
+@query("SELECT p_partkey, unnest(range(0, p_size % 3))::BIGINT AS i FROM part")
+def arrow_table_function(spark, sf_dir):
+    @F.arrow_udtf(returnType="i long")
+    class CountArrow:
+        def eval(self, n: pa.Array):
+            for k in n.to_pylist():
+                yield pa.table({"i": pa.array(range(k), pa.int64())})
+
+    spark.udtf.register("quern_count_arrow", CountArrow)
+    register(spark, sf_dir, "part")
+    return spark.sql("SELECT p_partkey, i FROM part, LATERAL quern_count_arrow(p_size % 3)")
+
+
 @query("SELECT s_suppkey, s_acctbal FROM supplier WHERE s_acctbal > (SELECT avg(s_acctbal) FROM supplier) AND EXISTS (SELECT 1 FROM customer WHERE c_nationkey = s_nationkey AND c_acctbal < 0)")
 def subqueries_as_frames(spark, sf_dir):
     supplier, customer = read(spark, sf_dir, "supplier"), read(spark, sf_dir, "customer")
@@ -83,6 +113,23 @@ def stream_append(spark, sf_dir):
     return events.drain(events.tumbling(stream, "1 hour", "10 minutes"))
 
 
+@query("""SELECT event_type, count(*)::BIGINT AS n FROM events GROUP BY event_type""")
+def stream_memory(spark, sf_dir):
+    """A memory sink keeps its rows on the driver: here a row an event type."""
+    stream = events.read_stream(spark, f"{sf_dir}/events.parquet", read(spark, sf_dir, "events").schema)
+    return events.to_memory(stream.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), "complete")
+
+
+@query("""WITH opened AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS opens FROM events),
+  numbered AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM opened)
+  SELECT user_id, epoch_ms(min(ts)) AS first_ms, epoch_ms(max(ts)) AS last_ms, count(*)::BIGINT AS n FROM numbered GROUP BY user_id, s
+  HAVING max(ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES""")
+def stream_timers(spark, sf_dir):
+    """Keyed state with event-time timers: sessions that the watermark has closed."""
+    stream = events.read_stream(spark, f"{sf_dir}/events.parquet", read(spark, sf_dir, "events").schema)
+    return events.drain(events.closed_sessions(stream, "1 HOUR", "10 minutes"), settings=events.ROCKSDB)
+
+
 @query("SELECT e.event_id, e.user_id, r.n AS events_of_user FROM events e JOIN (SELECT user_id, count(*)::BIGINT AS n FROM events GROUP BY user_id) r USING (user_id) WHERE e.event_type = 'purchase'")
 def stream_static_join(spark, sf_dir):
     """A stream joined with a table."""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quern.catalog import cents, read, register
 from quern.functions import text, vectors
-from quern.plans.registry import ORACLES, query
+from quern.plans.registry import query
 
 
 @query("""SELECT p_partkey, upper(p_name) AS u, substring(p_name, 2, 4) AS s, length(p_name)::BIGINT AS n, replace(p_name, ' ', '_') AS r, p_brand || '/' || p_type AS c,
@@ -38,6 +38,12 @@ def distance_and_hash(spark, sf_dir):
     return part.join(after, "p_partkey").select("p_partkey", F.levenshtein("p_name", "other").cast("long").alias("d"), F.md5("p_name").alias("h"), F.sha2("p_name", 256).alias("s"))
 
 
+@query()
+def xx_hashes(spark, sf_dir):
+    """XXH64 with seed 42, as a signed number."""
+    return read(spark, sf_dir, "part").select("p_partkey", F.xxhash64("p_name").alias("x"))
+
+
 @query("""SELECT o_orderkey, extract(year FROM o_orderdate)::BIGINT AS y, extract(quarter FROM o_orderdate)::BIGINT AS q, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS m, dayofweek(o_orderdate)::BIGINT + 1 AS dow,
   date_diff('day', TIMESTAMP '1995-01-01', o_orderdate)::BIGINT AS days, strftime(o_orderdate + INTERVAL 1 MONTH, '%Y-%m-%d') AS next_month, strftime(last_day(o_orderdate), '%Y-%m-%d') AS ends FROM orders""")
 def date_functions(spark, sf_dir):
@@ -55,18 +61,9 @@ def time_functions(spark, sf_dir):
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, floor(l_extendedprice / 1000)::BIGINT AS k, abs(l_quantity - 25) AS off, round(sqrt(l_quantity), 6) AS root, (l_partkey % 7)::BIGINT AS m7,
-  CASE WHEN l_discount = 0 THEN NULL ELSE round(l_tax / l_discount, 6) END AS ratio, greatest(l_tax, l_discount) AS more FROM lineitem WHERE l_orderkey % 4 = 0""")
+  CASE WHEN l_discount = 0 THEN NULL ELSE round(l_tax / l_discount, 6) END AS ratio, greatest(l_tax, l_discount) AS more FROM lineitem""")
 def math_functions(spark, sf_dir):
-    return _numbers(read(spark, sf_dir, "lineitem").where("l_orderkey % 4 = 0"))
-
-
-@query(ORACLES["math_functions"].replace(" WHERE l_orderkey % 4 = 0", ""))
-def math_functions_whole(spark, sf_dir):
-    return _numbers(read(spark, sf_dir, "lineitem"))
-
-
-def _numbers(lines):
-    return lines.select(
+    return read(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", F.floor(F.col("l_extendedprice") / 1000).alias("k"), F.abs(F.col("l_quantity") - 25).alias("off"), F.round(F.sqrt("l_quantity"), 6).alias("root"),
         (F.col("l_partkey") % 7).alias("m7"), F.round(F.try_divide("l_tax", "l_discount"), 6).alias("ratio"), F.greatest("l_tax", "l_discount").alias("more"),
     )
@@ -121,23 +118,13 @@ def vector_functions(spark, sf_dir):
     return read(spark, sf_dir, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(lagged), 6).alias("lagged"), F.round(F.avg(vectors.norm(e)), 6).alias("length"))
 
 
-@query("""SELECT q.vec_id AS query_id, arg_max(c.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[])) AS nearest FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id AND q.label = c.label
-  WHERE q.vec_id % 50 = 0 GROUP BY q.vec_id""")
-def vector_nearest(spark, sf_dir):
-    """The nearest vector of the same label, for every fiftieth vector."""
-    rows = read(spark, sf_dir, "embeddings")
-    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q"))
-    met = asked.join(rows, "label").where("query_id <> vec_id")
-    return met.groupBy("query_id").agg(F.max_by("vec_id", vectors.cosine(F.col("q"), F.col("embedding"))).alias("nearest"))
-
-
 #: Rows of one side that are compared at once.
 VECTOR_BLOCK = 2048
 
 
 @query("""SELECT q.vec_id AS query_id, arg_max(c.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[])) AS nearest FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id
   WHERE q.vec_id % 20 = 0 GROUP BY q.vec_id""")
-def vector_nearest_whole(spark, sf_dir):
+def vector_nearest(spark, sf_dir):
     """The nearest of all vectors, for every id divisible by 20; the smallest id of several.
 
     Both sides are packed in blocks. A pair of blocks gives the best of each of its queries, and the best of these stays.
@@ -194,19 +181,30 @@ def pandas_scalar(spark, sf_dir):
 
 @query("SELECT p_brand, max(p_size)::BIGINT - min(p_size)::BIGINT AS spread FROM part GROUP BY p_brand")
 def pandas_aggregate(spark, sf_dir):
+    """A pandas aggregate gets all rows of its group at once, so brands are taken in groups of neighbouring keys first."""
+
     @F.pandas_udf("long")
-    def spread(size: pd.Series) -> int:
-        return int(size.max() - size.min())
+    def low(size: pd.Series) -> int:
+        return int(size.min())
 
-    return read(spark, sf_dir, "part").groupBy("p_brand").agg(spread("p_size").alias("spread"))
+    @F.pandas_udf("long")
+    def high(size: pd.Series) -> int:
+        return int(size.max())
+
+    parts = read(spark, sf_dir, "part").groupBy("p_brand", F.floor(F.col("p_partkey") / 100_000).alias("some")).agg(low("p_size").alias("low"), high("p_size").alias("high"))
+    return parts.groupBy("p_brand").agg((F.max("high") - F.min("low")).alias("spread"))
 
 
 @query("SELECT user_id, event_id, (round(value * 100)::BIGINT - min(round(value * 100)::BIGINT) OVER (PARTITION BY user_id))::BIGINT AS above FROM events")
 def grouped_map(spark, sf_dir):
+    """A grouped map gets all rows of its group at once, so the least of a user is aggregated, and groups are a user's days."""
+
     def above(rows: pd.DataFrame) -> pd.DataFrame:
-        return rows[["user_id", "event_id"]].assign(above=rows["cents"] - rows["cents"].min())
+        return rows[["user_id", "event_id"]].assign(above=rows["cents"] - rows["low"])
 
-    return read(spark, sf_dir, "events").select("user_id", "event_id", cents("value").alias("cents")).groupBy("user_id").applyInPandas(above, "user_id long, event_id long, above long")
+    events = read(spark, sf_dir, "events").select("user_id", "event_id", cents("value").alias("cents"), F.to_date("ts").alias("day"))
+    low = events.groupBy("user_id").agg(F.min("cents").alias("low"))
+    return events.join(low, "user_id").groupBy("user_id", "day").applyInPandas(above, "user_id long, event_id long, above long")
 
 
 @query("SELECT o_orderkey, o_orderkey % 9 AS digit FROM orders WHERE o_orderkey % 9 > 5")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructType
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quern.sources.files import work_dir
 
@@ -24,24 +26,49 @@ def read_stream(spark: SparkSession, path: str, schema: StructType, files_per_tr
     return found.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
+def drain(stream: DataFrame, mode: str = "append", keys: list[str] = (), settings: dict[str, str] | None = None) -> DataFrame:
     """Runs a stream over all that is there now and returns what it wrote, read from its files.
 
-    append writes files straight away; update and complete replace the result of a batch before, so the last
-    batch that touched a key is kept.
+    Each batch has a folder of its own, which a batch that is run again replaces. append gives all batches, complete
+    the last one, and update the last row of each of ``keys``. A stream without rows gives an empty table.
+    ``settings`` hold while the stream runs.
     """
+    if mode == "update" and not keys:
+        raise ValueError("name the keys whose last rows are wanted")
     spark, path = stream.sparkSession, work_dir(stream.sparkSession)
+    written: list[int] = []
 
     def put(rows: DataFrame, batch: int) -> None:
-        rows.withColumn("_batch", F.lit(batch)).write.mode("append").parquet(path)
-
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-state").foreachBatch(put).trigger(availableNow=True).start()
-    query.awaitTermination()
-    found = spark.read.parquet(path)
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        written.append(batch)
+
+    before = {k: spark.conf.get(k, None) for k in settings or {}}
+    try:
+        for k, v in (settings or {}).items():
+            spark.conf.set(k, v)
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-state").foreachBatch(put).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    if not written:
+        return spark.createDataFrame([], stream.schema)
     if mode == "complete":
-        last = found.agg(F.max("_batch").alias("b")).first()["b"]
-        found = found.where(F.col("_batch") == last)
-    return found.drop("_batch")
+        return spark.read.schema(stream.schema).parquet(f"{path}/batch={max(written)}")
+    batches = spark.read.schema(StructType([*stream.schema, StructField("batch", LongType())])).parquet(path)
+    if mode == "append":
+        return batches.drop("batch")
+    rest = [c for c in stream.columns if c not in keys]
+    last = batches.groupBy(*keys).agg(F.max_by(F.struct(F.lit(1).alias("_"), *rest), "batch").alias("last"))
+    return last.select(*keys, *[F.col(f"last.{c}").alias(c) for c in rest]).select(*stream.columns)
+
+
+def to_memory(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Runs a stream over all that is there into Spark's memory sink, on the driver: for results that stay small."""
+    name = f"memory_{uuid.uuid4().hex}"
+    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.table(name)
 
 
 def tumbling(stream: DataFrame, length: str, late: str) -> DataFrame:
@@ -81,3 +108,59 @@ def running_totals(stream: DataFrame) -> DataFrame:
     return stream.groupBy("user_id").applyInPandasWithState(
         update, "user_id long, n long, top_cents long", "n long, top long", "update", GroupStateTimeout.NoTimeout
     )
+
+
+#: transformWithState keeps its state in RocksDB.
+ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+class _Sessions(StatefulProcessor):
+    """One open session a user; a timer closes it when the watermark has passed its last event by the gap."""
+
+    def __init__(self, gap_ms: int):
+        self.gap_ms = gap_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "first long, last long, n long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        times = sorted(int(t) for part in rows for t in part["ms"])
+        held = list(self.open.get()) if self.open.exists() else []
+        closed = []
+        for t in times:
+            if held and held[0] - self.gap_ms <= t <= held[1] + self.gap_ms:
+                held = [min(held[0], t), max(held[1], t), held[2] + 1]
+            elif held and t < held[0]:
+                closed.append([t, t, 1])
+            else:
+                closed += [held] if held else []
+                held = [t, t, 1]
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
+        self.open.update(tuple(held))
+        self.handle.registerTimer(held[1] + self.gap_ms)
+        yield self._told(key, closed)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = list(self.open.get()) if self.open.exists() else None
+        self.open.clear()
+        yield self._told(key, [held] if held else [])
+
+    @staticmethod
+    def _told(key: tuple, found: list) -> pd.DataFrame:
+        return pd.DataFrame({"user_id": [key[0]] * len(found), "first_ms": [x[0] for x in found], "last_ms": [x[1] for x in found], "n": [x[2] for x in found]}, dtype="int64")
+
+    def close(self) -> None:
+        pass
+
+
+def closed_sessions(stream: DataFrame, gap: str, late: str) -> DataFrame:
+    """Per user: first and last time (milliseconds) and events of each session, once the watermark is ``gap`` past its end.
+
+    A session ends with a pause of more than ``gap``. Rows later than ``late`` are dropped. Run it with ROCKSDB as settings.
+    """
+    width = stream.sparkSession.sql(f"SELECT INTERVAL {gap} AS w").first()["w"]
+    rows = stream.withWatermark("ts", late).select("user_id", "ts", F.unix_millis("ts").alias("ms"))
+    processor = _Sessions(int(width.total_seconds() * 1000))
+    return rows.groupBy("user_id").transformWithStateInPandas(processor, "user_id long, first_ms long, last_ms long, n long", "append", "EventTime")

@@ -14,17 +14,69 @@ QUIET = settings(max_examples=8, deadline=None, suppress_health_check=list(Healt
 TIMES = st.lists(st.tuples(st.integers(0, 2), st.integers(0, 9)), max_size=12)
 
 
+NULLS = st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 2)), st.one_of(st.none(), st.integers(0, 9))), max_size=12)
+
+
 @QUIET
-@given(TIMES, TIMES, st.booleans())
-def test_asof_join(spark, left, right, strict):
+@given(NULLS, NULLS, st.booleans(), st.sampled_from([None, 1, 4]))
+def test_asof_join(spark, left, right, strict, width):
+    """Null keys and times match nothing; cells change no row."""
     l = spark.createDataFrame([(k, t, i) for i, (k, t) in enumerate(left)], "k int, t int, id int")
     r = spark.createDataFrame([(k, t, i) for i, (k, t) in enumerate(right)], "k int, t int, r int")
-    found = {x["id"]: x["r"] for x in joins.asof_join(l, r, ["k"], "t", ["r"], strict).collect()}
+    cell = width and (lambda t: F.floor(t / width))
+    found = {x["id"]: x["r"] for x in joins.asof_join(l, r, ["k"], "t", ["r"], strict, cell).collect()}
+    assert len(found) == len(left)
     for i, (k, t) in enumerate(left):
-        before = [(u, j) for j, (m, u) in enumerate(right) if m == k and (u < t if strict else u <= t)]
+        before = [(u, j) for j, (m, u) in enumerate(right) if None not in (k, t, m, u) and m == k and (u < t if strict else u <= t)]
         assert found[i] == (max(before)[1] if before else None)
 
 
+@QUIET
+@given(TIMES, TIMES)
+def test_interval_pairs(spark, left, right):
+    at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    for kind in ("timestamp_ntz", "timestamp"):
+        l = spark.createDataFrame([(k, at(t), i) for i, (k, t) in enumerate(left)], "k int, a timestamp_ntz, i int").withColumn("a", F.col("a").cast(kind))
+        r = spark.createDataFrame([(k, at(t), j) for j, (k, t) in enumerate(right)], "k int, b timestamp_ntz, j int").withColumn("b", F.col("b").cast(kind))
+        found = sorted((x["i"], x["j"]) for x in joins.interval_pairs(l, r, "k", "a", "3 HOURS", "b").collect())
+        assert found == sorted((i, j) for i, (k, t) in enumerate(left) for j, (m, u) in enumerate(right) if k == m and t < u <= t + 3)
+
+
+@QUIET
+@given(NULLS, NULLS, st.sampled_from([1.0, 3.0, 100.0]))
+def test_count_below(spark, left, right, width):
+    l = spark.createDataFrame([(k, t, i) for i, (k, t) in enumerate(left)], "k int, v int, id int")
+    r = spark.createDataFrame(right, "k int, w int")
+    found = {x["id"]: x["n"] for x in joins.count_below(l, r, "k", "v", "w", width).collect()}
+    assert found == {i: sum(None not in (k, v, m, w) and k == m and w < v for m, w in right) for i, (k, v) in enumerate(left)}
+
+
+@QUIET
+@given(TIMES, st.sampled_from([1, 3, 50]))
+def test_over_range(spark, rows, before):
+    df = spark.createDataFrame([(k, t, i) for i, (k, t) in enumerate(rows)], "k int, t long, id int")
+    found = {x["id"]: x["n"] for x in windows.over_range(df, F.count(F.lit(1)), ["k"], "t", before, "n").collect()}
+    assert found == {i: sum(m == k and t - before <= u <= t for m, u in rows) for i, (k, t) in enumerate(rows)}
+
+
+@QUIET
+@given(st.lists(st.tuples(st.integers(0, 1), st.one_of(st.none(), st.integers(-30, 30))), max_size=20), st.sampled_from([1.0, 7.0, 1000.0]))
+def test_quantiles(spark, rows, width):
+    df = spark.createDataFrame([(k, None if v is None else v / 4) for k, v in rows], "k int, v double")
+    found = {x["k"]: x for x in windows.quantiles(df, ["k"], "v", width, {"a": 0.5, "b": 0.9}, {"c": 0.25, "z": 0.0}).collect()}
+    told = df.groupBy("k").agg(F.percentile("v", 0.5).alias("a"), F.percentile("v", 0.9).alias("b"), F.expr("percentile_disc(0.25) WITHIN GROUP (ORDER BY v)").alias("c"), F.min("v").alias("z"))
+    expected = {x["k"]: x for x in told.where("a IS NOT NULL").collect()}
+    assert found.keys() == expected.keys()
+    for k, x in found.items():
+        assert [round(x[c], 9) for c in "abcz"] == [round(expected[k][c], 9) for c in "abcz"]
+
+
+def test_lookup_join_broadcasts_by_bytes(spark):
+    facts, lookup = spark.range(50).withColumnRenamed("id", "k"), spark.createDataFrame([(i, "x" * 100) for i in range(20)], "k long, w string")
+    plans = [joins.lookup_join(facts, lookup, "k", most=most)._jdf.queryExecution().optimizedPlan().toString() for most in (10_000, 1000)]
+    assert "strategy=broadcast" in plans[0] and "strategy=broadcast" not in plans[1]
+
+
 @QUIET
 @given(st.lists(st.integers(-20, 20), max_size=10), st.lists(st.tuples(st.integers(-20, 20), st.integers(0, 9)), max_size=10), st.sampled_from([1.0, 4.0, 50.0]))
 def test_band_join(spark, points, bands, width):

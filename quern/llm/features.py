@@ -51,18 +51,23 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.where(length > 0, length, 1)
 
 
+def hash_digits(seed: str, column: str = "doc_id") -> Column:
+    """The start of an id's digest; a null id counts as empty text."""
+    return F.substring(F.md5(F.concat(F.coalesce(F.col(column).cast("string"), F.lit("")), F.lit(seed))), 1, 8)
+
+
 def hash_below(share: Column, seed: str, column: str = "doc_id") -> Column:
     """True for a share of the ids that a hash decides."""
-    digits = F.substring(F.md5(F.concat(F.coalesce(F.col(column).cast("string"), F.lit("")), F.lit(seed))), 1, 8)
-    return F.conv(digits, 16, 10).cast("long") / float(2**32) < share
+    return F.conv(hash_digits(seed, column), 16, 10).cast("long") / float(2**32) < share
 
 
 def bounded_sample(rows: DataFrame, by: str, per_value: int, most: int, seed: str) -> DataFrame:
     """About per_value rows for each value of ``by``, by a hash of doc_id, and about ``most`` in all.
 
-    Callers limit what they make of the rows to ``most``, too; that only matters if chance overshoots.
+    Of more than ``most`` values the most frequent count (the first by name of equally frequent ones). Callers cut
+    what they make of the rows to ``most``, in the order of the hash, so that chance cannot overshoot.
     """
-    counted = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    counted = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), by)
     shares = {r[by]: r["_n"] for r in counted.limit(most).collect()}
     if not shares:
         return rows.limit(0)

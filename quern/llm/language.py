@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from quern.llm.common import crc32_of_id
-from quern.llm.features import blocks, bounded_sample, ngram_counts, unit_rows
+from quern.llm.features import blocks, bounded_sample, hash_digits, ngram_counts, unit_rows
 
 #: Families of languages by ISO 639-1 code. Any other code is a family of its own.
 FAMILIES = {
@@ -99,13 +99,13 @@ def train(labelled: DataFrame, rows: int = SAMPLE_ROWS, per_language: int = SAMP
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            yield pd.DataFrame({"lang": part["lang"], "x": [v.astype(np.float32).tobytes() for v in language_features(list(part["text"]))]})
+            yield pd.DataFrame({"lang": part["lang"], "order": part["order"], "x": [v.astype(np.float32).tobytes() for v in language_features(list(part["text"]))]})
 
-    sample = bounded_sample(usable, "lang", per_language, rows, ":language").select("text", "lang")
-    found = sample.mapInPandas(count, "lang string, x binary").limit(rows).toPandas()
+    sample = bounded_sample(usable, "lang", per_language, rows, ":language").select("text", "lang", hash_digits(":language").alias("order"))
+    found = sample.mapInPandas(count, "lang string, order string, x binary").limit(2 * rows).toPandas()
     if found.empty:
         return None
-    found = found.sort_values(["lang", "x"], kind="stable")
+    found = found.sort_values(["order", "lang", "x"], kind="stable").head(rows).sort_values(["lang", "x"], kind="stable")
     x = np.frombuffer(b"".join(found["x"]), dtype=np.float32).reshape(-1, DIMS)
     lang = found["lang"].to_numpy()
     family = np.array([FAMILY_OF.get(v, v) for v in lang], dtype=object)

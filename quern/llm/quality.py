@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from quern.llm.common import crc32_of_id
-from quern.llm.features import blocks, bounded_sample, ngram_counts, unit_rows
+from quern.llm.features import blocks, bounded_sample, hash_digits, ngram_counts, unit_rows
 
 DIMS = 4096
 #: The hashed n-grams, and how much a text repeats its words.
@@ -74,7 +74,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, r
     singular vectors of the sample's weighted terms.
     """
     usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("quality"))
-    chosen = bounded_sample(usable, "quality", per_label, rows, ":quality").limit(rows)
+    chosen = bounded_sample(usable, "quality", per_label, rows, ":quality").orderBy(hash_digits(":quality"), "doc_id", "quality").limit(rows)
     pairs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -83,10 +83,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, r
                 here = part.iloc[start : start + len(x)]
                 yield pd.DataFrame({"doc_id": here["doc_id"], "quality": here["quality"], "x": [v.tobytes() for v in x.astype(np.float16)]})
 
-    found = pairs.mapInPandas(count, "doc_id long, quality int, x binary").limit(rows).toPandas()
+    found = pairs.mapInPandas(count, "doc_id long, quality int, x binary").limit(2 * rows).toPandas()
     if found.empty:
         return None
-    found = found.sort_values(["doc_id", "quality"], kind="stable")
+    found = found.sort_values(["doc_id", "quality", "x"], kind="stable").head(2 * rows)
     x = np.frombuffer(b"".join(found["x"]), dtype=np.float16).reshape(-1, TERMS).astype(np.float32)
     x = np.minimum(x, np.float32(60_000))
     idf = np.log((1 + len(x)) / (1 + (x[:, :DIMS] > 0).sum(axis=0))).astype(np.float32) + 1

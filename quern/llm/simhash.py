@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,20 +20,29 @@ SEED = 42
 PAIRWISE = 1024
 
 
-def fingerprint(text: str | None, width: int = SHINGLE) -> int:
-    """A bit is 1 if set in over half of the hashes of the word shingles; 0 for a text without words (or null).
+def shingle_hashes(text: str | None, width: int = SHINGLE) -> Iterator[np.ndarray]:
+    """XXH64 of a text's word shingles in order, repeats included, 65,536 at most at once; A-Z are lowered.
 
-    A-Z are lowered. A text of fewer words than a shingle is one shingle. Repeats count as often as they occur.
+    A text of fewer words than a shingle is one shingle; one without words (or null) has none.
     """
     words = text.encode().lower().split() if text else []
-    if not words:
-        return 0
-    last = max(1, len(words) - width + 1)
-    hashes = np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), SEED) for i in range(last)], dtype="<u8")
-    ones = np.zeros(BITS, np.int64)
-    for i in range(0, last, 65_536):  # bounds the memory for very long texts
-        ones += np.unpackbits(hashes[i : i + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > last, bitorder="little").view("<u8")[0])
+    last = max(1, len(words) - width + 1) if words else 0
+    for start in range(0, last, 65_536):
+        yield np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), SEED) for i in range(start, min(last, start + 65_536))], dtype="<u8")
+
+
+def fold(parts: Iterable[np.ndarray]) -> int:
+    """The fingerprint of hashes: a bit is 1 if set in over half of them; 0 if there are none."""
+    n, ones = 0, np.zeros(BITS, np.int64)
+    for hashes in parts:
+        n += len(hashes)
+        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, width: int = SHINGLE) -> int:
+    """Repeated shingles count as often as they occur; 0 for a text without words (or null)."""
+    return fold(shingle_hashes(text, width))
 
 
 def covering_masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
@@ -148,7 +157,11 @@ def fingerprint_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component; rows with a null doc_id stay."""
-    first = near_duplicates(docs, radius).where("doc_id <> component_id").select("doc_id").distinct()
+def keep_one_each(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of its component; rows with a null doc_id stay.
+
+    groups (doc_id, component_id) are those of :func:`near_duplicates` unless others are given.
+    """
+    groups = near_duplicates(docs) if groups is None else groups
+    first = groups.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(first, "doc_id", "left_anti").select(*docs.columns)

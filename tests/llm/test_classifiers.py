@@ -36,6 +36,21 @@ def test_held_out_languages(spark, sf):
     assert np.mean([r["lang_pred"] == truth[r["doc_id"]] for r in held]) > 0.95
 
 
+def test_languages_are_predicted_again_without_spark(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language.train(docs.select("doc_id", "text", "lang").where(~language.held_out()))
+    given = docs.collect()
+    expected = {r["doc_id"]: p for r, p in zip(given, zip(*[[x for t in given for x in model.predict([t["text"]])[k]] for k in (0, 1)], strict=True), strict=True)}
+    for r in queries.op5_language(spark, sf).collect():
+        assert r["lang_pred"] == expected[r["doc_id"]][0] and abs(r["score"] - expected[r["doc_id"]][1]) < 1e-4
+
+
+def test_sample_does_not_depend_on_partitions(make):
+    rows = [(i, f"some text {i} {'the and' if i % 3 else 'der und'}", "en" if i % 3 else "de") for i in range(300)]
+    models = [language.train(make(rows, parts=p), rows=60, per_language=40) for p in (1, 5)]
+    assert np.array_equal(models[0].family_weights, models[1].family_weights)
+
+
 def test_languages_of_odd_rows(make, odd_rows):
     docs = make(odd_rows, clashing=True)
     model = language.train(docs)
@@ -73,6 +88,22 @@ def test_held_out_quality(spark, sf):
     assert np.mean([(g > b) + (g == b) / 2 for g in good for b in bad]) > 0.95
 
 
+def test_quality_is_scored_again_by_brute_force(spark, sf):
+    """Every document against every labelled vector, one by one in double precision."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    model = quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet").where(~quality.held_out()))
+    found = {r["doc_id"]: r["score"] for r in queries.op10_quality(spark, sf).collect()}
+    labelled = model.vectors.astype(np.float64)
+    for r in docs.collect():
+        ((_, counts),) = quality._counts([r["text"]])
+        latent = (quality._weigh(counts, model.idf) @ model.basis)[0].astype(np.float64)
+        cosine = labelled @ (latent / max(np.linalg.norm(latent), 1e-12))
+        near = sorted(range(len(cosine)), key=lambda i: -cosine[i])[: quality.NEIGHBOURS]
+        weights = [max(cosine[i], 0) ** quality.SHARPNESS for i in near]
+        expected = sum(w * model.labels[i] for w, i in zip(weights, near, strict=True)) / sum(weights) if sum(weights) else model.prior
+        assert abs(found[r["doc_id"]] - expected) < 1e-3
+
+
 def test_quality_of_odd_rows(spark, make, odd_rows):
     docs = make(odd_rows, clashing=True)
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (7, 0, 0), (8, 0, 0), (3, None, 0), (None, 1, 0), (77, 1, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")

@@ -2,9 +2,12 @@
 
 import datetime
 import math
+import struct
 
 import duckdb
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from quern.catalog import TABLES
 from quern.plans import aggregating, files_and_streams, joining, more, relational, scalars  # noqa: F401
@@ -43,3 +46,55 @@ def test_same_as_sql(spark, sf, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_gives_rows(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
+
+
+def within(found, exact, share):
+    return abs(found - exact) <= share * exact
+
+
+def test_approximate_counts_are_near(spark, sf, duck):
+    exact = {r[0]: r[1:] for r in duck.sql("SELECT l_returnflag, count(DISTINCT l_partkey), count(DISTINCT l_orderkey), list_sort(list(l_extendedprice)) FROM lineitem GROUP BY 1").fetchall()}
+    often = {}
+    for flag, supplier, n in duck.sql("SELECT l_returnflag, l_suppkey, count(*) FROM lineitem GROUP BY ALL").fetchall():
+        often.setdefault(flag, []).append(n)
+    for r in QUERIES["approximate_counts"](spark, sf).collect():
+        parts, orders, prices = exact[r["l_returnflag"]]
+        assert within(r["parts"], parts, 0.08) and within(r["orders"], orders, 0.08)
+        for q, found in zip((0.5, 0.99), r["prices"], strict=True):
+            assert abs(sum(p <= found for p in prices) / len(prices) - q) <= 0.01
+        assert [x["count"] for x in r["suppliers"]] == sorted(often[r["l_returnflag"]], reverse=True)[:5]
+
+
+def test_sketches_are_near(spark, sf, duck):
+    exact = {r[0]: r[1:] for r in duck.sql("SELECT l_returnflag, list_sort(list(l_extendedprice)), count(DISTINCT l_orderkey) FROM lineitem GROUP BY 1").fetchall()}
+    for r in QUERIES["sketches"](spark, sf).collect():
+        prices, orders = exact[r["l_returnflag"]]
+        assert abs(sum(p <= r["middle"] for p in prices) / len(prices) - 0.5) <= 0.03 and within(r["orders"], orders, 0.08)
+
+
+def test_count_min_counts_all_rows(spark, sf, duck):
+    """The sketch's head: version, total count, depth, width."""
+    exact = dict(duck.sql("SELECT l_returnflag, count(*) FROM lineitem GROUP BY 1").fetchall())
+    found = {r["l_returnflag"]: struct.unpack(">iqii", bytes(r["sketch"])[:20]) for r in QUERIES["count_min"](spark, sf).collect()}
+    assert {k: v[1] for k, v in found.items()} == exact and all(v[2:] == (7, 2000) for v in found.values())
+
+
+def test_hashes_are_the_library_s(spark, sf, duck):
+    names = dict(duck.sql("SELECT p_partkey, p_name FROM part").fetchall())
+    for r in QUERIES["xx_hashes"](spark, sf).collect():
+        assert r["x"] % 2**64 == xxhash.xxh64_intdigest(names[r["p_partkey"]].encode(), 42)
+
+
+def test_sounds(spark, sf, duck):
+    known = {"Robert": "R163", "Rupert": "R163", "Tymczak": "T522", "Pfister": "P236", "Honeyman": "H555"}
+    found = spark.createDataFrame([(k,) for k in known], "name string").select("name", F.soundex("name").alias("s")).collect()
+    assert {r["name"]: r["s"] for r in found} == known
+    assert sum(r["n"] for r in QUERIES["sound_keys"](spark, sf).collect()) == duck.sql("SELECT count(*) FROM part").fetchone()[0]
+
+
+@pytest.mark.parametrize("name, share", [("sample_fraction", 0.2), ("sample_percent", None)])
+def test_samples_repeat(spark, sf, name, share):
+    first, again = QUERIES[name](spark, sf), QUERIES[name](spark, sf)
+    rows = sorted(map(str, first.collect()))
+    assert rows and rows == sorted(map(str, again.collect()))
+    assert share is None or within(len(rows), share * spark.read.parquet(f"{sf}/events.parquet").count(), 0.25)

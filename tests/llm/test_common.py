@@ -24,8 +24,7 @@ def test_at_most_so_many_bounds(spark):
     assert len(common.range_bounds(spark.range(10_000).withColumnRenamed("id", "k"), "k", 1, most=16)) <= 16
 
 
-@pytest.mark.parametrize("n", [0, 1, 40, 5000])
-@pytest.mark.parametrize("most, fine", [(16, 4), (3, 128), (16_384, 2)])
+@pytest.mark.parametrize("n, most, fine", [(0, 16, 4), (1, 3, 128), (40, 16, 4), (5000, 16, 4), (5000, 16, 128), (5000, 16_384, 2)])
 def test_ranges_stay_small(spark, n, most, fine):
     """Two levels of bounds give ranges of bounded rows, however few bounds the driver may hold."""
     df = spark.createDataFrame([(3 * i,) for i in range(n)] + [(None,)], "k long")

@@ -65,3 +65,12 @@ def test_same_as_sql(spark, sf):
     found = queries.op3_source_mixing(spark, sf).select(order).orderBy("doc_id").collect()
     told = con.sql(f"SELECT {', '.join(order)} FROM ({queries.OP3_SQL}) ORDER BY doc_id").fetchall()
     assert [tuple(r) for r in found] == told
+
+
+def test_a_caller_s_columns_stay(make, odd_rows, monkeypatch):
+    docs = make(odd_rows).selectExpr("*", "1 AS _name0", "2 AS _None0", "3 AS _salt0", "4 AS _row")
+    for most in (50_000, 0):
+        monkeypatch.setattr(mixing, "BROADCAST_SOURCES", most)
+        found = mixing.with_copies(docs)
+        assert found.columns[:9] == docs.columns and {tuple(r)[5:9] for r in found.collect()} == {(1, 2, 3, 4)}
+        assert mixing.mix(docs).columns == docs.columns

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -55,15 +56,18 @@ def inline_structs(spark, sf_dir):
 
 @query("SELECT p_partkey, unnest(range(0, p_size % 3))::BIGINT AS i FROM part")
 def arrow_table_function(spark, sf_dir):
-    @F.arrow_udtf(returnType="i long")
+    """An Arrow table function takes a table, a batch at a time."""
+
+    @F.arrow_udtf(returnType="p_partkey long, i long")
     class CountArrow:
-        def eval(self, n: pa.Array):
-            for k in n.to_pylist():
-                yield pa.table({"i": pa.array(range(k), pa.int64())})
+        def eval(self, rows: pa.RecordBatch):
+            n = rows.column("n").to_numpy(zero_copy_only=False)
+            first = np.repeat(np.cumsum(n) - n, n)
+            yield pa.table({"p_partkey": np.repeat(rows.column("p_partkey").to_numpy(), n), "i": np.arange(n.sum()) - first})
 
     spark.udtf.register("quern_count_arrow", CountArrow)
     register(spark, sf_dir, "part")
-    return spark.sql("SELECT p_partkey, i FROM part, LATERAL quern_count_arrow(p_size % 3)")
+    return spark.sql("SELECT p_partkey, i FROM quern_count_arrow(TABLE(SELECT p_partkey, p_size % 3 AS n FROM part))")
 
 
 @query("SELECT s_suppkey, s_acctbal FROM supplier WHERE s_acctbal > (SELECT avg(s_acctbal) FROM supplier) AND EXISTS (SELECT 1 FROM customer WHERE c_nationkey = s_nationkey AND c_acctbal < 0)")
@@ -122,7 +126,7 @@ def stream_memory(spark, sf_dir):
 
 @query("""WITH opened AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS opens FROM events),
   numbered AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM opened)
-  SELECT user_id, epoch_ms(min(ts)) AS first_ms, epoch_ms(max(ts)) AS last_ms, count(*)::BIGINT AS n FROM numbered GROUP BY user_id, s
+  SELECT user_id, epoch_us(min(ts)) // 1000 AS first_ms, epoch_us(max(ts)) // 1000 AS last_ms, count(*)::BIGINT AS n FROM numbered GROUP BY user_id, s
   HAVING max(ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES""")
 def stream_timers(spark, sf_dir):
     """Keyed state with event-time timers: sessions that the watermark has closed."""

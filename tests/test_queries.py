@@ -89,7 +89,7 @@ def test_sounds(spark, sf, duck):
     known = {"Robert": "R163", "Rupert": "R163", "Tymczak": "T522", "Pfister": "P236", "Honeyman": "H555"}
     found = spark.createDataFrame([(k,) for k in known], "name string").select("name", F.soundex("name").alias("s")).collect()
     assert {r["name"]: r["s"] for r in found} == known
-    assert sum(r["n"] for r in QUERIES["sound_keys"](spark, sf).collect()) == duck.sql("SELECT count(*) FROM part").fetchone()[0]
+    assert sum(r["n"] for r in QUERIES["sound_keys"](spark, sf).collect()) == duck.sql("SELECT count(*) FROM part").fetchall()[0][0]
 
 
 @pytest.mark.parametrize("name, share", [("sample_fraction", 0.2), ("sample_percent", None)])

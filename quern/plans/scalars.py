@@ -118,6 +118,20 @@ def vector_functions(spark, sf_dir):
     return read(spark, sf_dir, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(lagged), 6).alias("lagged"), F.round(F.avg(vectors.norm(e)), 6).alias("length"))
 
 
+@query("""SELECT a.vec_id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))), 6) AS d
+  FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
+def vector_distance(spark, sf_dir):
+    """The squared distance of each vector from the one of the next id."""
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    after = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
+    return rows.join(after, "vec_id").select("vec_id", F.round(vectors.squared_distance(F.col("embedding"), F.col("next")), 6).alias("d"))
+
+
+@query("""SELECT initials, count(*)::BIGINT AS n FROM (SELECT array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1])), '') AS initials FROM part) GROUP BY initials""")
+def name_initials(spark, sf_dir):
+    return read(spark, sf_dir, "part").groupBy(text.initials(F.col("p_name")).alias("initials")).agg(F.count(F.lit(1)).alias("n"))
+
+
 #: Rows of one side that are compared at once.
 VECTOR_BLOCK = 2048
 

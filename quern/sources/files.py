@@ -15,13 +15,19 @@ _own: dict[str, str] = {}
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new path below the cluster's shared folder (spark.checkpoint.dir), or in local runs below a temporary one."""
+    """A new path below the cluster's shared folder (spark.checkpoint.dir), or in local runs below a temporary one.
+
+    Its folder goes when the JVM ends, with what else is put there.
+    """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top and not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not top:
         top = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="spark-quern-"))
-    return f"{top}/files-{uuid.uuid4().hex}"
+    folder = f"{top}/files-{uuid.uuid4().hex}"
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
+    return f"{folder}/data"
 
 
 def write(df: DataFrame, path: str, kind: str, partition_by: list[str] = (), **options: str) -> None:

@@ -1,6 +1,7 @@
 """Composed operators against brute force on small tables."""
 
 import datetime as dt
+import os
 
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
@@ -140,3 +141,9 @@ def test_plans_push_down_and_prune(spark, sf):
 
     plan = relational.scan_filter(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(o_totalprice,400000.0)" in plan and "o_custkey" not in plan
+
+
+def test_scan_files_and_work_dirs(spark, sf):
+    found = files.scan_files(spark, f"{sf}/orders.parquet").collect()
+    assert [r["length"] for r in found] == [os.path.getsize(f"{sf}/orders.parquet")]
+    assert files.work_dir(spark) != files.work_dir(spark)

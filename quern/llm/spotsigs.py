@@ -57,8 +57,10 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(shared / union)
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """Adds next, a struct of ``columns`` of the next row by descending doc_id; the first row's after the last.
+def with_next(docs: DataFrame, added: dict[str, Column], columns: list[str]) -> DataFrame:
+    """Adds columns, and next, a struct of ``columns`` of the next row by descending doc_id; the first row's after the last.
+
+    What is added is worked out after the rows have been dealt, so that it isn't shuffled.
 
     Rows of one doc_id follow each other by the hash of their text, null ids come last. Ranges of doc_ids are
     sorted apart; the last document of a range also goes to the next range as a guest, and the last of all to the
@@ -69,6 +71,7 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     wraps = F.when((F.col("doc_id") == F.col("_last")) & F.col("_next").isNull(), guest(F.lit(0), 2))
     places = F.array_compact(F.array(guest(F.col("_range"), 0), follows, wraps))
     dealt = with_ranges(docs, "doc_id", ROWS_PER_RANGE).withColumn("_at", F.explode(places)).select(*docs.columns, "_at.range", "_at.guest")
+    dealt = dealt.repartition("range").withColumns(added)
     down = Window.partitionBy("range").orderBy(F.col("guest") == 2, F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
     here = F.struct(*columns)
     next_ = F.coalesce(F.lead(here).over(down), F.first(here).over(down))
@@ -83,7 +86,7 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     rows are neighbours of each other. Extra columns are left out. Empty in, empty out.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    docs = with_next(docs.withColumn("folded", fingerprint(signatures(F.col("text")))), ["text", "folded"])
+    docs = with_next(docs, {"folded": fingerprint(signatures(F.col("text")))}, ["text", "folded"])
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring(F.col("next.text"), F.lit(1), half))

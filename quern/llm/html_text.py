@@ -59,6 +59,13 @@ LABELLED = (
     (9, 0.0, 11, 0.0, 34, 0.0, 0.94, 0.00, 1, 0, 1), (12, 0.0, 2, 1.0, 60, 0.0, 0.90, 0.01, 1, 0, 1), (3, 0.0, 70, 0.0, 81, 0.0, 0.96, 0.00, 1, 0, 1),
     (11, 0.0, 1, 1.0, 21, 0.0, 0.64, 0.00, 1, 0, 1), (6, 0.0, 5, 0.0, 7, 0.0, 0.80, 0.03, 0, 0, 1), (4, 1.0, 50, 0.0, 42, 0.0, 0.92, 0.05, 0, 0, 1),
     (7, 0.9, 33, 0.0, 28, 0.0, 0.89, 0.07, 0, 0, 1), (2, 1.0, 25, 0.0, 19, 0.1, 0.76, 0.06, 0, 0, 1),
+    # short text beside such a link
+    (1, 0.0, 40, 0.0, 1, 1.0, 0.90, 0.08, 0, 0, 1), (3, 0.0, 30, 0.0, 2, 1.0, 0.85, 0.10, 0, 0, 1), (2, 0.0, 1, 1.0, 1, 1.0, 0.90, 0.12, 0, 0, 1),
+    (1, 1.0, 1, 0.0, 28, 0.0, 0.88, 0.06, 0, 0, 1), (2, 1.0, 3, 0.0, 2, 0.0, 0.90, 0.10, 0, 0, 1), (4, 1.0, 2, 0.0, 33, 0.0, 0.80, 0.07, 0, 0, 1),
+    (5, 0.0, 12, 0.2, 3, 1.0, 0.92, 0.18, 0, 0, 1), (3, 1.0, 6, 0.0, 14, 0.1, 0.86, 0.16, 0, 0, 1),
+    (1, 0.0, 1, 1.0, 5, 0.2, 0.90, 0.10, 1, 0, 1), (1, 0.0, 2, 1.0, 6, 0.0, 0.85, 0.10, 0, 0, 1), (1, 0.0, 1, 1.0, 1, 0.0, 0.70, 0.00, 1, 0, 1),
+    (2, 0.0, 3, 1.0, 4, 0.0, 0.80, 0.00, 1, 0, 1), (5, 0.0, 2, 1.0, 9, 0.0, 0.75, 0.00, 0, 0, 1), (4, 0.0, 6, 1.0, 30, 0.0, 0.95, 0.20, 1, 0, 1),
+    (6, 0.2, 4, 1.0, 12, 0.0, 0.88, 0.15, 0, 0, 1), (3, 0.0, 5, 1.0, 0, 0.0, 0.82, 0.18, 0, 0, 1),
     # the same in articles of many links
     (60, 0.2, 45, 0.25, 70, 0.3, 0.95, 0.24, 0, 0, 1), (22, 0.1, 41, 0.3, 33, 0.2, 0.90, 0.26, 0, 0, 1), (3, 0.0, 52, 0.3, 40, 0.2, 0.92, 0.28, 0, 0, 1),
     (8, 0.0, 20, 0.3, 66, 0.25, 0.94, 0.21, 1, 0, 1), (6, 0.5, 60, 0.2, 50, 0.3, 0.89, 0.30, 0, 0, 1), (90, 0.4, 70, 0.35, 12, 0.3, 0.97, 0.36, 0, 0, 1),
@@ -324,10 +331,11 @@ def sections(page: Page) -> tuple[list[int], list[bool], int, int]:
         inner.setdefault(e.parent, []).append(i)
     top, way = 0, {0}
     while True:
-        best = max((i for i in inner.get(top, ()) if not elements[top].article or elements[i].article), key=weighed.__getitem__, default=None)
+        least, of = elements[top].article, tagged if elements[top].article == 2 else articles
+        best = max((i for i in inner.get(top, ()) if elements[i].article >= least), key=weighed.__getitem__, default=None)
         if best is None:
-            # an article may be marked further down
-            best = next((i for i in inner.get(top, ()) if articles[i] and 2 * weighed[i] > weighed[top]), None)
+            # such an article may be marked further down
+            best = next((i for i in inner.get(top, ()) if of[i] and 2 * weighed[i] > weighed[top]), None)
         if best is None or weighed[best] <= 0 or 2 * weighed[best] <= weighed[top] or elements[best].tag in TEXT_LEVEL:
             break
         top = best

@@ -62,6 +62,19 @@ def test_text_decides_where_marks_do_not():
     assert text(f"<article>A teaser of a few words.</article><div><p>{LONG}.</p><p>{LONG} 2.</p><p>{LONG} 3.</p></div>") == f"{LONG}.\n{LONG} 2.\n{LONG} 3."
 
 
+def test_common_layouts():
+    blog = f"""<body class="post-template has-sidebar"><div id="page"><header id="masthead" class="site-header"><h1><a href=/>My blog</a></h1><nav><ul><li><a href=/a>About</a></ul></nav></header>
+    <div id="content" class="site-content"><main id="main"><article id="post-1" class="post comments-open"><header class="entry-header"><h1 class="entry-title">The title</h1></header><div class="entry-content">
+    <p>{LONG}.</p><ul><li>One thing</li><li>Another thing</li></ul><p>{LONG}!</p><div class="share-buttons"><a href=1>Tweet</a></div></div><footer class="entry-footer">Filed under <a href=/x>X</a></footer></article>
+    <div id="comments" class="comments-area"><h2 class="comments-title">2 thoughts</h2><ol class="comment-list"><li class="comment"><p>{LONG} {LONG} {LONG}.</p></ol></div></main></div>
+    <aside><h2>Recent</h2><ul><li><a href=1>Post one</a></ul></aside></div></body>"""
+    assert text(blog) == f"The title\n{LONG}.\nOne thing\nAnother thing\n{LONG}!"
+    wiki = f"""<div id="content"><h1 id="firstHeading">Cats</h1><div id="bodyContent"><p>{LONG}, <a href=a>and links</a> <a href=b>in it</a>.</p><h2>History</h2><p>{LONG}.</p><table><tr><td>Kingdom<td><a href=k>Animalia</a></table>
+    <h2>References</h2><ol><li><a href=1>^</a> Smith, J. (2001). Cats.<li><a href=1>^</a> Doe, J. (2002). Dogs.</ol></div></div><div id="mw-navigation"><h2>Navigation menu</h2><ul><li><a href=1>Main page</a><li><a href=2>Contents</a></ul></div>"""
+    assert text(wiki) == f"Cats\n{LONG}, and links in it.\nHistory\n{LONG}.\nKingdom\nAnimalia\nReferences\n^ Smith, J. (2001). Cats.\n^ Doe, J. (2002). Dogs."
+    assert text("<nav><a href=/>Home</a></nav><article><h1>Hi</h1><p>Ok.</p></article><div class='newsletter-signup'><p>Sign up and get all the news.</p></div><footer>All rights reserved.</footer>") == "Hi\nOk."
+
+
 def test_hand_labelled_pages_without_article():
     """Blocks marked + are the main text."""
     menu, foot = "<div><a href=/>Home</a> <a href=/b>Books</a> <a href=/c>Contact us</a></div>", "<div>All rights reserved by the owner.</div>"

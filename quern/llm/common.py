@@ -9,7 +9,8 @@ import math
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -60,6 +61,24 @@ def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A :func:`materialize` whose files go at the end of the block, when nothing may read them any more."""
+    made: list[str] = []
+
+    def put(df: DataFrame) -> DataFrame:
+        made.append(new_dir(spark, ""))
+        df.write.option("compression", "zstd").parquet(made[-1])
+        return spark.read.schema(df.schema).parquet(made[-1])
+
+    try:
+        yield put
+    finally:
+        for path in made:
+            there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def give_back() -> None:
     """Returns a Python worker's freed memory to the system; Spark keeps workers, and what they hold, between stages."""
     gc.collect()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
@@ -42,22 +44,22 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return low.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, put: Callable[[DataFrame], DataFrame] = materialize) -> DataFrame:
     """edges (a, b) of integers -> (node, root): each node's smallest reachable node, for all that have an edge.
 
-    Alternating large and small stars until nothing changes, each round written to the shared folder. Loops
+    Alternating large and small stars until nothing changes, each round written to the shared folder by ``put``. Loops
     (a = b) and edges with a null are left out; nodes without another edge don't appear. The minimum per node
     is aggregated before the shuffle, and the joins on a node of very many edges are ones that adaptive
     execution splits.
     """
-    edges = materialize(edges.select("a", "b").where("a <> b").distinct())
+    edges = put(edges.select("a", "b").where("a <> b").distinct())
     seen = None
     for _ in range(MAX_ROUNDS):
         found = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if not found[0] or tuple(found) == seen:
             break
         seen = tuple(found)
-        edges = materialize(_small_star(_large_star(edges)))
+        edges = put(_small_star(_large_star(edges)))
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quern.llm.common import materialize, whole_runs
 from quern.llm.components import components, local_labels
+from quern.operators.joins import lookup_join
 
 BITS = 64
 RADIUS = 2
@@ -164,4 +165,4 @@ def keep_one_each(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame
     """
     groups = near_duplicates(docs) if groups is None else groups
     first = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_anti").select(*docs.columns)
+    return lookup_join(docs, materialize(first), "doc_id", "left_anti").select(*docs.columns)

@@ -21,7 +21,7 @@ from quern.llm.common import give_back
 NONE = np.int32(2**31 - 1)
 #: Bytes of text whose new words are replayed together, and words whose ids a task remembers (about 60 bytes each).
 REPLAY_CHARS = 4_000_000
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: White space next to a space; a text without it can be cut at every space before the pattern is applied.
 _CLOSE_SPACE = r" [\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]|[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}] "
 
@@ -262,6 +262,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
                 del ids
                 yield pa.RecordBatch.from_pydict(out)
                 del out
+            give_back()
         del words
         give_back()
 

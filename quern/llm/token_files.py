@@ -19,7 +19,7 @@ from quern.llm.common import bucket_of, give_back, materialize, new_dir, range_b
 END = 1
 #: Bytes of text whose distinct words are looked up together, and stems whose ids a task remembers (about 50 bytes each).
 TEXT_BYTES = 4_000_000
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: Words that go to the tokenizer in one string, and what stands between them.
 TOGETHER = 200
 BAR = "|"
@@ -156,6 +156,8 @@ def tokenize(docs: DataFrame, path: str | None = None) -> DataFrame:
             for part in slices(batch, "text", TEXT_BYTES):
                 ids = [x.astype("<u2").tobytes() for x in encode_texts(tokenizer, part.column("text"), stems)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], schema=schema)
+                del ids
+            give_back()
         del stems
         give_back()
 

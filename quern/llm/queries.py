@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quern.llm import bpe, html_text, language, mixing, near_vectors, quality, simhash, spotsigs, substring, token_files
+from quern.llm import bpe, collocations, html_text, language, mixing, near_vectors, quality, simhash, spotsigs, substring, token_files
 from quern.llm.common import WORD, table
 
 
@@ -137,6 +137,42 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang,
+               unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents)
+), totals AS (
+  SELECT lang, sum(len(w)) AS n FROM pieces GROUP BY lang
+), counted AS (
+  SELECT lang, g, count(*) AS a
+  FROM (SELECT lang, unnest(flatten(list_transform(range(1, 6), lambda k: list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])))) AS g FROM pieces)
+  GROUP BY lang, g HAVING count(*) >= 100
+), cuts AS (
+  SELECT c.lang, c.g, c.a, l.a AS l, r.a AS r, n, k, (1000::HUGEINT * c.a * n) // (l.a::HUGEINT * r.a) AS score
+  FROM (SELECT *, unnest(range(1, len(g))) AS k FROM counted) c
+  JOIN counted l ON l.lang = c.lang AND l.g = c.g[1:k]
+  JOIN counted r ON r.lang = c.lang AND r.g = c.g[k + 1:]
+  JOIN totals t ON t.lang = c.lang
+), best AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1
+), inside AS (
+  SELECT DISTINCT x.lang, x.part FROM (
+    SELECT lang, g, a, unnest(flatten(list_transform(range(1, len(g)), lambda k: list_transform(range(1, len(g) - k + 2), lambda i: g[i:i + k - 1])))) AS part FROM counted WHERE len(g) > 2
+  ) x JOIN counted c ON c.lang = x.lang AND c.g = x.part AND 100 * x.a >= 100 * c.a
+)
+SELECT lang, row_number() OVER ranked AS rank, array_to_string(g, ' ') AS phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM best b WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = b.lang AND i.part = b.g)
+WINDOW ranked AS (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' '))
+QUALIFY row_number() OVER ranked <= 2000
+"""
+
+
 QUERIES = {
     "op1_spot_signatures": op1_spot_signatures,
     "op2_html_main_text": op2_html_main_text,
@@ -148,9 +184,11 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_repeated_windows": op9_repeated_windows,
     "op10_quality": op10_quality,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE_SQL = {
     "op1_spot_signatures": OP1_SQL,
     "op3_source_mixing": OP3_SQL,
+    "op13_collocations": OP13_SQL,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quern.llm import bpe, collocations, html_text, language, mixing, near_vectors, quality, simhash, spotsigs, substring, token_files
+from quern.llm import alignment, bpe, collocations, html_text, language, mixing, near_vectors, quality, simhash, spotsigs, substring, token_files
 from quern.llm.common import WORD, table
 
 
@@ -137,6 +137,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.cross_align(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = F.when(found["groups"] == "", "").otherwise(F.sha2("groups", 256))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(table(spark, sf_dir, "documents").select("lang", "text"))
 
@@ -184,6 +190,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_repeated_windows": op9_repeated_windows,
     "op10_quality": op10_quality,
+    "op11_alignment": op11_alignment,
     "op13_collocations": op13_collocations,
 }
 

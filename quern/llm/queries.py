@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quern.llm import alignment, bpe, collocations, html_text, language, mixing, near_vectors, quality, simhash, spotsigs, substring, token_files
+from quern.llm import alignment, bpe, collocations, html_text, language, mixing, near_vectors, quality, simhash, spotsigs, substring, token_files, toxicity
 from quern.llm.common import WORD, table
 
 
@@ -143,6 +143,13 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", toxicity.held_out())
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~toxicity.held_out()))
+    scored = toxicity.score(docs, model, keep=["doc_id", "held_out"])
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(table(spark, sf_dir, "documents").select("lang", "text"))
 
@@ -191,6 +198,7 @@ QUERIES = {
     "op9_repeated_windows": op9_repeated_windows,
     "op10_quality": op10_quality,
     "op11_alignment": op11_alignment,
+    "op12_toxicity": op12_toxicity,
     "op13_collocations": op13_collocations,
 }
 

@@ -49,7 +49,7 @@ def test_context():
     assert np.allclose(np.expm1(plain), [2, 0, 0, 0, 0, 1, 1, 0, 0])
     assert np.allclose(np.expm1(quoted), [0, 0, 1, 1, 0, 0, 0, 0, 0])
     assert np.allclose(np.expm1(odd), [0, 1, 0, 0, 0, 0, 0, 0, 0])
-    assert np.allclose(np.expm1(x[:, 6]), [2, 0, 1, 1, 0, 1, 1, 0, 0])
+    assert np.allclose(np.expm1(x[:, 6]), [2, 1, 1, 1, 0, 1, 1, 0, 0])
 
 
 def test_terms_are_beginnings():

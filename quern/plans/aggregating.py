@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from quern.catalog import cents, read
-from quern.operators import windows
+from quern.operators import scans, windows
 from quern.plans.registry import query
 
 
@@ -135,37 +135,41 @@ def approximate_counts(spark, sf_dir):
 @query("""SELECT o_custkey, o_orderkey, rank() OVER w AS r, dense_rank() OVER w AS d, row_number() OVER w AS n, ntile(4) OVER w AS q FROM orders
   WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""")
 def ranking(spark, sf_dir):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    orders = read(spark, sf_dir, "orders")
-    return orders.select("o_custkey", "o_orderkey", *[f.over(w).cast("long").alias(a) for f, a in ((F.rank(), "r"), (F.dense_rank(), "d"), (F.row_number(), "n"), (F.ntile(4), "q"))])
+    """A customer's orders are sorted within months; numbers of rows and values of the months before are added."""
+    names = {"rank": "r", "dense_rank": "d", "row_number": "n", "rows": "all_rows"}
+    ranked = scans.ranks(read(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], F.trunc("o_orderdate", "month"), names)
+    return ranked.select("o_custkey", "o_orderkey", "r", "d", "n", scans.tile(F.col("n"), F.col("all_rows"), 4).alias("q"))
 
 
 @query("SELECT s_suppkey, round(percent_rank() OVER w, 9) AS p, round(cume_dist() OVER w, 9) AS c FROM supplier WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_acctbal)")
 def relative_ranking(spark, sf_dir):
-    w = Window.partitionBy("s_nationkey").orderBy("s_acctbal")
-    return read(spark, sf_dir, "supplier").select("s_suppkey", F.round(F.percent_rank().over(w), 9).alias("p"), F.round(F.cume_dist().over(w), 9).alias("c"))
+    ranked = scans.ranks(read(spark, sf_dir, "supplier"), ["s_nationkey"], ["s_acctbal"], F.floor(F.col("s_acctbal") / 500), {"rank": "r", "rows": "n", "up_to": "u"})
+    percent = F.when(F.col("n") > 1, (F.col("r") - 1) / (F.col("n") - 1)).otherwise(0.0)
+    return ranked.select("s_suppkey", F.round(percent, 9).alias("p"), F.round(F.col("u") / F.col("n"), 9).alias("c"))
 
 
 @query("""SELECT event_id, lag(value) OVER w AS before, lead(value, 2, -1.0) OVER w AS later, first_value(event_type) OVER w AS opened, coalesce(nth_value(event_id, 3) OVER w, -1) AS third
   FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)""")
 def offsets(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("ts")
-    return read(spark, sf_dir, "events").select(
-        "event_id", F.lag("value").over(w).alias("before"), F.lead("value", 2, -1.0).over(w).alias("later"), F.first("event_type").over(w).alias("opened"), F.coalesce(F.nth_value("event_id", 3).over(w), F.lit(-1)).alias("third")
-    )
+    """lag and lead look into numbered blocks; the first type and the third id are carried from day to day."""
+    rows = read(spark, sf_dir, "events")
+    near = scans.near_rows(rows, ["user_id"], ["ts", "event_id"], F.to_date("ts"), 1, 2, lambda w: {"before": F.lag("value").over(w), "later": F.lead("value", 2, -1.0).over(w)})
+    numbered = scans.ranks(near, ["user_id"], ["ts", "event_id"], F.to_date("ts"), {"row_number": "row"})
+    told = {"opened": ("last", F.when(F.col("row") == 1, F.col("event_type"))), "third": ("last", F.when(F.col("row") == 3, F.col("event_id")))}
+    return scans.scan(numbered, ["user_id"], ["ts", "event_id"], F.to_date("ts"), told, peers=False).select("event_id", "before", "later", "opened", F.coalesce("third", F.lit(-1)).alias("third"))
 
 
 @query("""SELECT event_id, coalesce(last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1) AS last_click FROM events""")
 def last_ignoring_nulls(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    clicked = F.last(F.when(F.col("event_type") == "click", F.col("event_id")), ignorenulls=True).over(w)
-    return read(spark, sf_dir, "events").select("event_id", F.coalesce(clicked, F.lit(-1)).alias("last_click"))
+    clicked = {"last_click": ("last", F.when(F.col("event_type") == "click", F.col("event_id")))}
+    found = scans.scan(read(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], F.to_date("ts"), clicked, peers=False)
+    return found.select("event_id", F.coalesce("last_click", F.lit(-1)).alias("last_click"))
 
 
 @query("SELECT event_id, (sum(round(value * 100)::BIGINT) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))::BIGINT AS moving FROM events")
 def rows_frame(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("ts").rowsBetween(-4, 0)
-    return read(spark, sf_dir, "events").select("event_id", F.sum(cents("value")).over(w).alias("moving"))
+    found = scans.near_rows(read(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], F.to_date("ts"), 4, 0, lambda w: {"moving": F.sum(cents("value")).over(w.rowsBetween(-4, 0))})
+    return found.select("event_id", "moving")
 
 
 @query("SELECT event_id, (count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 6 HOURS PRECEDING AND CURRENT ROW))::BIGINT AS recent FROM events")
@@ -176,8 +180,9 @@ def range_frame(spark, sf_dir):
 
 @query("SELECT p_partkey, (sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_type GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW))::BIGINT AS near_size FROM part")
 def groups_frame(spark, sf_dir):
-    part = read(spark, sf_dir, "part")
-    return windows.over_groups(part, F.sum(F.col("p_size").cast("long")), ["p_brand"], "p_type", 1, 0, "near_size").select("p_partkey", "near_size")
+    """A brand's parts are aggregated by type first; the frame runs over a row a type."""
+    found = scans.over_groups(read(spark, sf_dir, "part"), ["p_brand"], "p_type", 1, 0, {"near_size": ("sum", F.col("p_size").cast("long"))}, F.substring("p_type", 1, 2))
+    return found.select("p_partkey", "near_size")
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1")
@@ -196,7 +201,7 @@ def top_k_per_group(spark, sf_dir):
   (SELECT *, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 2 HOURS THEN 1 WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL THEN 1 ELSE 0 END AS opens FROM events))
   GROUP BY user_id, session""")
 def sessionize(spark, sf_dir):
-    found = windows.sessions(read(spark, sf_dir, "events"), "user_id", "ts", "2 HOURS", ["event_id"])
+    found = scans.sessions(read(spark, sf_dir, "events"), "user_id", "ts", "2 HOURS", F.to_date("ts"))
     return found.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event"))
 
 

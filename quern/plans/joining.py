@@ -15,9 +15,9 @@ def broadcast_join(spark, sf_dir):
     return joins.lookup_join(read(spark, sf_dir, "customer").select("c_nationkey"), nation, "c_nationkey").groupBy("n_name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT o_orderkey, l_partkey, l_quantity, o_orderdate FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity > 45")
+@query("SELECT o_orderkey, l_partkey, l_quantity, o_orderdate FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
 def sort_merge_join(spark, sf_dir):
-    lines = read(spark, sf_dir, "lineitem").where("l_quantity > 45").select("l_orderkey", "l_partkey", "l_quantity")
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     return lines.hint("merge").join(orders, lines.l_orderkey == orders.o_orderkey).select("o_orderkey", "l_partkey", "l_quantity", "o_orderdate")
 

@@ -8,9 +8,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from quern.catalog import cents, read, register
+from quern.operators import scans
 from quern.plans.registry import query
 from quern.streaming import events
 
@@ -96,17 +97,17 @@ def arrow_scalar(spark, sf_dir):
 
 @query("SELECT user_id, event_id, (sum(round(value * 100)::BIGINT) OVER (PARTITION BY user_id ORDER BY ts))::BIGINT AS so_far FROM events")
 def running_sum(spark, sf_dir):
-    return read(spark, sf_dir, "events").select("user_id", "event_id", F.sum(cents("value")).over(Window.partitionBy("user_id").orderBy("ts")).alias("so_far"))
+    found = scans.scan(read(spark, sf_dir, "events"), ["user_id"], ["ts"], F.to_date("ts"), {"so_far": ("sum", cents("value"))})
+    return found.select("user_id", "event_id", "so_far")
 
 
-@query("SELECT event_id, props FROM events WHERE event_type = 'error' AND value > 60")
+@query("SELECT event_id, props FROM events WHERE value > 60")
 def map_in_pandas(spark, sf_dir):
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             yield rows.loc[rows["value"] > 60, ["event_id", "props"]]
 
-    errors = read(spark, sf_dir, "events").where("event_type = 'error'").select("event_id", "props", "value")
-    return errors.mapInPandas(keep, "event_id long, props string")
+    return read(spark, sf_dir, "events").select("event_id", "props", "value").mapInPandas(keep, "event_id long, props string")
 
 
 @query("""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*)::BIGINT AS n, sum(round(value * 100)::BIGINT)::BIGINT AS cents FROM events

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -114,38 +115,54 @@ def running_totals(stream: DataFrame) -> DataFrame:
 ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
+def merge_runs(runs: list[tuple[int, int, int]], gap: int) -> list[tuple[int, int, int]]:
+    """Runs (first, last, n) in order of time; those no more than ``gap`` apart become one."""
+    merged: list[tuple[int, int, int]] = []
+    for first, last, n in sorted(runs):
+        if merged and first <= merged[-1][1] + gap:
+            merged[-1] = (merged[-1][0], max(merged[-1][1], last), merged[-1][2] + n)
+        else:
+            merged.append((first, last, n))
+    return merged
+
+
 class _Sessions(StatefulProcessor):
-    """One open session a user; a timer closes it when the watermark has passed its last event by the gap."""
+    """The open runs of a user, as a list. Rows that come late widen or join runs, and a run closes only when the watermark is the gap past its end."""
 
     def __init__(self, gap_ms: int):
         self.gap_ms = gap_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "first long, last long, n long")
+        self.open = handle.getListState("open", "first long, last long, n long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        times = sorted(int(t) for part in rows for t in part["ms"])
-        held = list(self.open.get()) if self.open.exists() else []
-        closed = []
-        for t in times:
-            if held and held[0] - self.gap_ms <= t <= held[1] + self.gap_ms:
-                held = [min(held[0], t), max(held[1], t), held[2] + 1]
-            elif held and t < held[0]:
-                closed.append([t, t, 1])
-            else:
-                closed += [held] if held else []
-                held = [t, t, 1]
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
-        self.open.update(tuple(held))
-        self.handle.registerTimer(held[1] + self.gap_ms)
-        yield self._told(key, closed)
+        runs = self._runs()
+        for part in rows:
+            times, counts = np.unique(part["ms"].to_numpy(), return_counts=True)
+            cuts = np.append(0, np.flatnonzero(np.diff(times) > self.gap_ms) + 1)
+            ends = np.append(cuts[1:], len(times))
+            runs = merge_runs(runs + [(int(times[i]), int(times[j - 1]), int(counts[i:j].sum())) for i, j in zip(cuts, ends, strict=True)], self.gap_ms)
+        self._keep(runs)
+        yield self._told(key, [])
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = list(self.open.get()) if self.open.exists() else None
-        self.open.clear()
-        yield self._told(key, [held] if held else [])
+        runs, passed = self._runs(), max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        self._keep([r for r in runs if r[1] + self.gap_ms > passed])
+        yield self._told(key, [r for r in runs if r[1] + self.gap_ms <= passed])
+
+    def _runs(self) -> list[tuple[int, int, int]]:
+        return [tuple(map(int, r)) for r in self.open.get()] if self.open.exists() else []
+
+    def _keep(self, runs: list[tuple[int, int, int]]) -> None:
+        """Stores the runs, with a timer for the one that ends first."""
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
+        if runs:
+            self.open.put(runs)
+            self.handle.registerTimer(min(last for _, last, _ in runs) + self.gap_ms)
+        else:
+            self.open.clear()
 
     @staticmethod
     def _told(key: tuple, found: list) -> pd.DataFrame:
@@ -158,7 +175,7 @@ class _Sessions(StatefulProcessor):
 def closed_sessions(stream: DataFrame, gap: str, late: str) -> DataFrame:
     """Per user: first and last time (milliseconds) and events of each session, once the watermark is ``gap`` past its end.
 
-    A session ends with a pause of more than ``gap``. Rows later than ``late`` are dropped. Run it with ROCKSDB as settings.
+    A session ends with a pause of more than ``gap``; the order in which its rows come doesn't matter as long as none is later than ``late``, which is dropped. Run it with ROCKSDB as settings.
     """
     width = stream.sparkSession.sql(f"SELECT INTERVAL {gap} AS w").first()["w"]
     rows = stream.withWatermark("ts", late).select("user_id", "ts", F.unix_millis("ts").alias("ms"))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from quern.catalog import TABLES
-from quern.plans import aggregating, files_and_streams, joining, more, relational, scalars  # noqa: F401
+from quern.plans import aggregating, databases, files_and_streams, joining, more, relational, scalars  # noqa: F401
 from quern.plans.registry import ORACLES, QUERIES
 
 

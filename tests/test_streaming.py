@@ -4,6 +4,7 @@ import datetime as dt
 import os
 
 import pytest
+from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from quern.streaming import events
@@ -71,3 +72,52 @@ def test_timers_close_sessions(spark, stream):
 def test_memory_sink(stream):
     found = events.to_memory(stream([(1, 0, 7, 5)], [(2, 1, 8, 1)]).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), "complete")
     assert [tuple(r) for r in found.collect()] == [("click", 2)]
+
+
+def test_a_row_between_two_sessions_joins_them(stream):
+    """Minutes 0 and 65, then 58, late but within the watermark."""
+    rows = [(1, 0, 7, 1)], [(2, 65, 7, 1)], [(3, 58, 7, 1)], [(4, 600, 8, 1)], [(5, 601, 8, 1)]
+    found = events.drain(events.closed_sessions(stream(*rows), "1 HOUR", "10 minutes"), settings=events.ROCKSDB)
+    assert minutes(found) == [(7, 0, 65, 3)]
+
+
+def minutes(found):
+    start = int(at(0).replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
+    return sorted((r["user_id"], (r["first_ms"] - start) // 60_000, (r["last_ms"] - start) // 60_000, r["n"]) for r in found.collect())
+
+
+@settings(max_examples=3, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 60)), min_size=1, max_size=40), st.randoms(use_true_random=False))
+def test_sessions_in_any_order(spark, tmp_path_factory, rows, random):
+    """Rows that come up to 200 minutes late, in random batches, give the sessions of all rows in order."""
+    order = sorted(rows, key=lambda r: 10 * r[1] + random.randint(0, 190))
+    batches = [order[i : i + 8] for i in range(0, len(order), 8)] + [[(9, 500)], [(9, 501)]]
+    folder = tmp_path_factory.mktemp("any")
+    (folder / "events").mkdir()
+    for i, some in enumerate(batches):
+        full = [(i, at(10 * m), u, "click", 1.0, "{}") for u, m in some]
+        spark.createDataFrame(full, SCHEMA).coalesce(1).write.parquet(f"file://{folder}/in-{i}")
+        next((folder / f"in-{i}").glob("part-*")).rename(folder / "events" / f"{i}.parquet")
+        os.utime(folder / "events" / f"{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    source = events.read_stream(spark, f"file://{folder}/events", spark.createDataFrame([], SCHEMA).schema, files_per_trigger=1)
+    found = events.drain(events.closed_sessions(source, "30 MINUTES", "200 minutes"), settings=events.ROCKSDB)
+    expected = []
+    for user in {u for u, _ in rows}:
+        runs = events.merge_runs([(10 * m, 10 * m, 1) for u, m in rows if u == user], 30)
+        expected += [(user, *r) for r in runs]
+    assert minutes(found) == sorted(expected)
+
+
+@given(st.lists(st.integers(0, 30), max_size=12), st.integers(0, 5))
+def test_merge_runs(times, gap):
+    """As one scan of all times in order, whatever came first."""
+    runs = []
+    for t in times:
+        runs = events.merge_runs([*runs, (t, t, 1)], gap)
+    expected = []
+    for t in sorted(times):
+        if expected and t - expected[-1][1] <= gap:
+            expected[-1][1:] = [t, expected[-1][2] + 1]
+        else:
+            expected.append([t, t, 1])
+    assert runs == [tuple(x) for x in expected]

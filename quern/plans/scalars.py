@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quern.catalog import cents, read, register
 from quern.functions import text, vectors
+from quern.operators import nearest
 from quern.plans.registry import query
 
 
@@ -132,41 +132,23 @@ def name_initials(spark, sf_dir):
     return read(spark, sf_dir, "part").groupBy(text.initials(F.col("p_name")).alias("initials")).agg(F.count(F.lit(1)).alias("n"))
 
 
-#: Rows of one side that are compared at once.
-VECTOR_BLOCK = 2048
-
-
 @query("""SELECT q.vec_id AS query_id, arg_max(c.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[])) AS nearest FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id
   WHERE q.vec_id % 20 = 0 GROUP BY q.vec_id""")
 def vector_nearest(spark, sf_dir):
-    """The nearest of all vectors, for every id divisible by 20; the smallest id of several.
-
-    Both sides are packed in blocks. A pair of blocks gives the best of each of its queries, and the best of these stays.
-    """
-
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            for i in range(0, len(rows), VECTOR_BLOCK):
-                some = rows.iloc[i : i + VECTOR_BLOCK]
-                unit = np.stack(some["embedding"].to_numpy()).astype(float)
-                unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-                yield pd.DataFrame({"ids": [some["vec_id"].to_numpy("<i8").tobytes()], "unit": [unit.tobytes()]})
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pairs in batches:
-            for q_ids, q_unit, ids, unit in pairs[["q_ids", "q_unit", "ids", "unit"]].itertuples(index=False):
-                asked, met = np.frombuffer(q_ids, "<i8"), np.frombuffer(ids, "<i8")
-                likeness = np.frombuffer(q_unit).reshape(len(asked), -1) @ np.frombuffer(unit).reshape(len(met), -1).T
-                likeness[asked[:, None] == met] = -np.inf
-                top = likeness.max(axis=1)
-                nearest = np.where(likeness == top[:, None], met, np.iinfo(np.int64).max).min(axis=1)
-                yield pd.DataFrame({"query_id": asked, "vec_id": nearest, "likeness": top})[np.isfinite(top)]
-
-    rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    packed = rows.mapInPandas(pack, "ids binary, unit binary")
-    asked = rows.where("vec_id % 20 = 0").mapInPandas(pack, "ids binary, unit binary").toDF("q_ids", "q_unit")
-    found = asked.crossJoin(packed).mapInPandas(best, "query_id long, vec_id long, likeness double")
-    return found.groupBy("query_id").agg(F.max_by("vec_id", F.struct("likeness", -F.col("vec_id"))).alias("nearest"))
+    """The nearest of all vectors, for every id divisible by 20; the smallest id of several."""
+    rows = read(spark, sf_dir, "embeddings")
+    return nearest.nearest(rows.where("vec_id % 20 = 0"), rows, "vec_id", "embedding").select("query_id", "nearest")
+
+
+@query("SELECT count(*)::BIGINT AS asked, true AS enough FROM embeddings WHERE vec_id % 20 = 0")
+def vector_lists_recall(spark, sf_dir):
+    """Whether lists around centroids find the nearest of all vectors for nine of ten ids divisible by 20."""
+    rows = read(spark, sf_dir, "embeddings")
+    asked = rows.where("vec_id % 20 = 0")
+    exact = nearest.nearest(asked, rows, "vec_id", "embedding").select("query_id", F.col("likeness").alias("best"))
+    found = nearest.nearest_in_lists(asked, rows, "vec_id", "embedding").select("query_id", "likeness")
+    hit = F.coalesce(F.col("likeness") >= F.col("best") - 1e-9, F.lit(False))
+    return exact.join(found, "query_id", "left").agg(F.count(F.lit(1)).alias("asked"), (F.avg(hit.cast("double")) >= 0.9).alias("enough"))
 
 
 @query(r"""SELECT conv_id, role, sum(len(w))::BIGINT AS words, sum(len(list_distinct(w)))::BIGINT AS different FROM

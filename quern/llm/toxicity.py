@@ -206,22 +206,27 @@ def _over_texts(rows: DataFrame, of: Callable[[pa.RecordBatch], pa.RecordBatch],
     return rows.mapInArrow(each, schema)
 
 
-def _counted(sample: DataFrame, words_of: Callable[[_Tokens], list[str]]) -> DataFrame:
-    """(term, n, t): documents of the sample, and toxic ones, that have what ``words_of`` makes of their words."""
+def _counted(sample: DataFrame, terms_of: Callable[[_Tokens, int, dict], list[set[str]]]) -> DataFrame:
+    """(term, n, t): documents of the sample, and toxic ones, that have what ``terms_of`` makes of the words of each."""
+    known: dict[str, tuple[int, int] | None] = {}  # a task has its own
 
     def of(part: pa.RecordBatch) -> pa.RecordBatch:
-        toxic, texts = part.column("toxic").to_pylist(), part.column("text")
         n: dict[str, int] = defaultdict(int)
         t: dict[str, int] = defaultdict(int)
-        for i, x in enumerate(toxic):
-            for term in words_of(_read(texts.slice(i, 1))):
+        for terms, toxic in zip(terms_of(_read(part.column("text")), len(part), known), part.column("toxic").to_pylist(), strict=True):
+            for term in terms:
                 n[term] += 1
-                t[term] += x
+                t[term] += toxic
         return pa.RecordBatch.from_arrays([pa.array(n, pa.string()), pa.array(n.values(), pa.int64()), pa.array([t[k] for k in n], pa.int64())], names=["term", "n", "t"])
 
     return _over_texts(sample, of, "term string, n long, t long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
 
 
+def _beginnings_of(tokens: _Tokens, n: int, _: dict) -> list[set[str]]:
+    starts = np.searchsorted(tokens.doc, np.arange(n + 1))
+    return [_beginnings([tokens.words[k] for k in np.unique(tokens.word[i:j])]) for i, j in zip(starts, starts[1:], strict=False)]
+
+
 def choose_terms(found: dict[str, tuple[float, float]]) -> list[str]:
     """Terms from the (clean, toxic) counts of candidates: beginnings and whole words whose share of toxic ones is SHARE or more.
 
@@ -260,7 +265,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, r
     if not here.get(0) or not here.get(1):
         return Toxicity([], prior=prior)
     up = {k: all_of[k] / here[k] for k in (0, 1)}
-    counted = _counted(sample, lambda tokens: list(_beginnings([tokens.words[i] for i in np.unique(tokens.word)])))
+    counted = _counted(sample, _beginnings_of)
     clean, toxic = F.lit(here[0]), F.lit(here[1])
     c, t = F.col("n") - F.col("t"), F.col("t")
     part = lambda k, rest: F.when(k > 0, k * F.log(k / (F.col("n") * rest / (clean + toxic)))).otherwise(0.0)
@@ -271,9 +276,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, r
         return model
     sent = sample.sparkSession.sparkContext.broadcast(model)
 
-    def misspelled(tokens: _Tokens) -> list[str]:
-        at, _, edits = sent.value.hits(tokens, {})
-        return list({tokens.words[i] for i in tokens.word[at[edits > 0]].tolist()})
+    def misspelled(tokens: _Tokens, n: int, known: dict) -> list[set[str]]:
+        at, _, edits = sent.value.hits(tokens, known)
+        found: list[set[str]] = [set() for _ in range(n)]
+        for i in at[edits > 0].tolist():
+            found[tokens.doc[i]].add(tokens.words[tokens.word[i]])
+        return found
 
     near = _counted(sample, misspelled).where(F.col("n") > F.col("t")).orderBy(F.desc("n"), "term").limit(MOST_CANDIDATES).collect()
     model = Toxicity(model.terms, frozenset(r["term"] for r in near if up[1] * r["t"] < up[0] * (r["n"] - r["t"]) * 4), prior=prior)
@@ -300,9 +308,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 def _features(rows: DataFrame, model: Toxicity, keep: list[str]) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(model)
+    known: dict[str, tuple[int, int] | None] = {}  # a task has its own
 
     def of(part: pa.RecordBatch) -> pa.RecordBatch:
-        x = sent.value.features(_read(part.column("text")), len(part), {})
+        x = sent.value.features(_read(part.column("text")), len(part), known)
         return pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array([v.astype("<f8").tobytes() for v in x], pa.binary())], names=[*keep, "x"])
 
     return _over_texts(rows.select(*keep, "text"), of, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keep).schema) + ", x binary")

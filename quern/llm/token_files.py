@@ -17,6 +17,8 @@ from quern.llm.bpe import Remembered, gather, own_texts, slices
 from quern.llm.common import bucket_of, give_back, materialize, new_dir, range_bounds
 
 END = 1
+#: Ids are below this.
+IDS = 65_536
 #: Bytes of text whose distinct words are looked up together, and stems whose ids a task remembers (about 50 bytes each).
 TEXT_BYTES = 4_000_000
 REMEMBERED = 300_000
@@ -60,38 +62,64 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def _encode_words(tokenizer: Tokenizer, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def word_ends(tokenizer: Tokenizer) -> np.ndarray:
+    """For each id whether it ends a piece of text, as its suffix says; all False if the vocabulary has no such suffix."""
+    suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+    ends = np.zeros(tokenizer.get_vocab_size() + 1, bool)
+    ends[[i for t, i in tokenizer.get_vocab().items() if suffix and t.endswith(suffix)]] = True
+    return ends
+
+
+def _encode_words(tokenizer: Tokenizer, words: pa.Array, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of different words, one after the other, and where each one's begin.
 
-    Words go to the tokenizer by the hundred, a bar between them; the bar's id marks their ends. Those that hold
-    a bar go alone.
+    Words go to the tokenizer by the hundred. Those of letters alone are one piece each, whose last id tells its end
+    (if there are more pieces than words, a letter's small form was no letter, and they go the other way). Others have a bar between them, whose id marks their ends,
+    and those that hold a bar go alone.
     """
     bar = tokenizer.encode(BAR, add_special_tokens=False).ids
-    found, sizes = [], np.zeros(len(words), np.int64)
+    found, at, sizes = [], [], np.zeros(len(words), np.int64)
+    whole = lambda texts: [np.array(x.ids, dtype=np.int32) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    letters = pc.match_substring_regex(words, r"^\p{L}+$").to_numpy(zero_copy_only=False) & ends.any()
     alone = pc.match_substring(words, BAR).to_numpy(zero_copy_only=False)
-    alone_ids: dict[int, np.ndarray] = {}
-    joined = np.flatnonzero(~alone)
+    joined = [np.flatnonzero(~letters & ~alone)]
+    plain = np.flatnonzero(letters)
+    for i in range(0, len(plain), TOGETHER * 100):
+        here = plain[i : i + TOGETHER * 100]
+        some = words.take(pa.array(here)).to_pylist()
+        for k, ids in zip(range(0, len(some), TOGETHER), whole([" ".join(some[k : k + TOGETHER]) for k in range(0, len(some), TOGETHER)]), strict=True):
+            last, mine = np.flatnonzero(ends[ids]), here[k : k + TOGETHER]
+            if len(last) != len(mine):
+                joined.append(mine)
+                continue
+            sizes[mine] = np.diff(last, prepend=-1)
+            found.append(ids)
+            at.append(mine)
+    joined = np.concatenate(joined)
     for i in range(0, len(joined), TOGETHER * 100):
-        some = words.take(pa.array(joined[i : i + TOGETHER * 100])).to_pylist()
-        texts = [f" {BAR} ".join(some[k : k + TOGETHER]) + f" {BAR}" for k in range(0, len(some), TOGETHER)]
-        ids = np.concatenate([np.array(x.ids, dtype=np.int32) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
-        ends = np.flatnonzero(ids == bar[0])
-        sizes[joined[i : i + len(some)]] = np.diff(ends, prepend=-1) - 1
-        found.append(np.delete(ids, ends))
+        here = joined[i : i + TOGETHER * 100]
+        some = words.take(pa.array(here)).to_pylist()
+        ids = np.concatenate(whole([f" {BAR} ".join(some[k : k + TOGETHER]) + f" {BAR}" for k in range(0, len(some), TOGETHER)]))
+        last = np.flatnonzero(ids == bar[0])
+        sizes[here] = np.diff(last, prepend=-1) - 1
+        found.append(np.delete(ids, last))
+        at.append(here)
     for i in np.flatnonzero(alone).tolist():
-        alone_ids[i] = np.array(tokenizer.encode(words[i].as_py(), add_special_tokens=False).ids, dtype=np.int32)
-        sizes[i] = len(alone_ids[i])
+        found.append(np.array(tokenizer.encode(words[i].as_py(), add_special_tokens=False).ids, dtype=np.int32))
+        sizes[i] = len(found[-1])
+        at.append(np.array([i]))
     starts = np.append(0, np.cumsum(sizes))
-    out = np.empty(starts[-1], np.int32)
-    if found:
-        out[~np.repeat(alone, sizes)] = np.concatenate(found)
-    for i, ids in alone_ids.items():
-        out[starts[i] : starts[i + 1]] = ids
-    return out, starts
+    if not found:
+        return np.empty(0, np.int32), starts
+    order = np.concatenate(at)
+    back = np.empty(len(words), np.int64)
+    back[order] = np.arange(len(order))
+    return gather(np.append(0, np.cumsum(sizes[order])), np.concatenate(found), back), starts
 
 
 def stem_encoder(tokenizer: Tokenizer) -> Remembered:
-    return Remembered(lambda words: _encode_words(tokenizer, words), REMEMBERED)
+    ends = word_ends(tokenizer)
+    return Remembered(lambda words: _encode_words(tokenizer, words, ends), REMEMBERED)
 
 
 def _encode_distinct(stems: Remembered, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +173,10 @@ def encode_texts(tokenizer: Tokenizer, texts: pa.Array, stems: Remembered | None
 def tokenize(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids) for every row of docs; ids are little-endian unsigned 16-bit integers in a binary."""
     with open(path or public_tokenizers.path("word_bpe_49k.json")) as f:
-        content = docs.sparkSession.sparkContext.broadcast(f.read())  # below 2 MB, whatever the corpus
+        text = f.read()
+    if max(Tokenizer.from_str(text).get_vocab().values()) >= IDS:
+        raise ValueError(f"ids are kept in 16 bits; the vocabulary has {IDS} or more")
+    content = docs.sparkSession.sparkContext.broadcast(text)  # below 2 MB, whatever the corpus
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,19 +196,19 @@ def tokenize(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def id_counts(tokens: DataFrame) -> np.ndarray:
-    """How often each id occurs, counted over all documents; an entry for each id of the vocabulary (below 65,536)."""
+    """How often each id occurs, counted over all documents; an entry for each id of the vocabulary (below IDS)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(65_536, np.int64)
+        total = np.zeros(IDS, np.int64)
         for batch in batches:
             for i in range(0, len(batch), 512):
                 ids = b"".join(batch.column("ids").slice(i, 512).to_pylist())
-                total += np.bincount(np.frombuffer(ids, dtype="<u2"), minlength=65_536)
+                total += np.bincount(np.frombuffer(ids, dtype="<u2"), minlength=IDS)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], names=["id", "n"])
 
     counted = tokens.select("ids").mapInArrow(of, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(65_536, np.int64)
+    counts = np.zeros(IDS, np.int64)
     counts[counted["id"]] = counted["n"]
     return counts
 

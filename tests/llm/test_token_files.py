@@ -108,3 +108,12 @@ def test_added_tokens_in_a_text(spark, make):
     assert [list(x) for x in tf.encode_texts(library, pa.array(texts).slice(100))] == [library.encode(t or "", add_special_tokens=False).ids + [tf.END] for t in texts[100:]]
     given = list(enumerate(texts[:40]))
     assert read_back(spark, tf.store(make(given))) == rows_of(library, given)
+
+
+def test_a_vocabulary_of_more_than_16_bits_is_an_error(make, tmp_path):
+    from tokenizers import Tokenizer, models
+
+    path = tmp_path / "wide.json"
+    Tokenizer(models.WordLevel({f"w{i}": i for i in range(tf.IDS + 1)}, unk_token="w0")).save(str(path))
+    with pytest.raises(ValueError):
+        tf.tokenize(make([(1, "w1")]), str(path))

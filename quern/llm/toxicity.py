@@ -91,18 +91,31 @@ class Automaton:
                 at = self.next[at][c]
                 self.most[at] = max(self.most[at], self.edits[k])
             self.ends[at].append(k)
-        self.maybe = self._maybe()
-
-    def _maybe(self) -> str:
-        """A pattern that every word that matches has: of a term in one piece more than its edits, one stays whole and moves no further than these."""
-        found = set()
-        for t, whole, edits in zip(self.terms, self.whole, self.edits, strict=True):
+        #: Of a term in one piece more than its edits, one stays whole and moves no further than these: (piece, first and last place, term).
+        self.pieces: list[tuple[str, int, int, int]] = []
+        for k, (t, edits) in enumerate(zip(self.terms, self.edits, strict=True)):
             cuts = [len(t) * i // (edits + 1) for i in range(edits + 2)]
-            for i, j in zip(cuts, cuts[1:], strict=False):
-                gap = f".{{{max(0, i - edits)},{i + edits}}}" if i or edits else ""
-                found.add(f"{gap}{re.escape(t[i:j])}" + ("$" if whole and not edits else ""))
+            self.pieces += [(t[i:j], max(0, i - edits), i + edits, k) for i, j in zip(cuts, cuts[1:], strict=False)]
+        self.parts: dict[tuple[int, ...], Automaton] = {}
+
+    @property
+    def maybe(self) -> str:
+        """A pattern that every word that matches has."""
+        found = {f".{{{low},{high}}}{re.escape(piece)}" for piece, low, high, _ in self.pieces}
         return f"(?s)^(?:{'|'.join(sorted(found))})" if found else "^[^\\x00-\\x{10FFFF}]"
 
+    def nearest(self, word: str) -> tuple[int, int] | None:
+        """As :meth:`match`, run along the terms only of which the word has a piece."""
+        few = tuple(sorted({k for piece, low, high, k in self.pieces if word.find(piece, low, high + len(piece)) >= 0}))
+        if not few:
+            return None
+        if few not in self.parts:
+            if len(self.parts) > 1000:
+                self.parts.clear()
+            self.parts[few] = Automaton([self.terms[k] + END * self.whole[k] for k in few])
+        found = self.parts[few].match(word)
+        return found and (few[found[0]], found[1])
+
     def match(self, word: str) -> tuple[int, int] | None:
         """(term, edits) of the nearest term, the longest of several; None if there is none."""
         best: tuple[int, int, int] | None = None
@@ -159,7 +172,7 @@ class Toxicity:
             if word not in known:
                 if len(known) > REMEMBERED:
                     known.clear()
-                known[word] = self.automaton.match(word)
+                known[word] = self.automaton.nearest(word)
             if known[word] is not None and not (known[word][1] and word in self.others):
                 term[i], edits[i] = known[word]
         at = np.flatnonzero(term[tokens.word] >= 0)
@@ -249,16 +262,30 @@ def choose_terms(found: dict[str, tuple[float, float]]) -> list[str]:
     return sorted(sorted(chosen, key=lambda t: (-found[t][1], t))[:MOST_TERMS])
 
 
+def _one_each(sample: DataFrame, runs: int = 3, n: int = 4) -> DataFrame:
+    """One of each group of copies and near copies of the sample: of rows of a label that share the least seeded hash over their runs of n words, one seed after the other.
+
+    A text that is copied a thousand times says no more about its words than one.
+    """
+    for seed in range(runs):
+        words = F.split(F.trim("text"), r"\s+")
+        shingles = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, n), F.lit(seed)))
+        keyed = sample.withColumn("w", words).select("toxic", "text", F.array_min(shingles).alias("key"))
+        sample = keyed.groupBy("toxic", "key").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "toxic")
+    return sample
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, rows: int = SAMPLE_ROWS) -> Toxicity:
     """Learns terms and weights from labels (doc_id, toxic) of documents (doc_id, text).
 
-    The sample is bounded, and counts are carried up to all labels. Labels without a document, and null ones, are left out; a document of several labels
+    The sample is bounded, copies and near copies count once, and counts are carried up to all labels. Labels without a document, and null ones, are left out; a document of several labels
     counts with each. Terms are beginnings of words and words that toxic documents have far more often than others;
     words within their edits that clean documents of the sample have are no misspellings. Without labels all scores are 0, without toxic ones or clean ones their mean.
     """
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     chosen = bounded_sample(usable, "toxic", per_label, rows, ":toxic").orderBy(hash_digits(":toxic"), "doc_id", "toxic").limit(rows)
-    sample = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"))
+    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    sample = materialize(_one_each(sample))
     all_of = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     here = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     prior = all_of.get(1, 0) / max(1, sum(all_of.values()))

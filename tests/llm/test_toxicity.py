@@ -32,7 +32,7 @@ def test_automaton_is_edit_distance(terms, word):
         e = distance(t, word) if whole else min(distance(t, word[:i]) for i in range(len(word) + 1))
         if e <= (len(t) >= toxicity.ONE_EDIT) + (len(t) >= toxicity.TWO_EDITS):
             near.append((e, -len(t), k))
-    assert found.match(word) == ((min(near)[2], min(near)[0]) if near else None)
+    assert found.match(word) == found.nearest(word) == ((min(near)[2], min(near)[0]) if near else None)
     if near:
         assert pa.compute.match_substring_regex(pa.array([word]), found.maybe)[0].as_py()
 

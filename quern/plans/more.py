@@ -11,8 +11,10 @@ import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from quern.catalog import cents, read, register
-from quern.operators import scans
+from quern.functions.sketches import count_min_estimate, count_min_total
+from quern.operators import joins, scans, similar_sets
 from quern.plans.registry import query
+from quern.sources import files
 from quern.streaming import events
 
 
@@ -44,6 +46,47 @@ def count_min(spark, sf_dir):
     return read(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count_min_sketch("l_suppkey", F.lit(0.001), F.lit(0.99), F.lit(42)).alias("sketch"))
 
 
+@query("SELECT l_returnflag, l_suppkey, count(*)::BIGINT AS n, true AS not_below, true AS near FROM lineitem GROUP BY l_returnflag, l_suppkey")
+def count_min_points(spark, sf_dir):
+    """What each flag's sketch says of each supplier, beside the exact count: never below it, and above by a thousandth of the total at most."""
+    lines = read(spark, sf_dir, "lineitem")
+    sketched = lines.groupBy("l_returnflag").agg(F.count_min_sketch("l_suppkey", F.lit(0.001), F.lit(0.99), F.lit(42)).alias("sketch"))
+    exact = lines.groupBy("l_returnflag", "l_suppkey").agg(F.count(F.lit(1)).alias("n"))
+    told = joins.lookup_join(exact, sketched, "l_returnflag").withColumns({"told": count_min_estimate(F.col("sketch"), F.col("l_suppkey"), 7), "total": count_min_total(F.col("sketch"))})
+    return told.select("l_returnflag", "l_suppkey", "n", (F.col("told") >= F.col("n")).alias("not_below"), (F.col("told") <= F.col("n") + 0.001 * F.col("total")).alias("near"))
+
+
+@query("SELECT l_returnflag, count(*)::BIGINT AS n, true AS parts_near, true AS orders_near, true AS middle_near, true AS top_counts FROM lineitem GROUP BY l_returnflag")
+def sketch_merge(spark, sf_dir):
+    """Sketches of each flag and month are stored, and merged by flag from the files; the answers lie within their bounds of the exact ones."""
+    lines = read(spark, sf_dir, "lineitem").withColumn("month", F.trunc("l_shipdate", "month").cast("string"))
+    stored = files.round_trip(lines.groupBy("l_returnflag", "month").agg(
+        F.count(F.lit(1)).alias("n"), F.hll_sketch_agg("l_partkey").alias("parts"), F.expr("theta_sketch_agg(l_orderkey)").alias("orders"),
+        F.expr("kll_sketch_agg_double(l_extendedprice)").alias("prices"), F.expr("approx_top_k_accumulate(l_linenumber, 1000)").alias("numbers"),
+    ), "parquet")
+    merged = stored.groupBy("l_returnflag").agg(
+        F.sum("n").alias("n"), F.hll_sketch_estimate(F.hll_union_agg("parts")).alias("parts"), F.expr("theta_sketch_estimate(theta_union_agg(orders))").alias("orders"),
+        F.expr("kll_sketch_get_quantile_double(kll_merge_agg_double(prices), 0.5D)").alias("middle"), F.expr("approx_top_k_estimate(approx_top_k_combine(numbers, 1000), 1)[0]").alias("top"),
+    )
+    exact = lines.groupBy("l_returnflag").agg(F.count_distinct("l_partkey").alias("exact_parts"), F.count_distinct("l_orderkey").alias("exact_orders"))
+    below = joins.lookup_join(lines, merged.select("l_returnflag", "middle"), "l_returnflag").groupBy("l_returnflag").agg(F.avg((F.col("l_extendedprice") <= F.col("middle")).cast("double")).alias("share"))
+    most = lines.groupBy("l_returnflag", "l_linenumber").agg(F.count(F.lit(1)).alias("k")).groupBy("l_returnflag").agg(F.max("k").alias("most"))
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 0.08 * F.col(b)
+    both = merged.join(exact, "l_returnflag").join(below, "l_returnflag").join(most, "l_returnflag")
+    return both.select("l_returnflag", "n", near("parts", "exact_parts").alias("parts_near"), near("orders", "exact_orders").alias("orders_near"),
+        (F.abs(F.col("share") - 0.5) <= 0.03).alias("middle_near"), (F.col("top.count") == F.col("most")).alias("top_counts"))
+
+
+@query("""WITH sets AS (SELECT l_orderkey, list_distinct(list(l_suppkey)) AS s FROM lineitem GROUP BY l_orderkey),
+  items AS (SELECT l_orderkey AS k, len(s) AS n, unnest(s) AS x FROM sets),
+  pairs AS (SELECT a.k AS a, b.k AS b, count(*) AS both, any_value(a.n) + any_value(b.n) - count(*) AS either FROM items a JOIN items b ON a.x = b.x AND b.k < a.k GROUP BY a.k, b.k)
+  SELECT l_orderkey, coalesce(first, l_orderkey) AS first FROM sets LEFT JOIN (SELECT a AS l_orderkey, min(b) AS first FROM pairs WHERE both / either >= 0.75 GROUP BY a) USING (l_orderkey)""")
+def similar_baskets(spark, sf_dir):
+    """For each order the first one whose suppliers are nearly the same, by minima of hashes."""
+    baskets = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("suppliers"))
+    return similar_sets.first_alike(baskets, "l_orderkey", "suppliers").select("l_orderkey", "first")
+
+
 @query()
 def sample_fraction(spark, sf_dir):
     return read(spark, sf_dir, "events").sample(fraction=0.2, seed=7).select("event_id", "user_id")

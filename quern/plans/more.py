@@ -79,8 +79,8 @@ def sketch_merge(spark, sf_dir):
 
 @query("""WITH sets AS (SELECT l_orderkey, list_distinct(list(l_suppkey)) AS s FROM lineitem GROUP BY l_orderkey),
   items AS (SELECT l_orderkey AS k, len(s) AS n, unnest(s) AS x FROM sets),
-  pairs AS (SELECT a.k AS a, b.k AS b, count(*) AS both, any_value(a.n) + any_value(b.n) - count(*) AS either FROM items a JOIN items b ON a.x = b.x AND b.k < a.k GROUP BY a.k, b.k)
-  SELECT l_orderkey, coalesce(first, l_orderkey) AS first FROM sets LEFT JOIN (SELECT a AS l_orderkey, min(b) AS first FROM pairs WHERE both / either >= 0.75 GROUP BY a) USING (l_orderkey)""")
+  pairs AS (SELECT a.k AS a, b.k AS b, count(*) AS shared, any_value(a.n) + any_value(b.n) - count(*) AS every FROM items a JOIN items b ON a.x = b.x AND b.k < a.k GROUP BY a.k, b.k)
+  SELECT l_orderkey, coalesce(first, l_orderkey) AS first FROM sets LEFT JOIN (SELECT a AS l_orderkey, min(b) AS first FROM pairs WHERE shared / every >= 0.75 GROUP BY a) USING (l_orderkey)""")
 def similar_baskets(spark, sf_dir):
     """For each order the first one whose suppliers are nearly the same, by minima of hashes."""
     baskets = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("suppliers"))

@@ -146,7 +146,8 @@ def vector_lists_recall(spark, sf_dir):
     rows = read(spark, sf_dir, "embeddings")
     asked = rows.where("vec_id % 20 = 0")
     exact = nearest.nearest(asked, rows, "vec_id", "embedding").select("query_id", F.col("likeness").alias("best"))
-    found = nearest.nearest_in_lists(asked, rows, "vec_id", "embedding").select("query_id", "likeness")
+    lists = nearest.fit_lists(rows, "vec_id", "embedding", recall=0.99)
+    found = nearest.nearest_in_lists(asked, rows, "vec_id", "embedding", lists).select("query_id", "likeness")
     hit = F.coalesce(F.col("likeness") >= F.col("best") - 1e-9, F.lit(False))
     return exact.join(found, "query_id", "left").agg(F.count(F.lit(1)).alias("asked"), (F.avg(hit.cast("double")) >= 0.9).alias("enough"))
 

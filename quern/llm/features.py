@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 #: Bytes of text counted at once; longer texts are counted in parts.
 PART = 2_000_000
 BLOCK_ROWS = 128
+#: Distances to the n-gram before of the same bytes are told apart by their power of two, up to a reach.
+DISTANCES = 14
+REACH = 2**DISTANCES
 
 
 def blocks(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
@@ -45,6 +48,26 @@ def ngram_counts(texts: list[bytes], dims: int, n: int = 3) -> np.ndarray:
     return counts.reshape(len(texts), dims)
 
 
+def recurrences(texts: list[bytes], n: int = 4) -> np.ndarray:
+    """A row per text: how often a byte n-gram was last there 1, 2 to 3, 4 to 7, ... bytes before, and how often not within REACH."""
+    counts = np.zeros((len(texts), DISTANCES + 1), dtype=np.float32)
+    for row, text in zip(counts, texts, strict=True):
+        for at in range(0, len(text) - n + 1, PART):
+            start = max(0, at - REACH)
+            part = np.frombuffer(text, dtype=np.uint8)[start : at + PART + n - 1].astype(np.uint64)
+            m = len(part) - n + 1
+            code = np.zeros(m, dtype=np.uint64)
+            for k in range(n):
+                code = code << np.uint64(8) | part[k : k + m]
+            code = np.sort(code << np.uint64(32) | np.arange(m, dtype=np.uint64))
+            place = (code & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            distance = np.diff(place)
+            near = (code[1:] >> np.uint64(32) == code[:-1] >> np.uint64(32)) & (distance < REACH) & (place[1:] >= at - start)
+            row[:DISTANCES] += np.bincount(np.log2(distance[near]).astype(np.int64), minlength=DISTANCES)
+            row[DISTANCES] += m - (at - start) - near.sum()
+    return counts
+
+
 def unit_rows(x: np.ndarray) -> np.ndarray:
     """Rows scaled to length 1; rows of zeros stay."""
     length = np.linalg.norm(x, axis=1, keepdims=True)

@@ -4,18 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from operator import eq
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from quern.llm.common import crc32_of_id
-from quern.llm.features import blocks, bounded_sample, hash_digits, ngram_counts, unit_rows
+from quern.llm.features import DISTANCES, blocks, bounded_sample, hash_digits, ngram_counts, recurrences, unit_rows
 
 DIMS = 4096
-#: The hashed n-grams, and how much a text repeats its words.
-TERMS = DIMS + 1
+#: The hashed n-grams, and the distances at which n-grams come again.
+TERMS = DIMS + DISTANCES + 1
 LATENT = 48
 NEIGHBOURS = 25
 #: Bounds of the labelled sample, of each label and in all; their whole texts are counted (16 KB a row).
@@ -49,21 +48,18 @@ class Neighbours:
         return np.where(total > 0, np.clip(voted / np.where(total > 0, total, 1), 0, 1), self.prior)
 
 
-def _weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Unit vectors of the n-grams, then the repetition as it is."""
-    return unit_rows(np.hstack([unit_rows(np.log1p(counts[:, :DIMS]) * idf), counts[:, DIMS:]]))
+def _shares(counts: np.ndarray) -> np.ndarray:
+    """Roots of each term's share of its text's terms, so that long texts weigh like short ones."""
+    return np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1))
 
 
-def _repetition(text: bytes) -> float:
-    """The root of the share of words that are the same as the word before."""
-    words = text.split()
-    return (sum(map(eq, words, words[1:])) / len(words)) ** 0.5 if words else 0.0
+def _weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    return unit_rows(_shares(counts) * idf)
 
 
 def _counts(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
     for start, part in blocks(texts):
-        repeated = np.array([[_repetition(t)] for t in part], dtype=np.float32)
-        yield start, np.hstack([ngram_counts(part, DIMS), repeated])
+        yield start, np.hstack([ngram_counts(part, DIMS), recurrences(part)])
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, rows: int = SAMPLE_ROWS) -> Neighbours | None:
@@ -81,16 +77,15 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, r
         for part in batches:
             for start, x in _counts(list(part["text"])):
                 here = part.iloc[start : start + len(x)]
-                yield pd.DataFrame({"doc_id": here["doc_id"], "quality": here["quality"], "x": [v.tobytes() for v in x.astype(np.float16)]})
+                yield pd.DataFrame({"doc_id": here["doc_id"], "quality": here["quality"], "x": [v.tobytes() for v in _shares(x).astype(np.float16)]})
 
     found = pairs.mapInPandas(count, "doc_id long, quality int, x binary").limit(2 * rows).toPandas()
     if found.empty:
         return None
     found = found.sort_values(["doc_id", "quality", "x"], kind="stable").head(2 * rows)
     x = np.frombuffer(b"".join(found["x"]), dtype=np.float16).reshape(-1, TERMS).astype(np.float32)
-    x = np.minimum(x, np.float32(60_000))
-    idf = np.log((1 + len(x)) / (1 + (x[:, :DIMS] > 0).sum(axis=0))).astype(np.float32) + 1
-    weighed = _weigh(x, idf)
+    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 1
+    weighed = unit_rows(x * idf)
     probe = np.random.default_rng(42).standard_normal((TERMS, LATENT + 16)).astype(np.float32)
     for _ in range(4):
         probe = weighed.T @ np.linalg.qr(weighed @ probe)[0]

@@ -19,6 +19,22 @@ def test_ngram_counts_of_parts_and_blocks(monkeypatch):
     assert list(features.blocks([])) == []
 
 
+def test_recurrences_by_brute_force_in_parts(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [b"abababab", b"", b"abc", b"aaaaaaaa", bytes(rng.integers(97, 99, 300, dtype=np.uint8)), b"x" * 40 + b"abcdefgh" * 9]
+    for part, distances in ((2_000_000, 14), (7, 3), (64, 4)):
+        monkeypatch.setattr(features, "PART", part)
+        monkeypatch.setattr(features, "DISTANCES", distances)
+        monkeypatch.setattr(features, "REACH", 2**distances)
+        expected = np.zeros((len(texts), distances + 1))
+        for i, text in enumerate(texts):
+            for at in range(len(text) - 3):
+                before = text.rfind(text[at : at + 4], 0, at + 3)
+                near = before >= 0 and at - before < 2**distances
+                expected[i, (at - before).bit_length() - 1 if near else distances] += 1
+        assert np.array_equal(features.recurrences(texts), expected)
+
+
 def test_svm_separates():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((400, 20)).astype(np.float32)

@@ -8,7 +8,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quern.llm.common import give_back, materialize, whole_runs
 
@@ -26,6 +26,11 @@ REMEMBERED = 200_000
 _LAST_ID = 2**63 - 1
 
 
+def _spread(h: Column) -> Column:
+    """What rows without an id have beside d, so that they are not one key: a part of their hash; 0 for other rows."""
+    return F.when(F.col("d") == _LAST_ID, F.pmod(h, F.lit(2**31 - 1))).otherwise(0).cast("int")
+
+
 class Runs(NamedTuple):
     """Super-k-mers of one text: consecutive windows whose minimiser is the same occurrence of a gram.
 
@@ -65,7 +70,7 @@ def _words(text: str | None) -> list[bytes]:
 
 
 def shared_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(d, start, minimiser) of the runs whose minimiser occurs in another run, of docs (d, text).
+    """(d, spread, start, minimiser) of the runs whose minimiser occurs in another run, of docs (d, spread, text).
 
     What occurs twice among LOCAL_RUNS runs of a task is known to be shared; only one run of each minimiser goes from
     these to the minimiser's place, so the most common of them meets a row for so many runs there.
@@ -75,11 +80,12 @@ def shared_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         found: list[tuple[np.ndarray, ...]] = []
         held = 0
         for rows in batches:
-            for d, text in zip(rows["d"], rows["text"], strict=True):
+            for d, spread, text in zip(rows["d"], rows["spread"], rows["text"], strict=True):
                 runs = super_kmers(_words(text), window)
-                if len(runs.start):
-                    found.append((runs.minimiser, np.full(len(runs.start), d, np.int64), runs.start.astype(np.int32)))
-                    held += len(runs.start)
+                n = len(runs.start)
+                if n:
+                    found.append((runs.minimiser, np.full(n, d, np.int64), np.full(n, spread, np.int32), runs.start.astype(np.int32)))
+                    held += n
                 if held >= LOCAL_RUNS:
                     yield from marked(found)
                     held = 0
@@ -88,17 +94,17 @@ def shared_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         give_back()
 
     def marked(found: list[tuple[np.ndarray, ...]]) -> Iterator[pd.DataFrame]:
-        value, d, start = (np.concatenate(x) for x in zip(*found, strict=True))
+        value, d, spread, start = (np.concatenate(x) for x in zip(*found, strict=True))
         found.clear()
         order = np.argsort(value, kind="stable")
-        value, d, start = value[order], d[order], start[order]
+        value, d, spread, start = value[order], d[order], spread[order], start[order]
         first = np.append(True, value[1:] != value[:-1])
         last = np.append(first[1:], True)
         for i in range(0, len(value), 50_000):
             part = slice(i, i + 50_000)
             one, end = first[part], last[part]
             # 0: shared, 1: not shared here, 2: only says that it is shared here
-            here = pd.DataFrame({"minimiser": value[part], "d": d[part], "start": start[part], "kind": np.where(one & end, 1, 0).astype(np.int8)})
+            here = pd.DataFrame({"minimiser": value[part], "d": d[part], "spread": spread[part], "start": start[part], "kind": np.where(one & end, 1, 0).astype(np.int8)})
             here["place"] = np.where(one & end, here["minimiser"], here["minimiser"] * 31 + here["d"] * 0x9E3779B1 + here["start"])
             yield here
             told = here[one & ~end].assign(kind=np.int8(2))
@@ -108,17 +114,17 @@ def shared_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         for rows in whole_runs(batches, ["place"]):
             alone = rows["kind"] == 1
             with_others = rows[rows["kind"] > 0].duplicated("minimiser", keep=False).reindex(rows.index, fill_value=False)
-            yield rows.loc[(rows["kind"] == 0) | (alone & with_others), ["d", "start", "minimiser"]]
+            yield rows.loc[(rows["kind"] == 0) | (alone & with_others), ["d", "spread", "start", "minimiser"]]
 
-    schema = "minimiser long, d long, start int, kind byte, place long"
-    dealt = docs.select("d", "text").mapInPandas(local, schema).repartition("place").sortWithinPartitions("place")
-    return dealt.mapInPandas(told, "d long, start int, minimiser long")
+    schema = "minimiser long, d long, spread int, start int, kind byte, place long"
+    dealt = docs.select("d", "spread", "text").mapInPandas(local, schema).repartition("place").sortWithinPartitions("place")
+    return dealt.mapInPandas(told, "d long, spread int, start int, minimiser long")
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, hot_runs: int = HOT_RUNS) -> DataFrame:
     """(d, h, start, count): windows start..start + count - 1 of the text (d, h) whose words start a window earlier.
 
-    docs has d, text and rest; h is the hash of the last two, earlier means smaller (d, start). Shared runs go to their minimiser's
+    docs has d, spread, text and rest; h is the hash of the last two, earlier means smaller (d, start). Shared runs go to their minimiser's
     place as one packed string, earliest first; there each window is looked up among those already seen. A run
     that a task remembers, word for word, needs no trip. Runs of a hot minimiser (more than hot_runs of them) go as
     single windows to the place of the window instead, and the same step counts them. So a task holds REMEMBERED
@@ -128,7 +134,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, hot_runs: int = HOT_
     per_minimiser = shared.groupBy("minimiser").agg(F.count(F.lit(1)).alias("n"))
     hot = materialize(per_minimiser.where(F.col("n") > hot_runs).select("minimiser", F.col("minimiser").alias("hot")))
     marked = shared.join(F.broadcast(hot) if hot.limit(MOST_HOT + 1).count() <= MOST_HOT else hot, "minimiser", "left")
-    per_text = marked.groupBy("d").agg(F.collect_set("start").alias("starts"), F.collect_set("hot").alias("hot"))
+    per_text = marked.groupBy("d", "spread").agg(F.collect_set("start").alias("starts"), F.collect_set("hot").alias("hot"))
     schema = "place long, d long, h long, start int, count int, packed binary"
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,9 +195,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, hot_runs: int = HOT_
         out = rows = seen = None
         give_back()
 
-    with_runs = docs.join(per_text, "d").select("d", F.xxhash64("text", "rest").alias("h"), "text", "starts", "hot")
+    with_runs = docs.join(per_text, ["d", "spread"]).select("d", "spread", F.xxhash64("text", "rest").alias("h"), "text", "starts", "hot")
     # sorted (as a merge join leaves it), so that a task run again gives the same rows
-    dealt = with_runs.sortWithinPartitions("d").mapInPandas(pack, schema).repartition("place").sortWithinPartitions("place", "d", "start")
+    dealt = with_runs.sortWithinPartitions("d", "spread").mapInPandas(pack, schema).repartition("place").sortWithinPartitions("place", "d", "start")
     return dealt.mapInPandas(count, "d long, h long, start int, count int")
 
 
@@ -217,8 +223,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, hot_runs: int = HOT_RU
     d = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID))
     # Both joins below take the same columns of docs by the same key, so that the texts are shuffled once.
     texts = docs.select(d.alias("d"), "text", F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"))
+    texts = texts.withColumn("spread", _spread(F.xxhash64("text", "rest")))
     found = repeated_windows(texts, window, hot_runs)
-    found = found.groupBy("d").agg(F.collect_list(F.struct("h", "start", "count")).alias("found"))
+    found = found.groupBy("d", _spread(F.col("h")).alias("spread")).agg(F.collect_set(F.struct("h", "start", "count")).alias("found"))
 
     def cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, hashes, lists in batches:
@@ -234,5 +241,5 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, hot_runs: int = HOT_RU
             yield pd.DataFrame(out, columns=["text", "n_words", "n_removed"])
 
     told = F.pandas_udf(cut, "text string, n_words long, n_removed long")
-    joined = texts.join(found, "d", "left").withColumn("cut", told("text", F.xxhash64("text", "rest"), "found"))
+    joined = texts.join(found, ["d", "spread"], "left").withColumn("cut", told("text", F.xxhash64("text", "rest"), "found"))
     return joined.select(*[F.col("cut.text") if c == "text" else F.col(f"rest.`{c}`") for c in names], "cut.n_words", "cut.n_removed")

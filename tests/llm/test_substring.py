@@ -82,3 +82,9 @@ def test_query(spark, sf):
     given = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     expected = {d: (n, n - len(k), hashlib.sha256(b" ".join(k)).hexdigest()) for (d, _), (n, k) in zip(given, brute(given), strict=True)}
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in queries.op9_repeated_windows(spark, sf).collect()} == expected
+
+
+def test_rows_without_an_id(make):
+    """Many rows without an id, equal and different ones: they come last and none is earlier than another at the same start."""
+    given = [(d if d % 3 else None, t) for d, t in rows()] + [(None, "a " * 60)] * 5 + [(2**63 - 1, "b c " * 40)]
+    compare(make(given, parts=4), sorted((str(d), n, k) for (d, _), (n, k) in zip(given, brute(given), strict=True)), hot_runs=3)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quern.llm.common import materialize, whole_runs
 from quern.llm.components import components, local_labels
-from quern.operators.joins import lookup_join
+from quern.operators.joins import lookup_join, salted_join
 
 BITS = 64
 RADIUS = 2
@@ -143,14 +143,15 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     component_id is the smallest doc_id reachable over links between fingerprints that differ in up to radius
     bits; equal fingerprints are linked. Null and wordless texts have fingerprint 0, which links like any other.
     Rows that repeat are kept; a null doc_id is never a component's smallest unless all of it are null. Empty in,
-    empty out. Extra columns are left out.
+    empty out. Extra columns are left out. Large groups of equal fingerprints are spread over many tasks.
     """
     found = materialize(with_fingerprints(docs))
     distinct = found.groupBy("fp").agg(F.min("id").alias("least"))
     root = components(links(distinct, radius)).select(F.col("node").alias("fp"), "root")
     rooted = materialize(distinct.join(root, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return found.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select(F.col("id").alias("doc_id"), "fp", "component_id")
+    told = salted_join(found, rooted.join(named, "root").select("fp", "component_id"), "fp")
+    return told.select(F.col("id").alias("doc_id"), "fp", "component_id")
 
 
 def fingerprint_hex(fp: Column) -> Column:

@@ -27,8 +27,11 @@ _LAST_ID = 2**63 - 1
 
 
 def _spread(h: Column) -> Column:
-    """What rows without an id have beside d, so that they are not one key: a part of their hash; 0 for other rows."""
-    return F.when(F.col("d") == _LAST_ID, F.pmod(h, F.lit(2**31 - 1))).otherwise(0).cast("int")
+    """What rows without an id have beside d, so that they are not one key: a part of their hash; 0 for other rows.
+
+    It is never null, or else a filter on one side keeps the two joins from sharing a shuffle of the texts.
+    """
+    return F.when(F.col("d") == _LAST_ID, h.bitwiseAND(F.lit(2**31 - 1))).otherwise(F.lit(0).cast("long")).cast("int")
 
 
 class Runs(NamedTuple):

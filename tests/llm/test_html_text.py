@@ -104,6 +104,22 @@ def test_text_features_decide(spark, sf):
     assert changed > 0.4 * total and without_marks < 0.02 * total
 
 
+def test_words_links_and_neighbours_decide_in_mixed_articles():
+    """The share of the section stays as it is; own columns (0, 1) or those of neighbours (2 to 5) are zeroed."""
+    links = "".join(f"<li><a href=/{i}>Go to place {i}</a></li>" for i in range(6))
+    for page in (
+        f"<article><h1>T of it</h1><p>{LONG}.</p><h3>More</h3><ul>{links}</ul><p>{LONG}!</p></article>",
+        f"<article><p>{LONG}.</p><figure><figcaption>The sea. <a href=/p>Photo by A</a></figcaption></figure><p>{LONG}!</p><ul>{links}</ul></article>",
+    ):
+        x = html_text.features(html_text.parse(page))
+        kept = html_text.train().predict(x) > 0.5
+        assert 0 < kept.sum() < len(x)
+        for columns in ([0, 1], [2, 3, 4, 5], range(6)):
+            bare = x.copy()
+            bare[:, columns] = 0
+            assert (kept != (html_text.train().predict(bare) > 0.5)).sum() >= 5, (page, columns)
+
+
 def test_odd_pages():
     tree = html_text.train()
     for page in (None, "", "<", "<p", "<!-- x", "<script>x", "</div></p>", "<article>", "<p>" * 3000, "<div>" * 3000 + "x", '<a href="' * 500):

@@ -40,3 +40,34 @@ def test_texts_by_words(spark):
 
 def test_empty(spark):
     assert similar_sets.first_alike(spark.createDataFrame([], "k long, s array<int>"), "k", "s").count() == 0
+
+
+@pytest.mark.parametrize("least", [0.5, 0.75, 0.9])
+def test_small_sets_meet_for_certain(least):
+    """Each two sets that are alike share a bucket, and two that share few items don't."""
+    rng, keys = random.Random(3), similar_sets.small_keys(least)
+    told = lambda s: {(low, high, sorted(s)[i], sorted(s)[j]) for low, high, i, j in keys[len(s)]}
+    alike = 0
+    for _ in range(4000):
+        a = set(rng.sample(range(1000), rng.randint(1, max(keys))))
+        b = set(rng.sample(sorted(a), max(1, len(a) - rng.randint(0, 3)))) | set(rng.sample(range(1000), rng.randint(0, 2)))
+        if a != b and len(b) in keys and len(a & b) / len(a | b) >= least:
+            alike += 1
+            assert told(a) & told(b)
+    assert alike > 200 and all(len(k) <= similar_sets.MOST_KEYS for k in keys.values())
+    assert not told({1, 2, 3}) & told({3, 4, 5, 6})
+
+
+def test_nothing_large_is_broadcast(spark):
+    """Files between the steps are small when packed, so Spark would send them to the driver; and sets of few items in common are not compared."""
+    df = spark.range(3000).select("id", F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.pmod(F.xxhash64("id", i), F.lit(40))).alias("s"))
+    found = similar_sets.first_alike(df, "id", "s")
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = [(r["id"], r["s"]) for r in df.collect()]
+    by = {}
+    for k, s in rows:
+        s = frozenset(s)
+        for t in [s, *(s - {x} for x in s if len(s) == 4), *(s | {x} for x in range(40) if len(s) == 3)]:
+            by.setdefault(t, []).append((k, s))
+    expected = {k: min([j for t in [frozenset(s)] for j, u in by.get(t, []) if len(t & u) / len(t | u) >= 0.75] + [k]) for k, s in rows}
+    assert {r["id"]: r["first"] for r in found.collect()} == expected

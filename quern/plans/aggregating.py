@@ -86,7 +86,11 @@ def listagg(spark, sf_dir):
 
 @query("SELECT c_nationkey, arg_max(c_custkey, c_acctbal) AS richest, arg_min(c_custkey, c_acctbal) AS poorest FROM customer GROUP BY c_nationkey")
 def arg_extremes(spark, sf_dir):
-    return read(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.max_by("c_custkey", "c_acctbal").alias("richest"), F.min_by("c_custkey", "c_acctbal").alias("poorest"))
+    """Of several customers with a nation's highest or lowest balance, the one with the least key: the first in the table. Rows without a key or a balance don't count."""
+    both = F.col("c_custkey").isNotNull() & F.col("c_acctbal").isNotNull()
+    highest = F.when(both, F.struct("c_acctbal", F.bitwise_not("c_custkey")))
+    lowest = F.when(both, F.struct("c_acctbal", "c_custkey"))
+    return read(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.max_by("c_custkey", highest).alias("richest"), F.min_by("c_custkey", lowest).alias("poorest"))
 
 
 @query("SELECT p_type, round(corr(p_size, p_retailprice), 6) AS r, round(covar_samp(p_size, p_retailprice), 4) AS cov, round(regr_slope(p_retailprice, p_size), 6) AS slope, round(regr_intercept(p_retailprice, p_size), 4) AS base FROM part GROUP BY p_type")

@@ -98,3 +98,17 @@ def test_samples_repeat(spark, sf, name, share):
     rows = sorted(map(str, first.collect()))
     assert rows and rows == sorted(map(str, again.collect()))
     assert share is None or within(len(rows), share * spark.read.parquet(f"{sf}/events.parquet").count(), 0.25)
+
+
+def test_arg_extremes_with_ties(spark, tmp_path):
+    """Copies of the table with shifted keys: every highest and lowest balance comes several times; nulls and nations without a balance."""
+    rows = [(k + 100 * i, k % 3, [5.0, 7.0, -1.0, 7.0, 5.0, -1.0][k % 6]) for i in range(4) for k in range(30)] + [(900, 0, None), (None, 0, 99.0), (None, 1, -99.0), (901, 7, None)]
+    spark.createDataFrame(rows[::-1], "c_custkey long, c_nationkey int, c_acctbal double").repartition(7).write.parquet(f"file://{tmp_path}/shuffled.parquet")
+    spark.createDataFrame(rows, "c_custkey long, c_nationkey int, c_acctbal double").coalesce(1).write.parquet(f"file://{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    con.sql("SET threads = 1")
+    con.sql(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    told = sorted(con.sql(ORACLES["arg_extremes"]).fetchall())
+    (tmp_path / "customer.parquet").rename(tmp_path / "ordered.parquet")
+    (tmp_path / "shuffled.parquet").rename(tmp_path / "customer.parquet")
+    assert sorted(tuple(r) for r in QUERIES["arg_extremes"](spark, f"file://{tmp_path}").collect()) == told

@@ -129,3 +129,27 @@ def over_groups(df: DataFrame, by: list[str], order: str, before: int, after: in
     frame = lambda w: {n: _KINDS["sum" if k == "count" else k](f"_{n}").over(w.rowsBetween(-before, after)) for n, (k, _) in values.items()}
     framed = near_rows(peers, by, [F.col(order).asc_nulls_first()], cell, before, after, frame).select(*by, F.col(order).alias("_cell"), *values)
     return _beside(df.withColumn("_cell", F.col(order)), framed, by).drop("_cell")
+
+
+def over_range(df: DataFrame, by: list[str], order: str, before: int, values: dict[str, tuple[str, Column]], width: int | None = None) -> DataFrame:
+    """Adds sums and counts of a column over the rows of a key whose ``order`` (a whole number) is up to ``before`` less, or the same.
+
+    Each is what runs up to a row's value less what runs up to all below the frame, so a row costs the same however many its frame holds. Rows of one
+    value are aggregated first. Rows are sorted in cells of ``width``, that of the frame unless another is given. Rows without an order are each other's only ones.
+    """
+    if any(k not in ("sum", "count") for k, _ in values.values()):
+        raise ValueError("only sums and counts can be taken apart")
+    peers = df.groupBy(*by, F.col(order).alias("_own")).agg(*[_KINDS[k](c).alias(f"_{n}") for n, (k, c) in values.items()])
+    # what is in sums counts its terms, too: a frame of nulls only has no sum
+    peers = peers.withColumns({f"_terms_{n}": F.col(f"_{n}").isNotNull().cast("long") for n in values})
+    parts = [f"_{x}{n}" for n in values for x in ("", "terms_")]
+    ends = peers.where("_own IS NOT NULL").withColumns({"_at": F.col("_own"), "_end": F.lit(1)})
+    starts = ends.select(*by, "_own", F.try_subtract("_own", F.lit(before)).alias("_at"), F.lit(0).alias("_end"), *[F.lit(None).cast(ends.schema[c].dataType).alias(c) for c in parts])
+    marks = ends.unionByName(starts.where("_at IS NOT NULL"))
+    cell = F.floor(F.col("_at") / (width or max(before, 1)))
+    run = scan(marks, by, ["_at", "_end"], cell, {f"_run{c}": ("sum", F.col(c)) for c in parts})
+    signed = {c: F.sum(F.coalesce(F.when(F.col("_end") == 1, F.col(f"_run{c}")).otherwise(-F.col(f"_run{c}")), F.lit(0))) for c in parts}
+    framed = run.groupBy(*by, "_own").agg(*[v.alias(c) for c, v in signed.items()])
+    framed = framed.unionByName(peers.where("_own IS NULL"))
+    told = [(F.col(f"_{n}") if k == "count" else F.when(F.col(f"_terms_{n}") > 0, F.col(f"_{n}"))).alias(n) for n, (k, _) in values.items()]
+    return _beside(df.withColumn("_cell", F.col(order)), framed.select(*by, F.col("_own").alias("_cell"), *told), by).drop("_cell")

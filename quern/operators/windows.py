@@ -49,12 +49,13 @@ def over_range(df: DataFrame, value: Column, by: list[str], order: str, before:
     """An aggregate over the rows of a key whose ``order`` (a whole number) is up to ``before`` less, or the same.
 
     Keys are split into cells of ``before``: a row is sorted in its own cell, and is a guest in the next, so a
-    key of very many rows is not one task. Rows without an order are left to themselves.
+    key of very many rows is not one task. Rows without an order are left to themselves. Spark goes through a row's whole frame for
+    each row: for sums and counts take :func:`scans.over_range`.
     """
     cell = F.floor(F.col(order) / before)
     places = F.array(F.struct(cell.alias("cell"), F.lit(False).alias("guest")), F.struct((cell + 1).alias("cell"), F.lit(True).alias("guest")))
     frame = Window.partitionBy(*by, "_place.cell").orderBy(order).rangeBetween(-before, 0)
-    return df.withColumn("_place", F.explode(places)).withColumn(name, value.over(frame)).where(~F.col("_place.guest")).drop("_place")
+    return df.withColumn("_place", F.explode(F.when(F.col(order).isNull(), F.slice(places, 1, 1)).otherwise(places))).withColumn(name, value.over(frame)).where(~F.col("_place.guest")).drop("_place")
 
 
 def ranked(df: DataFrame, by: list[str], value: str, width: float) -> DataFrame:

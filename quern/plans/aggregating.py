@@ -179,7 +179,7 @@ def rows_frame(spark, sf_dir):
 @query("SELECT event_id, (count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 6 HOURS PRECEDING AND CURRENT ROW))::BIGINT AS recent FROM events")
 def range_frame(spark, sf_dir):
     events = read(spark, sf_dir, "events").select("event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
-    return windows.over_range(events, F.count(F.lit(1)), ["event_type"], "micros", 6 * 3_600_000_000, "recent").select("event_id", "recent")
+    return scans.over_range(events, ["event_type"], "micros", 6 * 3_600_000_000, {"recent": ("count", F.lit(1))}).select("event_id", "recent")
 
 
 @query("SELECT p_partkey, (sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_type GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW))::BIGINT AS near_size FROM part")

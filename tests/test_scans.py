@@ -1,5 +1,8 @@
 """Windows by cells against Spark's own, at cells of one value, of three and of all."""
 
+import random
+import re
+
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import Window, functions as F
@@ -94,3 +97,28 @@ def test_a_hot_key_is_many_tasks(spark):
     assert len(by_rows) == 1 and "_cell" in plan  # of the table of cells
     with pytest.raises(ValueError):
         scans.near_rows(df, ["k"], ["t"], F.lit(0), 5, 0, lambda w: {}, block=3)
+
+
+@pytest.mark.parametrize("before, width", [(0, None), (3, None), (50, 7)])
+def test_over_range(spark, before, width):
+    """Nulls in key, order and value, ties, frames without a value, the least number, clashing names."""
+    rng = random.Random(before)
+    rows = [(i, rng.choice([None, 1, 2]), rng.choice([None, *range(-20, 20)]), rng.choice([None, None, 1, 5])) for i in range(150)] + [(900, 1, -(2**63), 4), (901, 1, 2**63 - 1, None)]
+    df = spark.createDataFrame(rows, "id int, k int, t long, v long").repartition(3).withColumn("_end", F.lit("e"))
+    with pytest.raises(ValueError):
+        scans.over_range(df, ["k"], "t", before, {"x": ("max", F.col("v"))})
+    found = scans.over_range(df, ["k"], "t", before, {"n": ("count", F.lit(1)), "total": ("sum", F.col("v"))}, width)
+    assert found.columns == [*df.columns, "n", "total"]
+    frame = lambda k, t: [v for _, m, u, v in rows if m == k and (u is None if t is None else u is not None and t - before <= u <= t)]
+    for r in found.collect():
+        held = frame(r["k"], r["t"])
+        assert (r["n"], r["total"]) == (len(held), sum(v for v in held if v is not None) if any(v is not None for v in held) else None)
+
+
+def test_over_range_does_not_go_through_frames(spark):
+    """One key, all rows in each other's frames: 200,000 rows would be 2e10 steps."""
+    df = spark.range(200_000).select("id", F.lit(1).alias("k"))
+    found = scans.over_range(df, ["k"], "id", 1_000_000, {"n": ("count", F.lit(1))})
+    assert found.where("n <> id + 1").count() == 0
+    frames = re.findall(r"frame\((\w+, [^,]*),", found._jdf.queryExecution().optimizedPlan().toString().lower())
+    assert frames and all("unboundedpreceding" in f for f in frames)

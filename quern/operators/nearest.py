@@ -13,10 +13,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 #: Rows of a side that are compared at once.
 BLOCK = 2048
+#: Rows of a block of queries that are compared at once, and queries times lists that a task holds at once.
+SLICE = 256
+LISTED = 8192
 #: Vectors of the sample that centroids are fitted to, the most centroids, and vectors of the sample whose recall sets the lists that are asked.
 SAMPLE_ROWS = 16_384
 MOST_LISTS = 1_024
@@ -55,17 +59,24 @@ def _packed(rows: DataFrame, by: str) -> DataFrame:
 def _best(pairs: DataFrame) -> DataFrame:
     """(query_id, nearest, likeness) from pairs of blocks: the best of each pair, then the best of these."""
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for q_ids, q_unit, ids, unit in batch.itertuples(index=False):
-                asked, met = np.frombuffer(q_ids, "<i8"), np.frombuffer(ids, "<i8")
-                likeness = np.frombuffer(q_unit).reshape(len(asked), -1) @ np.frombuffer(unit).reshape(len(met), -1).T
-                likeness[asked[:, None] == met] = -np.inf
-                top = likeness.max(axis=1)
-                nearest = np.where(likeness == top[:, None], met, np.iinfo(np.int64).max).min(axis=1)
-                yield pd.DataFrame({"query_id": asked, "nearest": nearest, "likeness": top})[top > -np.inf]
-
-    found = pairs.select("q_ids", "q_unit", "ids", "unit").mapInPandas(of, "query_id long, nearest long, likeness double")
+    def best(q_ids: pa.Buffer, q_unit: pa.Buffer, ids: pa.Buffer, unit: pa.Buffer) -> pa.RecordBatch:
+        asked, met = np.frombuffer(q_ids, "<i8"), np.frombuffer(ids, "<i8")
+        of_asked, of_met = np.frombuffer(q_unit).reshape(len(asked), -1), np.frombuffer(unit).reshape(len(met), -1).T
+        nearest, top = np.empty(len(asked), np.int64), np.empty(len(asked))
+        for i in range(0, len(asked), SLICE):
+            likeness = of_asked[i : i + SLICE] @ of_met
+            likeness[asked[i : i + SLICE, None] == met] = -np.inf
+            top[i : i + SLICE] = likeness.max(axis=1)
+            nearest[i : i + SLICE] = np.where(likeness == top[i : i + SLICE, None], met, np.iinfo(np.int64).max).min(axis=1)
+        found = top > -np.inf
+        return pa.record_batch({"query_id": asked[found], "nearest": nearest[found], "likeness": top[found]})
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # blocks are read where they are, none is copied
+            for row in zip(*(batch.column(c) for c in ("q_ids", "q_unit", "ids", "unit")), strict=True):
+                yield best(*(x.as_buffer() for x in row))
+
+    found = pairs.select("q_ids", "q_unit", "ids", "unit").mapInArrow(of, "query_id long, nearest long, likeness double")
     first = F.max_by(F.struct("nearest", "likeness"), F.struct("likeness", -F.col("nearest")))
     return found.groupBy("query_id").agg(first.alias("best")).select("query_id", "best.nearest", "best.likeness")
 
@@ -136,6 +147,18 @@ def fit_lists(among: DataFrame, key: str, vector: str, recall: float = 0.95) ->
     return Lists(centroids, probes)
 
 
+def listed(batches: Iterator[pd.DataFrame], lists: Lists, every: bool) -> Iterator[pd.DataFrame]:
+    """Rows (id, vector, dims) with the list they are in, or each of those they ask (``every``); LISTED at most at once."""
+    for batch in batches:
+        for dims, rows in batch.groupby("dims"):
+            n = (lists.probes[dims] if every else 1) if dims in lists.centroids else 0
+            at_once = max(1, LISTED // max(n, 8))
+            for i in range(0, len(rows), at_once):
+                some = rows.iloc[i : i + at_once]
+                own = lists.nearest_lists(dims, np.stack(some["vector"].to_numpy()).astype(float), n) if n else np.zeros((len(some), 1), np.int64)
+                yield some.assign(of=list(own)).explode("of").astype({"of": "int64"})[["id", "vector", "dims", "of"]]
+
+
 def nearest_in_lists(asked: DataFrame, among: DataFrame, key: str, vector: str, lists: Lists | None = None) -> DataFrame:
     """(query_id, nearest, likeness) as :func:`nearest` gives them, but of the vectors in the lists nearest to a query.
 
@@ -145,18 +168,10 @@ def nearest_in_lists(asked: DataFrame, among: DataFrame, key: str, vector: str,
     lists = lists if lists is not None else fit_lists(among, key, vector)
     sent = among.sparkSession.sparkContext.broadcast(lists)
 
-    def listed(every: bool):
-        def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for dims, rows in batch.groupby("dims"):
-                    own = np.zeros((len(rows), 1), np.int64)
-                    if dims in sent.value.centroids:
-                        own = sent.value.nearest_lists(dims, np.stack(rows["vector"].to_numpy()).astype(float), sent.value.probes[dims] if every else 1)
-                    yield rows.assign(of=list(own)).explode("of").astype({"of": "int64"})[["id", "vector", "dims", "of"]]
-
-        return of
+    def dealt(every: bool):
+        return lambda batches: listed(batches, sent.value, every)
 
     schema = "id long, vector array<double>, dims int, of long"
-    q = _packed(usable(asked, key, vector).mapInPandas(listed(True), schema), "of").select("dims", "place", F.col("ids").alias("q_ids"), F.col("unit").alias("q_unit"))
-    d = _packed(usable(among, key, vector).mapInPandas(listed(False), schema), "of")
+    q = _packed(usable(asked, key, vector).mapInPandas(dealt(True), schema), "of").select("dims", "place", F.col("ids").alias("q_ids"), F.col("unit").alias("q_unit"))
+    d = _packed(usable(among, key, vector).mapInPandas(dealt(False), schema), "of")
     return _best(q.hint("shuffle_hash").join(d, ["dims", "place"]))

@@ -3,6 +3,8 @@
 import math
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from quern.operators import nearest
@@ -75,3 +77,24 @@ def test_lists(spark, n):
         lists.probes = {k: len(c) for k, c in lists.centroids.items()}
         found = {r["query_id"]: r["nearest"] for r in nearest.nearest_in_lists(df, df, "vec_id", "embedding", lists).collect()}
         assert found == expected
+
+
+def test_queries_are_dealt_a_few_at_a_time():
+    """A batch of queries times the lists each asks never stands in memory whole."""
+    batch = pd.DataFrame([(i, np.array(v), len(v)) for i, v in rows_of(3000)] + [(9000, np.ones(3), 3)], columns=["id", "vector", "dims"])
+    lists = nearest.Lists({8: np.random.default_rng(1).normal(size=(64, 8))}, {8: 40})
+    found = list(nearest.listed(iter([batch]), lists, True))
+    assert max(map(len, found)) <= nearest.LISTED and sum(map(len, found)) == 3000 * 40 + 1
+    whole = lists.nearest_lists(8, np.stack(batch["vector"][:3000].to_numpy()), 40)
+    assert (np.concatenate([f["of"] for f in found if f["dims"].iloc[0] == 8]).reshape(3000, 40) == whole).all()
+    assert [len(f) for f in nearest.listed(iter([batch]), lists, False)][:1] == [1] and sum(len(f) for f in nearest.listed(iter([batch]), lists, False)) == 3001
+
+
+def test_blocks_by_slices(spark, monkeypatch):
+    """A block is compared a slice at a time, and gives what it gives whole."""
+    monkeypatch.setattr(nearest, "SLICE", 3)
+    rows = rows_of(100) + BAD
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    plan = nearest.nearest(df, df, "vec_id", "embedding")
+    assert "MapInArrow" in plan._jdf.queryExecution().executedPlan().toString()
+    assert {r["query_id"]: r["nearest"] for r in plan.collect()} == brute(rows, rows)

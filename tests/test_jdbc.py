@@ -1,6 +1,9 @@
 """Reading and writing other databases."""
 
 import datetime as dt
+import os
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -41,3 +44,35 @@ def test_odd_tables(spark, url):
         jdbc.write(spark.range(n), url, "few", jdbc.DERBY)
         assert jdbc.read(spark, url, "few", jdbc.DERBY, "id").count() == n
     assert jdbc.read(spark, url, "few", jdbc.DERBY).count() == 1 and jdbc.quoted('a"b') == '"a""b"'
+
+
+def test_shards(spark):
+    """Odd rows come back from databases that tasks loaded; filters and columns go to all; databases without rows have the columns."""
+    schema = "k long, `a b` string, t timestamp_ntz, x double, ok boolean, d date"
+    rows = [(None, "x", None, 0.1, True, None), (5, None, dt.datetime(2024, 1, 1, 12, 0, 0, 1), -1e300, None, dt.date(1999, 1, 1)), (-3, "", dt.datetime(1999, 1, 1), None, False, None), (9, "é'\",\n,x", None, 1 / 3, True, None)]
+    df = spark.createDataFrame(rows, schema)
+    urls = jdbc.write_shards(df, "odd", 3, types={"a b": "VARCHAR(64)"})
+    back = jdbc.read_shards(spark, urls, "odd", jdbc.DERBY, "k")
+    assert len(urls) == 3 and back.dtypes == df.dtypes and sorted(map(tuple, back.collect()), key=repr) == sorted(rows, key=repr)
+    few = back.where("k > 4").select("x")
+    assert plan_of(few).count("GreaterThan(k,4)") >= 3 and plan_of(few).count("ReadSchema: struct<x:double>") == 3
+    assert sum(r["n"] for r in jdbc.ask_shards(spark, urls, 'SELECT count(*) AS "n" FROM odd', jdbc.DERBY).collect()) == 4
+    empty = jdbc.read_shards(spark, jdbc.write_shards(df.limit(0), "vacant", 2), "vacant", jdbc.DERBY, "k")
+    assert empty.count() == 0 and empty.columns == df.columns
+    with pytest.raises(ValueError):
+        jdbc.write_shards(spark.range(1).selectExpr("array(id) AS a"), "bad")
+
+
+def test_on_a_cluster(sf, tmp_path):
+    """The registered queries on executors that are other processes than the driver, as on a cluster."""
+    code = f"""
+from pyspark.sql import SparkSession
+from quern.plans import databases
+conf = {{"spark.master": "local-cluster[2,1,1024]", "spark.checkpoint.dir": "file://{tmp_path}/shared", "spark.ui.enabled": "false", "spark.driver.host": "127.0.0.1", "spark.sql.shuffle.partitions": "2"}}
+spark = SparkSession.builder.config(map=conf).getOrCreate()
+print([q(spark, "{sf}").count() for q in (databases.jdbc_round_trip, databases.jdbc_filtered, databases.jdbc_pushed_aggregate)])
+spark.stop()
+"""
+    env = {k: v for k, v in os.environ.items() if not k.startswith("PYSPARK_GATEWAY")} | {"SPARK_WORKER_DIR": f"{tmp_path}/worker", "SPARK_LOCAL_DIRS": f"{tmp_path}/local"}
+    told = subprocess.run([sys.executable, "-c", code], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert "[1500, 5, 3]" in told.stdout, told.stderr[-2000:]

@@ -127,40 +127,53 @@ def merge_runs(runs: list[tuple[int, int, int]], gap: int) -> list[tuple[int, in
 
 
 class _Sessions(StatefulProcessor):
-    """The open runs of a user, as a list. Rows that come late widen or join runs, and a run closes only when the watermark is the gap past its end."""
+    """The open runs of a user, as one value. Rows that come late widen or join runs, and a run closes only when the watermark is the gap past its end.
+
+    A user with open runs has one timer, for the run that ends first; each call to the state is a message to the JVM, so the timer is known by the runs and not asked for.
+    """
 
     def __init__(self, gap_ms: int):
         self.gap_ms = gap_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", "first long, last long, n long")
+        self.open = handle.getValueState("open", "runs binary")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        runs = self._runs()
+        runs = before = self._runs()
         for part in rows:
             times, counts = np.unique(part["ms"].to_numpy(), return_counts=True)
             cuts = np.append(0, np.flatnonzero(np.diff(times) > self.gap_ms) + 1)
             ends = np.append(cuts[1:], len(times))
             runs = merge_runs(runs + [(int(times[i]), int(times[j - 1]), int(counts[i:j].sum())) for i, j in zip(cuts, ends, strict=True)], self.gap_ms)
         self._keep(runs)
-        yield self._told(key, [])
+        old, new = self._due(before), self._due(runs)
+        if old != new:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(new)
+        return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         runs, passed = self._runs(), max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
-        self._keep([r for r in runs if r[1] + self.gap_ms > passed])
-        yield self._told(key, [r for r in runs if r[1] + self.gap_ms <= passed])
+        left = [r for r in runs if r[1] + self.gap_ms > passed]
+        self._keep(left)
+        if left:
+            self.handle.registerTimer(self._due(left))
+        closed = [r for r in runs if r[1] + self.gap_ms <= passed]
+        return iter([self._told(key, closed)] if closed else [])
 
     def _runs(self) -> list[tuple[int, int, int]]:
-        return [tuple(map(int, r)) for r in self.open.get()] if self.open.exists() else []
+        held = self.open.get()
+        return [tuple(r) for r in np.frombuffer(held[0], "<i8").reshape(-1, 3).tolist()] if held is not None else []
+
+    def _due(self, runs: list[tuple[int, int, int]]) -> int | None:
+        """When the run that ends first is over."""
+        return min(last for _, last, _ in runs) + self.gap_ms if runs else None
 
     def _keep(self, runs: list[tuple[int, int, int]]) -> None:
-        """Stores the runs, with a timer for the one that ends first."""
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
         if runs:
-            self.open.put(runs)
-            self.handle.registerTimer(min(last for _, last, _ in runs) + self.gap_ms)
+            self.open.update((np.array(runs, "<i8").tobytes(),))
         else:
             self.open.clear()
 

@@ -3,6 +3,7 @@
 import datetime as dt
 import os
 
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -121,3 +122,51 @@ def test_merge_runs(times, gap):
         else:
             expected.append([t, t, 1])
     assert runs == [tuple(x) for x in expected]
+
+
+def test_sessions_ask_the_state_little():
+    """A call to the state is a message to the JVM: a user's rows cost three at most, a user that closes two, and no empty frame goes back."""
+
+    class Told:
+        def __init__(self):
+            self.held, self.timers, self.calls = None, set(), 0
+
+        def getValueState(self, name, schema):
+            return self
+
+        def get(self):
+            self.calls += 1
+            return self.held
+
+        def update(self, value):
+            self.calls += 1
+            self.held = value
+
+        def clear(self):
+            self.calls += 1
+            self.held = None
+
+        def registerTimer(self, at):
+            self.calls += 1
+            self.timers.add(at)
+
+        def deleteTimer(self, at):
+            self.calls += 1
+            self.timers.remove(at)
+
+        def getExpiryTimeInMs(self):
+            return 0
+
+        def getCurrentWatermarkInMs(self):
+            return 500
+
+    told = Told()
+    sessions = events._Sessions(100)
+    sessions.init(told)
+    rows = lambda *ms: iter([pd.DataFrame({"ms": ms})])
+    assert list(sessions.handleInputRows((1,), rows(0, 50, 300, 1000), told)) == [] and told.calls == 3 and told.timers == {150}
+    assert list(sessions.handleInputRows((1,), rows(1050), told)) == [] and told.calls == 5 and told.timers == {150}
+    assert list(sessions.handleInputRows((1,), rows(120), told)) == [] and told.timers == {220}  # late: the first run ends later
+    told.timers, told.calls = set(), 0  # Spark takes a timer away that has run out
+    (closed,) = sessions.handleExpiredTimer((1,), told, told)
+    assert closed.values.tolist() == [[1, 0, 120, 3], [1, 300, 300, 1]] and told.timers == {1150} and told.calls == 3

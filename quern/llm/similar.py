@@ -1,12 +1,13 @@
-"""Near copies by the exact Jaccard similarity of five-word shingles, for the pipeline's SimHash stage.
+"""Near copies by SimHash for the pipeline: fingerprints of five-word shingles meet under covering masks, and exact Jaccard settles the pairs.
 
-Fingerprints of texts at a Jaccard of 0.8 differ in 10 of 64 bits on average and in up to 20, a radius for which covering
-masks would need 2^21 tables. So texts meet by minima of the hashes that make their fingerprints, are screened by fingerprint and
-minima, and the shingles of what is left are compared.
+Fingerprints of texts at a Jaccard of 0.8 differ in 15 % of their bits, so no mask of a whole fingerprint leaves all of these out.
+Fingerprints are therefore as long as the table needs and are cut into parts, each with covering masks of its own. Texts meet where a part agrees
+under a mask, are screened by the bits in which their fingerprints differ, and the shingles of what is left are compared.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,25 +17,29 @@ from pyspark.sql import DataFrame, functions as F
 
 from quern.llm.common import materialize, scratch, whole_runs
 from quern.llm.components import components, local_labels
-from quern.llm.simhash import SEED, fold, shingle_hashes
+from quern.llm.simhash import SEED, covering_masks, shingle_hashes
 from quern.operators.joins import lookup_join, salted_join
 
 SHINGLE = 5
 JACCARD = 0.8
-#: Fingerprints of pairs at JACCARD differ in 10 bits on average, with a deviation of 3.
-RADIUS = 26
-#: A pair at JACCARD shares none of the keys with a probability of (1 - 0.8 ** ROWS) ** TABLES = 0.0002.
-TABLES, ROWS = 16, 4
-#: Of the TABLES * ROWS minima a pair at JACCARD has 51 in common, with a deviation of 3.2. Pairs of fewer are not compared.
-FEW = 40
+#: Share of the bits in which fingerprints of a pair at JACCARD differ (the angle between their sets).
+FLIPPED = math.acos(2 * JACCARD / (1 + JACCARD)) / math.pi
+#: Masks of a part cover so many differing bits.
+COVERED = 1
+#: A pair at JACCARD meets in no bucket with this probability.
+MISSED = 0.0001
+#: Parts have so many bits that unrelated texts make buckets of about so many members at most.
+MEMBERS = 512
+#: Of SCREEN bits fingerprints of pairs at JACCARD differ in 19 on average, with a deviation of 4, unrelated ones in 64, with one of 6;
+#: of LONG bits in 78, with one of 8. Pairs that differ in more than RADIUS and LONG_RADIUS are not compared.
+SCREEN, RADIUS = 128, 38
+LONG, LONG_RADIUS = 512, 124
+#: Different sets of fewer shingles have a Jaccard below JACCARD.
+LEAST = 4
 #: Members of a bucket that a task takes at once, and forests of pairs among them.
 BLOCK = 1024
 FORESTS = 4
 
-_random = np.random.default_rng(SEED)
-_xor = _random.integers(0, 2**64, TABLES * ROWS, dtype=np.uint64)
-_odd = _random.integers(0, 2**64, TABLES * ROWS, dtype=np.uint64) | np.uint64(1)
-
 
 def shingles(text: str | None) -> np.ndarray:
     """The sorted different hashes of a text's word shingles."""
@@ -46,53 +51,85 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
-def minima(hashes: np.ndarray) -> np.ndarray:
-    """The least of the hashes under each of TABLES * ROWS orders."""
-    least = np.full(TABLES * ROWS, 2**64 - 1, np.uint64)
-    for i in range(0, len(hashes), 4096):  # bounds the memory for very long texts
-        least = np.minimum(least, ((hashes[None, i : i + 4096] ^ _xor[:, None]) * _odd[:, None]).min(axis=1))
-    return least
+def layout(n: int) -> tuple[int, int]:
+    """(parts, bits of each) of fingerprints in a table of n texts: longer parts and more of them, as the power 0.24 of n."""
+    third = max(3, math.ceil(math.log2(max(n, 1) / MEMBERS) / 2))
+    agree = (1 - FLIPPED) ** third
+    met = 3 * agree**2 - 2 * agree**3  # two thirds at least of a part agree, which is what a mask for one bit keeps
+    return math.ceil(math.log(MISSED) / math.log(1 - met)), 3 * third
+
+
+def fingerprint(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """So many bits (a multiple of 64) of a sorted set of hashes, each of which gives as many: 1 if set in over half of them, and of a tie the least hash's.
+
+    Repeats don't count, as for Jaccard, and settled ties leave no bit likelier 0 than 1, however small the set.
+    """
+    step = np.arange(1, bits // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    ones, least = np.zeros(bits, np.int64), 0
+    for i in range(0, len(hashes), 255):  # what a byte can count
+        z = hashes[i : i + 255, None] + step
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        of = np.unpackbits((z ^ (z >> np.uint64(31))).view(np.uint8), axis=1, bitorder="little")
+        ones += np.add.reduce(of, axis=0, dtype=np.uint8)
+        least = least if i else of[0]
+    return 2 * ones + least > len(hashes)
 
 
-def table_keys(least: np.ndarray) -> list[int]:
-    """A key per table: the digest of ROWS minima, signed."""
-    return np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in least.reshape(TABLES, ROWS)], np.uint64).view(np.int64).tolist()
+def table_keys(prints: np.ndarray, parts: int, width: int) -> np.ndarray:
+    """For rows of bits a key per part and covering mask: the bits that the mask keeps of the part."""
+    kept = np.array([[i for i in range(width) if m >> i & 1] for m in covering_masks(COVERED, width)])
+    at = (np.arange(parts)[:, None, None] * width + kept).reshape(-1, kept.shape[1])
+    return prints[:, at].astype(np.int32) @ (1 << np.arange(kept.shape[1], dtype=np.int32))
 
 
 def with_keys(docs: DataFrame) -> DataFrame:
-    """(id, text, node, fp, sketch, keys): node is the digest of the set of shingles, sketch a byte of each minimum. Texts without words have no keys."""
+    """(id, text, node, code, fp, fq, keys): node is the digest of the set of shingles, code the first LONG bits of its fingerprint, fp and fq the first SCREEN.
+
+    Sets of fewer than LEAST shingles have no keys.
+    """
+    parts, width = layout(docs.count())
+    bits = max(LONG, -(-parts * width // 64) * 64)
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            told = []
-            for text in rows["text"]:
-                parts = list(shingle_hashes(text, SHINGLE))
-                found = np.unique(np.concatenate([np.empty(0, np.uint64), *parts]))
-                least = minima(found)
-                node = np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).view(np.int64)
-                sketch = (least >> np.uint64(56)).astype(np.uint8) ^ (least >> np.uint64(20)).astype(np.uint8)
-                told.append((node, np.uint64(fold(parts)).view(np.int64), sketch.tobytes(), table_keys(least) if len(found) else []))
-            yield pd.concat([rows.reset_index(drop=True), pd.DataFrame(told, columns=["node", "fp", "sketch", "keys"])], axis=1)
+            sets = [shingles(text) for text in rows["text"]]
+            prints = np.array([fingerprint(x, bits) for x in sets], bool).reshape(-1, bits)
+            code = np.packbits(prints[:, :LONG], axis=1, bitorder="little").view(np.int64)
+            keys = table_keys(prints, parts, width)
+            node = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+            told = {"node": node, "code": list(code), "fp": code[:, 0], "fq": code[:, 1], "keys": [k if len(x) >= LEAST else k[:0] for k, x in zip(keys, sets, strict=True)]}
+            yield rows.reset_index(drop=True).assign(**told)
 
     given = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    return given.mapInPandas(of, "id long, text string, node long, fp long, sketch binary, keys array<long>")
+    return given.mapInPandas(of, "id long, text string, node long, code array<long>, fp long, fq long, keys array<int>")
 
 
-def counts(fp: np.ndarray, sketch: np.ndarray) -> np.ndarray:
-    """For every two members how many minima they have in common; 0 if they can't be alike."""
-    same = np.zeros((len(fp), len(fp)), np.uint8)
-    for column in sketch.T:
-        same += column[:, None] == column
-    same[(same < FEW) | (np.bitwise_count(fp[:, None] ^ fp) > RADIUS)] = 0
+def counts(fp: np.ndarray, fq: np.ndarray) -> np.ndarray:
+    """For every two members in how many of SCREEN bits they agree; 0 if they can't be alike."""
+    apart = np.bitwise_count(fp[:, None] ^ fp) + np.bitwise_count(fq[:, None] ^ fq)
+    same = np.where(apart <= RADIUS, SCREEN - apart, 0).astype(np.uint8)
     np.fill_diagonal(same, 0)
     return same
 
 
+def chosen(same: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, root) as those of :func:`forests`; all pairs where these are as few."""
+    a, b = np.nonzero(np.triu(same))
+    some = np.unique(np.r_[a, b])
+    if len(a) <= FORESTS * len(some):
+        return a, b, local_labels(a, b, len(same))
+    a, b, root = forests(same[np.ix_(some, some)])
+    every = np.arange(len(same))
+    every[some] = some[root]
+    return some[a], some[b], every
+
+
 def forests(same: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a, b, root): pairs that connect all who may be alike, and the least member each is so connected with.
 
-    They are FORESTS forests, none with a pair of another, each grown by joining every tree to another by the pair with
-    most minima in common. So there are at most FORESTS pairs a member, and a pair that turns out not to be
+    They are FORESTS forests, none with a pair of another, each grown by joining every tree to another by the pair
+    that agrees in most bits. So there are at most FORESTS pairs a member, and a pair that turns out not to be
     alike is made up for by another.
     """
     same, found, told = same.copy(), [], None
@@ -120,66 +157,72 @@ def forests(same: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return a, b, told
 
 
-def _meet(nodes: DataFrame, waiting: DataFrame, every: bool) -> DataFrame:
-    """(a, b) of pairs that may be alike, and (t, key, node), a member of each tree, in buckets of several blocks.
+def _meet(waiting: DataFrame, every: bool) -> DataFrame:
+    """(a, b, same) of pairs that may be alike, and (t, key, node), a member of each tree, in buckets of several blocks.
 
-    Blocks are worked through by themselves; with ``every``, each two of a bucket's blocks besides.
+    Blocks are worked through by themselves; with ``every``, each two of a bucket's blocks besides. Each table deals
+    its blocks, and picks the members, in an order of its own.
     """
     unit = ["t", "key", "low", "high"]
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in whole_runs(batches, unit):
-            start = np.flatnonzero(np.r_[True, rows[unit].ne(rows[unit].shift()).any(axis=1).to_numpy()[1:]])
-            fp, node, single = rows["fp"].to_numpy().view(np.uint64), rows["node"].to_numpy(), (rows["low"] == rows["high"]).to_numpy()
-            sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(rows), -1)
+            of_unit = rows[unit].to_numpy()
+            start = np.flatnonzero(np.r_[True, (of_unit[1:] != of_unit[:-1]).any(axis=1)])
+            fp, fq, node, single = rows["fp"].to_numpy().view(np.uint64), rows["fq"].to_numpy().view(np.uint64), rows["node"].to_numpy(), (rows["low"] == rows["high"]).to_numpy()
             part, several = rows["part"].to_numpy(), (rows["parts"] > 1).to_numpy()
-            left, right, again = [], [], []
+            left, right, bits, again = [], [], [], []
             for i, j in zip(start.tolist(), [*start[1:].tolist(), len(rows)], strict=True):
-                same = counts(fp[i:j], sketch[i:j])
+                same = counts(fp[i:j], fq[i:j])
                 if not single[i]:
                     same[part[i:j, None] == part[i:j]] = 0
-                if j - i == 2 or not same.any():
-                    a, b = np.nonzero(np.triu(same))
-                    root = np.arange(j - i)
-                else:
-                    a, b, root = forests(same)
-                left.append(node[i + a])
-                right.append(node[i + b])
-                if several[i] and single[i]:
-                    again.append(i + np.unique(root))
+                if several[i] or same.any():
+                    a, b, root = chosen(same)
+                    left.append(node[i + a])
+                    right.append(node[i + b])
+                    bits.append(same[a, b])
+                    if several[i] and single[i]:
+                        again.append(i + np.unique(root))
             if left and any(map(len, left)):
-                yield told(a=np.concatenate(left), b=np.concatenate(right))
+                pairs = told(a=np.concatenate(left), b=np.concatenate(right), same=np.concatenate(bits))
+                yield pairs.drop_duplicates(["a", "b"])
             if again:
                 yield told(**{c: rows[c].to_numpy()[np.concatenate(again)] for c in ("t", "key", "node")})
 
     def told(**columns: np.ndarray) -> pd.DataFrame:
         none = pd.array([pd.NA] * len(next(iter(columns.values()))), dtype="Int64")
-        return pd.DataFrame({c: pd.array(columns[c], dtype="Int64") if c in columns else none for c in ("a", "b", "t", "key", "node")})
+        return pd.DataFrame({c: pd.array(columns[c], dtype="Int64") if c in columns else none for c in ("a", "b", "same", "t", "key", "node")})
 
-    sizes = waiting.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n")
-    dealt = waiting.join(sizes, ["t", "key"]).withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    place = F.struct("t", "key").alias("place")
+    large = waiting.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select(place, F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    dealt = lookup_join(waiting.withColumn("place", place), large, "place", "left").drop("place").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumns({"part": F.pmod(F.xxhash64("node", "t"), "parts").cast("int"), "turn": F.when(F.col("parts") > 1, F.xxhash64("t", "node")).otherwise(F.col("node"))})
     others = F.sequence(F.lit(0), F.col("parts") - 1) if every else F.array("part")
     dealt = dealt.withColumn("other", F.explode(others)).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")}).drop("other")
-    dealt = dealt.join(nodes.select("node", "fp", "sketch"), "node").repartition(*unit).sortWithinPartitions(*unit, "node")
-    return dealt.mapInPandas(of, "a long, b long, t int, key long, node long")
+    return dealt.repartition(*unit).sortWithinPartitions(*unit, "turn").mapInPandas(of, "a long, b long, same int, t int, key int, node long")
 
 
 def candidates(nodes: DataFrame, put: Callable[[DataFrame], DataFrame] = materialize) -> DataFrame:
-    """Pairs (a, b) of nodes (node, fp, sketch, keys) that may be alike, as forests: never all pairs of a group.
+    """Pairs (a, b, same) of nodes (node, code, fp, fq, keys) that may be alike, and the bits in which they agree, as forests: never all pairs of a large group.
 
     Nodes meet in buckets of equal keys, which are dealt into blocks of about BLOCK members. Where there are several,
     a member of each tree of a block meets those of the other blocks.
     """
-    first = put(_meet(nodes, nodes.select("node", F.posexplode("keys").alias("t", "key")), every=False))
+    first = put(_meet(nodes.select("node", "fp", "fq", F.posexplode("keys").alias("t", "key")), every=False))
     again = first.where("node IS NOT NULL").select("node", "t", "key")
-    found = first.where("a IS NOT NULL").select("a", "b")
+    found = first.where("a IS NOT NULL").select("a", "b", "same")
     if not again.isEmpty():
-        found = found.union(_meet(nodes, again, every=True).where("a IS NOT NULL").select("a", "b"))
-    return put(found.distinct())
+        found = found.union(_meet(again.join(nodes.select("node", "fp", "fq"), "node"), every=True).where("a IS NOT NULL").select("a", "b", "same"))
+    found = put(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "same").distinct())
+    for end in ("a", "b"):
+        found = found.join(nodes.select(F.col("node").alias(end), F.col("code").alias(f"code_{end}")), end)
+    bits = F.zip_with("code_a", "code_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    apart = F.aggregate(bits, F.lit(0), lambda x, y: x + y)
+    return put(found.where(apart <= LONG_RADIUS).select("a", "b", (LONG - apart).alias("same")))
 
 
-def alike(pairs: DataFrame, texts: DataFrame, put: Callable[[DataFrame], DataFrame] = materialize) -> DataFrame:
-    """Those of the pairs (a, b) whose texts (node, text) have a Jaccard of JACCARD at least."""
+def alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose texts (node, text; a row for each node) have a Jaccard of JACCARD at least."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -191,12 +234,29 @@ def alike(pairs: DataFrame, texts: DataFrame, put: Callable[[DataFrame], DataFra
                 near.append(jaccard(known[x], shingles(y)) >= JACCARD)
             yield rows.loc[near, ["a", "b"]]
 
-    wanted = put(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node"))
-    texts = put(lookup_join(texts.select("node", "text"), wanted, "node", "left_semi").dropDuplicates(["node"]))
     both = pairs.join(texts.toDF("b", "y"), "b")
     return salted_join(both, texts.toDF("a", "x"), "a").select("a", "b", "x", "y").mapInPandas(of, "a long, b long")
 
 
+def links(pairs: DataFrame, texts: DataFrame, put: Callable[[DataFrame], DataFrame] = materialize) -> DataFrame:
+    """Edges (a, b) that connect all nodes whom pairs (a, b, same) that are alike would.
+
+    Each node's likeliest pair and that with its least partner are compared first, then all pairs of nodes that these leave apart.
+    """
+    wanted = put(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node"))
+    texts = put(lookup_join(texts.select("node", "text"), wanted, "node", "left_semi").dropDuplicates(["node"]))
+    ways = pairs.union(pairs.select("b", "a", "same")).groupBy("a").agg(F.max(F.struct("same", "b"))["b"].alias("likeliest"), F.min("b").alias("least"))
+    ways = ways.select("a", F.explode(F.array("likeliest", "least")).alias("b"))
+    first = put(ways.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    found = put(alike(first, texts))
+    root = put(components(found, put)).toDF("node", "root")
+    rest = pairs.select("a", "b").join(first, ["a", "b"], "left_anti")
+    for end in ("a", "b"):
+        rest = rest.join(root.toDF(end, f"root_{end}"), end, "left")
+    rest = put(rest.where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b"))
+    return found.union(alike(rest, texts))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id) for every row of docs: the smallest doc_id reachable over links between texts that are alike.
 
@@ -204,9 +264,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     with scratch(docs.sparkSession) as put:
         found = put(with_keys(docs))
-        nodes = found.groupBy("node").agg(F.min("id").alias("least"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
+        nodes = found.groupBy("node").agg(F.min("id").alias("least"), *[F.first(c).alias(c) for c in ("code", "fp", "fq", "keys")])
         nodes = put(nodes)
-        root = components(alike(candidates(nodes, put), found, put), put).toDF("node", "root")
+        root = components(links(candidates(nodes, put), found, put), put).toDF("node", "root")
         rooted = put(nodes.select("node", "least").join(root, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
         named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
         groups = found.select("id", "node").join(rooted.join(named, "root").select("node", "component_id"), "node")

@@ -2,7 +2,8 @@
 
 Fingerprints of texts at a Jaccard of 0.8 differ in 15 % of their bits, so no mask of a whole fingerprint leaves all of these out.
 Fingerprints are therefore as long as the table needs and are cut into parts, each with covering masks of its own. Texts meet where a part agrees
-under a mask, are screened by the bits in which their fingerprints differ, and the shingles of what is left are compared.
+under a mask and are screened by the bits in which their fingerprints differ. What is left are groups, which are joined by the shingles of few pairs;
+only members whom these leave apart are compared with each other, all of them.
 """
 
 from __future__ import annotations
@@ -36,9 +37,11 @@ SCREEN, RADIUS = 128, 38
 LONG, LONG_RADIUS = 512, 124
 #: Different sets of fewer shingles have a Jaccard below JACCARD.
 LEAST = 4
-#: Members of a bucket that a task takes at once, and forests of pairs among them.
+#: Members of a bucket that a task takes at once, and those of a group with their texts.
 BLOCK = 1024
-FORESTS = 4
+TEXTS = 512
+#: Of members with more pairs than so many each only a tree of pairs goes on, and they may meet again.
+FEW = 2
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -113,112 +116,161 @@ def counts(fp: np.ndarray, fq: np.ndarray) -> np.ndarray:
     return same
 
 
-def chosen(same: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, root) as those of :func:`forests`; all pairs where these are as few."""
+def long_counts(code: np.ndarray) -> np.ndarray:
+    """The same of LONG bits, for rows of words; 0 if either screen tells them apart."""
+    apart = np.zeros((len(code), len(code)), np.uint16)
+    for word in code.T[2:]:
+        apart += np.bitwise_count(word[:, None] ^ word)
+    same = counts(code[:, 0], code[:, 1])
+    apart += SCREEN - same.astype(np.uint16)
+    return np.where((same > 0) & (apart <= LONG_RADIUS), LONG - apart, 0).astype(np.uint16)
+
+
+def forest(same: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a, b) that join the trees (root: a member of each one's) of all who may be alike, each to another by the pair that agrees in most bits."""
+    every, a, b = np.arange(len(same)), [], []
+    while True:
+        open_ = np.where(root[:, None] != root, same, 0)
+        other = open_.argmax(axis=1)
+        value = open_[every, other].astype(int)
+        order = np.lexsort((every, -value, root))
+        first = order[np.r_[True, root[order][1:] != root[order][:-1]]]
+        first = first[value[first] > 0]
+        if not len(first):
+            a, b = (np.concatenate([every[:0], *x]) for x in (a, b))
+            return np.minimum(a, b), np.maximum(a, b)
+        a.append(first)
+        b.append(other[first])
+        root = local_labels(root[first], root[other[first]], len(same))[root]
+
+
+def chosen(same: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, some, tree): all pairs of trees with few, :func:`forest` of the others, and these others' members and trees."""
     a, b = np.nonzero(np.triu(same))
-    some = np.unique(np.r_[a, b])
-    if len(a) <= FORESTS * len(some):
-        return a, b, local_labels(a, b, len(same))
-    a, b, root = forests(same[np.ix_(some, some)])
-    every = np.arange(len(same))
-    every[some] = some[root]
-    return some[a], some[b], every
+    tree = local_labels(a, b, len(same))
+    many = np.bincount(tree[a], minlength=len(same)) > FEW * np.bincount(tree, minlength=len(same))
+    some = np.flatnonzero(many[tree])
+    if not len(some):
+        return a, b, some, some
+    few = ~many[tree[a]]
+    x, y = forest(same[np.ix_(some, some)], np.arange(len(some)))
+    return np.r_[a[few], some[x]], np.r_[b[few], some[y]], some, tree[some]
 
 
-def forests(same: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, root): pairs that connect all who may be alike, and the least member each is so connected with.
+def _units(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
+    for rows in whole_runs(batches, by):
+        of = rows[by].to_numpy()
+        start = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]).any(axis=1)])
+        for i, j in zip(start.tolist(), [*start[1:].tolist(), len(rows)], strict=True):
+            yield rows.iloc[i:j]
 
-    They are FORESTS forests, none with a pair of another, each grown by joining every tree to another by the pair
-    that agrees in most bits. So there are at most FORESTS pairs a member, and a pair that turns out not to be
-    alike is made up for by another.
-    """
-    same, found, told = same.copy(), [], None
-    every = np.arange(len(same))
-    for _ in range(FORESTS):
-        root, grown = every, []
-        while True:
-            open_ = np.where(root[:, None] != root, same, 0)
-            other = open_.argmax(axis=1)
-            value = open_[every, other].astype(int)
-            order = np.lexsort((every, -value, root))
-            first = order[np.r_[True, root[order][1:] != root[order][:-1]]]
-            first = first[value[first] > 0]
-            if not len(first):
-                break
-            grown.append((first, other[first]))
-            root = local_labels(root[first], root[other[first]], len(same))[root]
-        told = root if told is None else told
-        if not grown:
-            break
-        a, b = (np.concatenate(x) for x in zip(*grown, strict=True))
-        same[a, b] = same[b, a] = 0
-        found.append((np.minimum(a, b), np.maximum(a, b)))
-    a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (every[:0], every[:0])
-    return a, b, told
-
-
-def _meet(waiting: DataFrame, every: bool) -> DataFrame:
-    """(a, b, same) of pairs that may be alike, and (t, key, node), a member of each tree, in buckets of several blocks.
-
-    Blocks are worked through by themselves; with ``every``, each two of a bucket's blocks besides. Each table deals
-    its blocks, and picks the members, in an order of its own.
+
+def _meet(waiting: DataFrame) -> DataFrame:
+    """(a, b) of pairs that may be alike, and (t, key, tree, node) of members who may have more such pairs.
+
+    Buckets are dealt into blocks of about BLOCK members, which are worked through by themselves. More pairs may have
+    those of whom a forest is given; and, in buckets of several blocks, all (as one tree).
     """
-    unit = ["t", "key", "low", "high"]
+    unit = ["t", "key", "part"]
+
+    def told(**columns: np.ndarray) -> pd.DataFrame:
+        none = pd.array([pd.NA] * len(next(iter(columns.values()))), dtype="Int64")
+        return pd.DataFrame({c: pd.array(columns[c], dtype="Int64") if c in columns else none for c in ("a", "b", "t", "key", "tree", "node")})
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in whole_runs(batches, unit):
             of_unit = rows[unit].to_numpy()
             start = np.flatnonzero(np.r_[True, (of_unit[1:] != of_unit[:-1]).any(axis=1)])
-            fp, fq, node, single = rows["fp"].to_numpy().view(np.uint64), rows["fq"].to_numpy().view(np.uint64), rows["node"].to_numpy(), (rows["low"] == rows["high"]).to_numpy()
-            part, several = rows["part"].to_numpy(), (rows["parts"] > 1).to_numpy()
-            left, right, bits, again = [], [], [], []
+            fp, fq, node, several = rows["fp"].to_numpy().view(np.uint64), rows["fq"].to_numpy().view(np.uint64), rows["node"].to_numpy(), (rows["parts"] > 1).to_numpy()
+            left, right, again, trees = [], [], [], []
             for i, j in zip(start.tolist(), [*start[1:].tolist(), len(rows)], strict=True):
                 same = counts(fp[i:j], fq[i:j])
-                if not single[i]:
-                    same[part[i:j, None] == part[i:j]] = 0
-                if several[i] or same.any():
-                    a, b, root = chosen(same)
+                if same.any():
+                    a, b, some, tree = chosen(same)
                     left.append(node[i + a])
                     right.append(node[i + b])
-                    bits.append(same[a, b])
-                    if several[i] and single[i]:
-                        again.append(i + np.unique(root))
-            if left and any(map(len, left)):
-                pairs = told(a=np.concatenate(left), b=np.concatenate(right), same=np.concatenate(bits))
-                yield pairs.drop_duplicates(["a", "b"])
+                    if not several[i]:
+                        again.append(i + some)
+                        trees.append(node[i + tree])
+                if several[i]:
+                    again.append(np.arange(i, j))
+                    trees.append(np.zeros(j - i, np.int64))
+            if left:
+                yield told(a=np.concatenate(left), b=np.concatenate(right)).drop_duplicates(["a", "b"])
             if again:
-                yield told(**{c: rows[c].to_numpy()[np.concatenate(again)] for c in ("t", "key", "node")})
-
-    def told(**columns: np.ndarray) -> pd.DataFrame:
-        none = pd.array([pd.NA] * len(next(iter(columns.values()))), dtype="Int64")
-        return pd.DataFrame({c: pd.array(columns[c], dtype="Int64") if c in columns else none for c in ("a", "b", "same", "t", "key", "node")})
+                at = np.concatenate(again)
+                yield told(tree=np.concatenate(trees), **{c: rows[c].to_numpy()[at] for c in ("t", "key", "node")})
 
     place = F.struct("t", "key").alias("place")
     large = waiting.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select(place, F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
     dealt = lookup_join(waiting.withColumn("place", place), large, "place", "left").drop("place").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    dealt = dealt.withColumns({"part": F.pmod(F.xxhash64("node", "t"), "parts").cast("int"), "turn": F.when(F.col("parts") > 1, F.xxhash64("t", "node")).otherwise(F.col("node"))})
-    others = F.sequence(F.lit(0), F.col("parts") - 1) if every else F.array("part")
-    dealt = dealt.withColumn("other", F.explode(others)).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")}).drop("other")
-    return dealt.repartition(*unit).sortWithinPartitions(*unit, "turn").mapInPandas(of, "a long, b long, same int, t int, key int, node long")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node", "t"), "parts").cast("int"))
+    return dealt.repartition(*unit).sortWithinPartitions(*unit, "node").mapInPandas(of, "a long, b long, t int, key int, tree long, node long")
 
 
-def candidates(nodes: DataFrame, put: Callable[[DataFrame], DataFrame] = materialize) -> DataFrame:
-    """Pairs (a, b, same) of nodes (node, code, fp, fq, keys) that may be alike, and the bits in which they agree, as forests: never all pairs of a large group.
+def apart(members: DataFrame, by: list[str], labels: DataFrame, block: int, put: Callable[[DataFrame], DataFrame] = materialize) -> DataFrame:
+    """(unit, node, label): units in which every two members (node) of a group with different labels (node, label) meet; nodes without a label have their own.
 
-    Nodes meet in buckets of equal keys, which are dealt into blocks of about BLOCK members. Where there are several,
-    a member of each tree of a block meets those of the other blocks.
+    Labels of many members are cut into blocks of their own, others are put together in blocks of about ``block``, and a unit is one of these or two
+    blocks. No unit has only one label, so a large label costs as much as there are members of others, and groups of one label nothing.
     """
-    first = put(_meet(nodes.select("node", "fp", "fq", F.posexplode("keys").alias("t", "key")), every=False))
-    again = first.where("node IS NOT NULL").select("node", "t", "key")
-    found = first.where("a IS NOT NULL").select("a", "b", "same")
-    if not again.isEmpty():
-        found = found.union(_meet(again.join(nodes.select("node", "fp", "fq"), "node"), every=True).where("a IS NOT NULL").select("a", "b", "same"))
-    found = put(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "same").distinct())
+    rows = put(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    sizes = rows.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("n"))
+    small = F.when(F.col("n") <= block // 4, F.col("n")).otherwise(0)
+    groups = sizes.groupBy(*by).agg(F.count(F.lit(1)).alias("labels"), F.ceil(F.sum(small) / block).cast("int").alias("mixed")).where("labels > 1")
+    parts = F.when(F.col("n") > block // 4, F.ceil(F.col("n") / block).cast("int")).alias("parts")
+    sizes = put(sizes.join(groups, by).select(*by, "label", parts, "mixed"))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("i")
+    place = lambda own: F.struct(F.lit(own).alias("own"), (F.col("label") if own else F.lit(0).cast("long")).alias("of"), F.col("i").alias("i")).alias("at")
+    blocks = sizes.where("parts IS NOT NULL").select(*by, "label", numbers("parts")).select(*by, place(True))
+    blocks = blocks.union(sizes.where("mixed > 0").select(*by, "mixed").distinct().select(*by, numbers("mixed")).select(*by, place(False)))
+    two = blocks.toDF(*by, "low").join(blocks.toDF(*by, "high"), by)
+    one_label = F.col("low.own") & F.col("high.own") & (F.col("low.of") == F.col("high.of"))
+    two = two.where((F.col("low") <= F.col("high")) & ~one_label)
+    ends = two.select(*by, F.explode(F.array_distinct(F.array("low", "high"))).alias("at"), F.xxhash64(*by, "low", "high").alias("unit"))
+    dealt = rows.join(sizes, [*by, "label"])
+    dealt = dealt.withColumn("i", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("node"), "parts")).otherwise(F.pmod(F.xxhash64("label"), "mixed")).cast("int"))
+    dealt = dealt.withColumn("at", F.when(F.col("parts").isNotNull(), place(True)).otherwise(place(False)))
+    return dealt.join(ends, [*by, "at"]).select("unit", "node", "label")
+
+
+def _trees(label: np.ndarray) -> np.ndarray:
+    """For each member the first of its label."""
+    _, first, at = np.unique(label, return_index=True, return_inverse=True)
+    return first[at]
+
+
+def screened(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b, same): those of the pairs that differ in LONG_RADIUS of LONG bits at most, and in how many they agree."""
     for end in ("a", "b"):
-        found = found.join(nodes.select(F.col("node").alias(end), F.col("code").alias(f"code_{end}")), end)
+        pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("code").alias(f"code_{end}")), end)
     bits = F.zip_with("code_a", "code_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    apart = F.aggregate(bits, F.lit(0), lambda x, y: x + y)
-    return put(found.where(apart <= LONG_RADIUS).select("a", "b", (LONG - apart).alias("same")))
+    differ = F.aggregate(bits, F.lit(0), lambda x, y: x + y)
+    return pairs.where(differ <= LONG_RADIUS).select("a", "b", (LONG - differ).alias("same"))
+
+
+def candidates(nodes: DataFrame, put: Callable[[DataFrame], DataFrame] = materialize) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, same) of nodes (node, code, fp, fq, keys) that may be alike, and the groups (node, root) that they make.
+
+    The groups are those of all pairs that meet in a bucket of equal keys and that both screens let through. A large group's pairs
+    are never all given: a forest in each bucket, and where the longer fingerprints break it, the pairs that mend it.
+    """
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _units(batches, ["unit"]):
+            node, same = rows["node"].to_numpy(), long_counts(np.stack(rows["code"].to_numpy()).view(np.uint64))
+            a, b = forest(same, _trees(rows["label"].to_numpy()))
+            if len(a):
+                yield pd.DataFrame({"a": node[a], "b": node[b], "same": same[a, b].astype(np.int32)})
+
+    first = put(_meet(nodes.select("node", "fp", "fq", F.posexplode("keys").alias("t", "key"))))
+    found = put(first.where("a IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    found = put(screened(found, nodes))
+    groups = put(components(found, put))
+    again = apart(first.where("node IS NOT NULL").select("t", "key", "tree", "node"), ["t", "key", "tree"], groups.toDF("node", "label"), BLOCK, put)
+    again = again.join(nodes.select("node", "code"), "node").repartition("unit").sortWithinPartitions("unit", "node")
+    more = put(again.mapInPandas(of, "a long, b long, same int").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "same").distinct())
+    return found.union(more), put(components(groups.toDF("a", "b").union(more.select("a", "b")), put))
 
 
 def alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -238,23 +290,50 @@ def alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return salted_join(both, texts.toDF("a", "x"), "a").select("a", "b", "x", "y").mapInPandas(of, "a long, b long")
 
 
-def links(pairs: DataFrame, texts: DataFrame, put: Callable[[DataFrame], DataFrame] = materialize) -> DataFrame:
-    """Edges (a, b) that connect all nodes whom pairs (a, b, same) that are alike would.
-
-    Each node's likeliest pair and that with its least partner are compared first, then all pairs of nodes that these leave apart.
+def joined(sets: list[np.ndarray], may: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a, b) with a Jaccard of JACCARD at least that join the trees of all who have such pairs among those that may."""
+    start, size = np.cumsum([0, *map(len, sets)]), np.array([len(x) for x in sets])
+    hashes, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    root, may, a, b = root.copy(), np.triu(may), [], []
+    for i in range(len(sets)):
+        other = np.flatnonzero(may[i] & (root != root[i]))
+        if len(other):
+            there = np.zeros(len(hashes), bool)
+            there[ids[start[i] : start[i + 1]]] = True
+            both = np.add.reduceat(there[ids], start[:-1], dtype=np.int64)[other]
+            near = other[both / (size[i] + size[other] - both) >= JACCARD]
+            _, first = np.unique(root[near], return_index=True)
+            a += [i] * len(first)
+            b += near[first].tolist()
+            root[np.isin(root, root[near])] = root[i]
+    return np.array(a, int), np.array(b, int)
+
+
+def links(nodes: DataFrame, texts: DataFrame, put: Callable[[DataFrame], DataFrame] = materialize) -> DataFrame:
+    """Edges (a, b) that connect all nodes whom pairs of a group of :func:`candidates` that are alike would.
+
+    Each node's likeliest pair and that with its least partner are compared first. Then members of a group whom these leave apart meet in
+    units, with their texts, and all their pairs that the screen of LONG bits lets through are compared; edges leave a unit, no pairs.
     """
-    wanted = put(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node"))
-    texts = put(lookup_join(texts.select("node", "text"), wanted, "node", "left_semi").dropDuplicates(["node"]))
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _units(batches, ["unit"]):
+            node, root = rows["node"].to_numpy(), _trees(rows["label"].to_numpy())
+            may = (long_counts(np.stack(rows["code"].to_numpy()).view(np.uint64)) > 0) & (root[:, None] != root)
+            some = np.flatnonzero(may.any(axis=1))
+            if len(some):
+                a, b = joined([shingles(x) for x in rows["text"].iloc[some]], may[np.ix_(some, some)], root[some])
+                yield pd.DataFrame({"a": node[some[a]], "b": node[some[b]]})
+
+    pairs, groups = candidates(nodes, put)
+    texts = put(lookup_join(texts.select("node", "text"), groups.select("node"), "node", "left_semi").dropDuplicates(["node"]))
     ways = pairs.union(pairs.select("b", "a", "same")).groupBy("a").agg(F.max(F.struct("same", "b"))["b"].alias("likeliest"), F.min("b").alias("least"))
     ways = ways.select("a", F.explode(F.array("likeliest", "least")).alias("b"))
     first = put(ways.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    found = put(alike(first, texts))
-    root = put(components(found, put)).toDF("node", "root")
-    rest = pairs.select("a", "b").join(first, ["a", "b"], "left_anti")
-    for end in ("a", "b"):
-        rest = rest.join(root.toDF(end, f"root_{end}"), end, "left")
-    rest = put(rest.where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b"))
-    return found.union(alike(rest, texts))
+    found = put(components(put(alike(first, texts)), put))
+    units = apart(groups.toDF("node", "group"), ["group"], found.toDF("node", "label"), TEXTS, put)
+    units = units.join(nodes.select("node", "code"), "node").join(texts, "node").repartition("unit").sortWithinPartitions("unit", "node")
+    return found.toDF("a", "b").union(put(units.mapInPandas(of, "a long, b long")))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -266,7 +345,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         found = put(with_keys(docs))
         nodes = found.groupBy("node").agg(F.min("id").alias("least"), *[F.first(c).alias(c) for c in ("code", "fp", "fq", "keys")])
         nodes = put(nodes)
-        root = components(links(candidates(nodes, put), found, put), put).toDF("node", "root")
+        root = components(links(nodes, found, put), put).toDF("node", "root")
         rooted = put(nodes.select("node", "least").join(root, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
         named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
         groups = found.select("id", "node").join(rooted.join(named, "root").select("node", "component_id"), "node")

@@ -1,6 +1,8 @@
 import random
 from itertools import combinations
 
+import numpy as np
+
 import corpus_pipeline
 from quern.llm import similar
 
@@ -57,3 +59,22 @@ def test_large_group_and_chains(spark, make):
 
 def test_nothing(spark, make, odd_rows):
     assert similar.near_duplicates(make(odd_rows).limit(0)).count() == 0
+
+
+def test_a_large_group_gives_a_tree_of_pairs():
+    for n in (100, 400):
+        same = np.random.default_rng(n).integers(90, 128, (n, n)).astype(np.uint8)
+        same = np.maximum(np.triu(same, 1), np.triu(same, 1).T)
+        a, b, some, tree = similar.chosen(same)
+        assert n - 1 <= len(set(zip(a.tolist(), b.tolist(), strict=True))) < 2 * n and len(some) == n and not tree.any()
+
+
+def test_members_that_pairs_leave_apart_meet(spark, make, monkeypatch):
+    random.seed(9)
+    monkeypatch.setattr(similar, "BLOCK", 8)
+    monkeypatch.setattr(similar, "TEXTS", 8)
+    rows = [r for g in range(3) for r in copies(60, [f"g{g}w{i}" for i in range(300)], 12, 100 * g, "a")]
+    found = similar.near_duplicates(make(rows)).collect()
+    expected = components(rows)
+    assert 3 < len(set(expected)) < len(rows)
+    assert sorted((r["doc_id"], r["component_id"]) for r in found) == sorted((r[0], c) for r, c in zip(rows, expected, strict=True))

@@ -61,6 +61,18 @@ def test_nothing(spark, make, odd_rows):
     assert similar.near_duplicates(make(odd_rows).limit(0)).count() == 0
 
 
+def test_texts_meet_by_parts_of_their_fingerprints():
+    random.seed(7)
+    prints = np.random.default_rng(7).random((50, 128)) < 0.5
+    near = prints.copy()
+    for row in near:  # one bit in each part
+        row[[12 * p + random.randrange(12) for p in range(10)]] ^= True
+    a, b = similar.table_keys(prints, 10, 12), similar.table_keys(near, 10, 12)
+    assert ((a == b).reshape(50, 10, -1).sum(axis=2) > 0).all()
+    near[:, :12] ^= True
+    assert (a[:, :3] != similar.table_keys(near, 10, 12)[:, :3]).all()
+
+
 def test_a_large_group_gives_a_tree_of_pairs():
     for n in (100, 400):
         same = np.random.default_rng(n).integers(90, 128, (n, n)).astype(np.uint8)

@@ -25,6 +25,9 @@ SHINGLE = 5
 JACCARD = 0.8
 #: Share of the bits in which fingerprints of a pair at JACCARD differ (the angle between their sets).
 FLIPPED = math.acos(2 * JACCARD / (1 + JACCARD)) / math.pi
+#: Sets of SHORT shingles at most are short. Sums of so few signs are often 0, so short pairs differ in up to SHORT_FLIPPED of the bits (4 of 5 shingles: half of
+#: the 6 sums of 16 that are 0). Short sets have fingerprints of more parts and, among each other, wider screens. Other pairs at JACCARD differ in 0.156 at most.
+SHORT, SHORT_FLIPPED = 32, 3 / 16
 #: Masks of a part cover so many differing bits.
 COVERED = 1
 #: A pair at JACCARD meets in no bucket with this probability.
@@ -35,6 +38,8 @@ MEMBERS = 512
 #: of LONG bits in 78, with one of 8. Pairs that differ in more than RADIUS and LONG_RADIUS are not compared.
 SCREEN, RADIUS = 128, 38
 LONG, LONG_RADIUS = 512, 124
+#: The same for pairs of short sets, which differ in 24 and 96 on average, with a deviation of 4.4 and 8.8.
+SHORT_RADIUS, SHORT_LONG_RADIUS = 44, 136
 #: Different sets of fewer shingles have a Jaccard below JACCARD.
 LEAST = 4
 #: Members of a bucket that a task takes at once, and those of a group with their texts.
@@ -54,29 +59,33 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
-def layout(n: int) -> tuple[int, int]:
+def layout(n: int, flipped: float = FLIPPED) -> tuple[int, int]:
     """(parts, bits of each) of fingerprints in a table of n texts: longer parts and more of them, as the power 0.24 of n."""
     third = max(3, math.ceil(math.log2(max(n, 1) / MEMBERS) / 2))
-    agree = (1 - FLIPPED) ** third
+    agree = (1 - flipped) ** third
     met = 3 * agree**2 - 2 * agree**3  # two thirds at least of a part agree, which is what a mask for one bit keeps
     return math.ceil(math.log(MISSED) / math.log(1 - met)), 3 * third
 
 
 def fingerprint(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """So many bits (a multiple of 64) of a sorted set of hashes, each of which gives as many: 1 if set in over half of them, and of a tie the least hash's.
+    """So many bits (a multiple of 64) of a sorted set of hashes, each of which gives as many: 1 if set in over half of them, and of a tie one hash's.
 
-    Repeats don't count, as for Jaccard, and settled ties leave no bit likelier 0 than 1, however small the set.
+    Repeats don't count, as for Jaccard, and settled ties leave no bit likelier 0 than 1, however small the set. Ties of each byte are settled by another
+    hash, the one whose byte before is least: a hash that settled all would set sets apart that differ in just this one.
     """
     step = np.arange(1, bits // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    ones, least = np.zeros(bits, np.int64), 0
+    ones, settled = np.zeros(bits, np.int64), 0
     for i in range(0, len(hashes), 255):  # what a byte can count
         z = hashes[i : i + 255, None] + step
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        of = np.unpackbits((z ^ (z >> np.uint64(31))).view(np.uint8), axis=1, bitorder="little")
+        given = (z ^ (z >> np.uint64(31))).view(np.uint8)
+        of = np.unpackbits(given, axis=1, bitorder="little")
         ones += np.add.reduce(of, axis=0, dtype=np.uint8)
-        least = least if i else of[0]
-    return 2 * ones + least > len(hashes)
+        if not i:
+            at = np.arange(bits // 8)
+            settled = np.unpackbits(given[np.roll(given.argmin(axis=0), 1), at], bitorder="little")
+    return 2 * ones + settled > len(hashes)
 
 
 def table_keys(prints: np.ndarray, parts: int, width: int) -> np.ndarray:
@@ -87,43 +96,57 @@ def table_keys(prints: np.ndarray, parts: int, width: int) -> np.ndarray:
 
 
 def with_keys(docs: DataFrame) -> DataFrame:
-    """(id, text, node, code, fp, fq, keys): node is the digest of the set of shingles, code the first LONG bits of its fingerprint, fp and fq the first SCREEN.
+    """(id, text, node, short, code, fp, fq, keys): node is the digest of the set of shingles, short whether it has SHORT at most, code the first LONG bits of its
+    fingerprint, fp and fq the first SCREEN.
 
-    Sets of fewer than LEAST shingles have no keys.
+    Sets of fewer than LEAST shingles have no keys, short ones those of other sets and more.
     """
-    parts, width = layout(docs.count())
-    bits = max(LONG, -(-parts * width // 64) * 64)
+    n = docs.count()
+    (parts, width), (more, _) = layout(n), layout(n, SHORT_FLIPPED)
+    bits, most = (max(LONG, -(-k * width // 64) * 64) for k in (parts, more))
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             sets = [shingles(text) for text in rows["text"]]
-            prints = np.array([fingerprint(x, bits) for x in sets], bool).reshape(-1, bits)
-            code = np.packbits(prints[:, :LONG], axis=1, bitorder="little").view(np.int64)
-            keys = table_keys(prints, parts, width)
+            short = np.array([len(x) <= SHORT for x in sets], bool)
+            prints = [fingerprint(x, most if s else bits) for x, s in zip(sets, short, strict=True)]
+            code = np.packbits(np.array([x[:LONG] for x in prints], bool).reshape(-1, LONG), axis=1, bitorder="little").view(np.int64)
+            keys = np.empty(len(sets), object)
+            for some, k, width_of in ((~short, parts, bits), (short, more, most)):
+                of_some = np.array([prints[i] for i in np.flatnonzero(some)], bool).reshape(-1, width_of)
+                for i, of_set in zip(np.flatnonzero(some), table_keys(of_some, k, width), strict=True):
+                    keys[i] = of_set if len(sets[i]) >= LEAST else of_set[:0]
             node = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
-            told = {"node": node, "code": list(code), "fp": code[:, 0], "fq": code[:, 1], "keys": [k if len(x) >= LEAST else k[:0] for k, x in zip(keys, sets, strict=True)]}
+            told = {"node": node, "short": short, "code": list(code), "fp": code[:, 0], "fq": code[:, 1], "keys": keys}
             yield rows.reset_index(drop=True).assign(**told)
 
     given = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    return given.mapInPandas(of, "id long, text string, node long, code array<long>, fp long, fq long, keys array<int>")
+    return given.mapInPandas(of, "id long, text string, node long, short boolean, code array<long>, fp long, fq long, keys array<int>")
 
 
-def counts(fp: np.ndarray, fq: np.ndarray) -> np.ndarray:
+def within(apart: np.ndarray, short: np.ndarray, radius: int, wide: int) -> np.ndarray:
+    """Whether so many bits are ``radius`` at most, or ``wide`` for two short sets."""
+    near, some = apart <= radius, np.flatnonzero(short)
+    near[np.ix_(some, some)] = apart[np.ix_(some, some)] <= wide
+    return near
+
+
+def counts(fp: np.ndarray, fq: np.ndarray, short: np.ndarray) -> np.ndarray:
     """For every two members in how many of SCREEN bits they agree; 0 if they can't be alike."""
     apart = np.bitwise_count(fp[:, None] ^ fp) + np.bitwise_count(fq[:, None] ^ fq)
-    same = np.where(apart <= RADIUS, SCREEN - apart, 0).astype(np.uint8)
+    same = np.where(within(apart, short, RADIUS, SHORT_RADIUS), SCREEN - apart, 0).astype(np.uint8)
     np.fill_diagonal(same, 0)
     return same
 
 
-def long_counts(code: np.ndarray) -> np.ndarray:
+def long_counts(code: np.ndarray, short: np.ndarray) -> np.ndarray:
     """The same of LONG bits, for rows of words; 0 if either screen tells them apart."""
     apart = np.zeros((len(code), len(code)), np.uint16)
     for word in code.T[2:]:
         apart += np.bitwise_count(word[:, None] ^ word)
-    same = counts(code[:, 0], code[:, 1])
+    same = counts(code[:, 0], code[:, 1], short)
     apart += SCREEN - same.astype(np.uint16)
-    return np.where((same > 0) & (apart <= LONG_RADIUS), LONG - apart, 0).astype(np.uint16)
+    return np.where((same > 0) & within(apart, short, LONG_RADIUS, SHORT_LONG_RADIUS), LONG - apart, 0).astype(np.uint16)
 
 
 def forest(same: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,9 +205,10 @@ def _meet(waiting: DataFrame) -> DataFrame:
             of_unit = rows[unit].to_numpy()
             start = np.flatnonzero(np.r_[True, (of_unit[1:] != of_unit[:-1]).any(axis=1)])
             fp, fq, node, several = rows["fp"].to_numpy().view(np.uint64), rows["fq"].to_numpy().view(np.uint64), rows["node"].to_numpy(), (rows["parts"] > 1).to_numpy()
+            short = rows["short"].to_numpy(bool)
             left, right, again, trees = [], [], [], []
             for i, j in zip(start.tolist(), [*start[1:].tolist(), len(rows)], strict=True):
-                same = counts(fp[i:j], fq[i:j])
+                same = counts(fp[i:j], fq[i:j], short[i:j])
                 if same.any():
                     a, b, some, tree = chosen(same)
                     left.append(node[i + a])
@@ -241,16 +265,17 @@ def _trees(label: np.ndarray) -> np.ndarray:
 
 
 def screened(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b, same): those of the pairs that differ in LONG_RADIUS of LONG bits at most, and in how many they agree."""
+    """(a, b, same): those of the pairs that differ in LONG_RADIUS of LONG bits at most (short ones in SHORT_LONG_RADIUS), and in how many they agree."""
     for end in ("a", "b"):
-        pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("code").alias(f"code_{end}")), end)
+        pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("code").alias(f"code_{end}"), F.col("short").alias(f"short_{end}")), end)
     bits = F.zip_with("code_a", "code_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     differ = F.aggregate(bits, F.lit(0), lambda x, y: x + y)
-    return pairs.where(differ <= LONG_RADIUS).select("a", "b", (LONG - differ).alias("same"))
+    most = F.when(F.col("short_a") & F.col("short_b"), SHORT_LONG_RADIUS).otherwise(LONG_RADIUS)
+    return pairs.where(differ <= most).select("a", "b", (LONG - differ).alias("same"))
 
 
 def candidates(nodes: DataFrame, put: Callable[[DataFrame], DataFrame] = materialize) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b, same) of nodes (node, code, fp, fq, keys) that may be alike, and the groups (node, root) that they make.
+    """Pairs (a, b, same) of nodes (node, short, code, fp, fq, keys) that may be alike, and the groups (node, root) that they make.
 
     The groups are those of all pairs that meet in a bucket of equal keys and that both screens let through. A large group's pairs
     are never all given: a forest in each bucket, and where the longer fingerprints break it, the pairs that mend it.
@@ -258,17 +283,17 @@ def candidates(nodes: DataFrame, put: Callable[[DataFrame], DataFrame] = materia
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in _units(batches, ["unit"]):
-            node, same = rows["node"].to_numpy(), long_counts(np.stack(rows["code"].to_numpy()).view(np.uint64))
+            node, same = rows["node"].to_numpy(), long_counts(np.stack(rows["code"].to_numpy()).view(np.uint64), rows["short"].to_numpy(bool))
             a, b = forest(same, _trees(rows["label"].to_numpy()))
             if len(a):
                 yield pd.DataFrame({"a": node[a], "b": node[b], "same": same[a, b].astype(np.int32)})
 
-    first = put(_meet(nodes.select("node", "fp", "fq", F.posexplode("keys").alias("t", "key"))))
+    first = put(_meet(nodes.select("node", "short", "fp", "fq", F.posexplode("keys").alias("t", "key"))))
     found = put(first.where("a IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     found = put(screened(found, nodes))
     groups = put(components(found, put))
     again = apart(first.where("node IS NOT NULL").select("t", "key", "tree", "node"), ["t", "key", "tree"], groups.toDF("node", "label"), BLOCK, put)
-    again = again.join(nodes.select("node", "code"), "node").repartition("unit").sortWithinPartitions("unit", "node")
+    again = again.join(nodes.select("node", "short", "code"), "node").repartition("unit").sortWithinPartitions("unit", "node")
     more = put(again.mapInPandas(of, "a long, b long, same int").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "same").distinct())
     return found.union(more), put(components(groups.toDF("a", "b").union(more.select("a", "b")), put))
 
@@ -319,7 +344,7 @@ def links(nodes: DataFrame, texts: DataFrame, put: Callable[[DataFrame], DataFra
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in _units(batches, ["unit"]):
             node, root = rows["node"].to_numpy(), _trees(rows["label"].to_numpy())
-            may = (long_counts(np.stack(rows["code"].to_numpy()).view(np.uint64)) > 0) & (root[:, None] != root)
+            may = (long_counts(np.stack(rows["code"].to_numpy()).view(np.uint64), rows["short"].to_numpy(bool)) > 0) & (root[:, None] != root)
             some = np.flatnonzero(may.any(axis=1))
             if len(some):
                 a, b = joined([shingles(x) for x in rows["text"].iloc[some]], may[np.ix_(some, some)], root[some])
@@ -332,7 +357,7 @@ def links(nodes: DataFrame, texts: DataFrame, put: Callable[[DataFrame], DataFra
     first = put(ways.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     found = put(components(put(alike(first, texts)), put))
     units = apart(groups.toDF("node", "group"), ["group"], found.toDF("node", "label"), TEXTS, put)
-    units = units.join(nodes.select("node", "code"), "node").join(texts, "node").repartition("unit").sortWithinPartitions("unit", "node")
+    units = units.join(nodes.select("node", "short", "code"), "node").join(texts, "node").repartition("unit").sortWithinPartitions("unit", "node")
     return found.toDF("a", "b").union(put(units.mapInPandas(of, "a long, b long")))
 
 
@@ -343,7 +368,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     with scratch(docs.sparkSession) as put:
         found = put(with_keys(docs))
-        nodes = found.groupBy("node").agg(F.min("id").alias("least"), *[F.first(c).alias(c) for c in ("code", "fp", "fq", "keys")])
+        nodes = found.groupBy("node").agg(F.min("id").alias("least"), *[F.first(c).alias(c) for c in ("short", "code", "fp", "fq", "keys")])
         nodes = put(nodes)
         root = components(links(nodes, found, put), put).toDF("node", "root")
         rooted = put(nodes.select("node", "least").join(root, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))

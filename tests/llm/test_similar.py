@@ -90,3 +90,20 @@ def test_members_that_pairs_leave_apart_meet(spark, make, monkeypatch):
     expected = components(rows)
     assert 3 < len(set(expected)) < len(rows)
     assert sorted((r["doc_id"], r["component_id"]) for r in found) == sorted((r[0], c) for r, c in zip(rows, expected, strict=True))
+
+
+def test_no_shingle_settles_all_ties():
+    some = np.sort(np.random.default_rng(3).integers(2**62, 2**63, 5, np.uint64))
+    for other in (1, 2**63 + 1):  # the least and the greatest of six
+        more = np.sort(np.r_[some, np.uint64(other)])
+        assert (similar.fingerprint(some, 8192) ^ similar.fingerprint(more, 8192)).mean() < 0.19
+
+
+def test_short_texts_that_differ_by_a_word_are_linked(spark, make):
+    random.seed(10)
+    rows = []
+    for i in range(1000):
+        words = [f"s{random.randrange(10**6)}" for _ in range(9 + i % 8)]
+        rows += [(2 * i, " ".join(words[:-1])), (2 * i + 1, " ".join(words))]
+    found = similar.near_duplicates(make(rows)).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in found) == [(d, d // 2 * 2) for d, _ in rows]
